@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, sharding, simhash, topk, toxicity, winnow
+from . import bpe, langid, packing, quality, sharding, simhash, suffix, topk, toxicity, winnow
 from .common import held_out, table
 
 
@@ -14,10 +14,18 @@ def op1_shard_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out("doc_id", 5, 0))
 
@@ -42,8 +50,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+_QUERIES = (op1_shard_lpt, op2_language, op3_bpe, op4_suffix_dedup, op5_toxicity, op6_quality, op7_winnowing, op8_packing, op9_topk, op10_simhash)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_shard_lpt, op3_bpe, op5_toxicity, op6_quality, op7_winnowing, op8_packing, op9_topk, op10_simhash)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict:
