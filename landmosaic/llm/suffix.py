@@ -7,8 +7,10 @@ would move hundreds of times the input, so only suffixes that may have an equal
    mostly share one, and equal strings have equal anchors, at the same offset. The strings of one
    anchor are a run; a run is a few numbers: its anchor's hash, the hash of all its bytes, its place.
 2. Runs meet by anchor. Of runs with equal bytes all but the first are repeats as a whole. Anchors
-   with one kind of run are done; the runs of anchors with several kinds are in doubt.
-3. The suffixes that start in runs in doubt, LENGTH bytes each, are sorted where they are, front-coded
+   with one kind of run are done; the runs of anchors with several kinds are in doubt. They are
+   split into runs of at most SPLIT strings, which meet in the same way by the bytes that all their
+   strings share.
+3. The suffixes that start in runs still in doubt, LENGTH bytes each, are sorted where they are, front-coded
    and exchanged; a loser tree merges the sorted runs and never compares a prefix whose length it
    knows. Neighbours that share LENGTH bytes are equal; the first by document and place stays.
 
@@ -39,6 +41,8 @@ CHUNK = 2 << 20
 HOT = 64
 #: Neighbouring offsets of an anchor whose suffixes go to the same task, where they share most bytes.
 TOGETHER = 16
+#: Strings of a split run.
+SPLIT = 22
 _WINDOW = LENGTH - GRAM + 1
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -62,6 +66,44 @@ def unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(x.T).view(kind).ravel()
 
 
+def rolled(whole: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial sums of all prefixes, and the inverse powers that bring a part's sum to its own start."""
+    n = len(whole)
+    power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _BASE)])
+    back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _BACK)])
+    return np.r_[np.uint64(0), np.cumsum(_TABLE[np.frombuffer(whole, np.uint8)] * power[:n])], back
+
+
+def hashed(sums: tuple[np.ndarray, np.ndarray], a: np.ndarray, e: np.ndarray, with_it) -> np.ndarray:
+    """Hashes of the parts from a to e, and of a number with each."""
+    total, back = sums
+    f = (total[e] - total[a]) * back[a]
+    f = (f ^ (f >> np.uint64(31))) * _K3 + np.asarray(with_it).astype(np.uint64) * _K2
+    return f ^ (f >> np.uint64(29))
+
+
+def split_runs(texts: dict[int, bytes], told: np.ndarray) -> np.ndarray:
+    """Runs in doubt as runs of at most SPLIT strings, by the bytes that all strings at these offsets from the anchor share."""
+    ids = sorted(texts)
+    at = np.cumsum([0, *(len(texts[i]) for i in ids)])
+    sums = rolled(b"".join(texts[i] for i in ids))
+    base = at[np.searchsorted(ids, told["id"])]
+    anchor = told["a"].astype(np.int64) + told["off"]
+    out = []
+    for k in range(0, _WINDOW, SPLIT):
+        low, high = np.maximum(told["a"], anchor - k - SPLIT + 1), np.minimum(told["b"], anchor - k)
+        fits = np.flatnonzero(low <= high)
+        t, lo, hi, p, first = told[fits], low[fits], high[fits], anchor[fits], base[fits]
+        rows = np.zeros(len(t), SENT)
+        core = first + p - k
+        rows["h"] = hashed(sums, core, core + LENGTH - SPLIT + 1, k + 1) ^ t["h"]
+        rows["f"] = hashed(sums, first + lo, first + hi + LENGTH, (hi - lo) * 256 + (p - lo))
+        for name, column in (("part", t["part"]), ("id", t["id"]), ("a", lo), ("len", hi - lo), ("off", p - lo)):
+            rows[name] = column
+        out.append(rows)
+    return np.concatenate(out)
+
+
 def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(text, a, b, anchor's hash, hash of all bytes, anchor's offset from a) of every run of texts; places are within the text."""
     whole = b"".join(texts)
@@ -87,12 +129,7 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
     a, b = starts[new], starts[np.r_[new[1:] - 1, len(p) - 1]]
     at = p[new]
-    power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _BASE)])
-    back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _BACK)])
-    total = np.r_[np.uint64(0), np.cumsum(_TABLE[x[:n]] * power[:n])]
-    f = (total[b + LENGTH] - total[a]) * back[a]
-    f = (f ^ (f >> np.uint64(31))) * _K3 + ((b - a) * 256 + (at - a)).astype(np.uint64) * _K2
-    f ^= f >> np.uint64(29)
+    f = hashed(rolled(whole), a, b + LENGTH, (b - a) * 256 + (at - a))
     text = np.searchsorted(ends, a, side="right")
     first = (ends - sizes)[text]
     return text, a - first, b - first, g[at], f, at - a
@@ -273,6 +310,17 @@ def _deal(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(x["part"][0]), x
 
 
+def _to_meet(rows: np.ndarray, fewer: int) -> list[tuple]:
+    """A chunk's runs on their way to what they meet by; what is known here passes through the next step as it is."""
+    send, known = meet_here(rows)
+    to = (send["h"] % np.uint64(fewer)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    send, to = send[order], to[order]
+    cuts = np.flatnonzero(to[1:] != to[:-1]) + 1
+    out = [(int(p[0]), True, packed(x)) for x, p in zip(np.split(send, cuts), np.split(to, cuts), strict=True) if len(x)]
+    return out + [(p % fewer, False, packed(x)) for p, x in _deal(known)]
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["part", "coded", "blob"])
 
@@ -307,15 +355,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
             part, ids = (np.fromiter((x[k] for x in held), np.int64, len(held)) for k in (0, 1))
             for name, column in (("h", h), ("f", f), ("part", part[which]), ("id", ids[which]), ("a", a), ("len", b - a), ("off", off)):
                 rows[name] = column
-            send, known = meet_here(rows)
-            to = (send["h"] % np.uint64(fewer)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            send, to = send[order], to[order]
-            cuts = np.flatnonzero(to[1:] != to[:-1]) + 1
-            out = [(int(p[0]), True, packed(x)) for x, p in zip(np.split(send, cuts), np.split(to, cuts), strict=True) if len(x)]
-            # What is known here passes through the next step as it is.
-            out += [(p % fewer, False, packed(x)) for p, x in _deal(known)]
-            return pa.RecordBatch.from_pandas(_frame(out).astype({"part": "int32", "coded": bool}), preserve_index=False, schema=pa.schema([("part", pa.int32()), ("coded", pa.bool_()), ("blob", pa.binary())]))
+            return pa.RecordBatch.from_pandas(_frame(_to_meet(rows, fewer)).astype({"part": "int32", "coded": bool}), preserve_index=False, schema=pa.schema([("part", pa.int32()), ("coded", pa.bool_()), ("blob", pa.binary())]))
 
         size = 0
         for batch in slices(batches):
@@ -336,6 +376,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
         told = np.concatenate([*known, *([meet_all(np.concatenate(sent))] if sent else []), np.zeros(0, TOLD)])
         return _frame([(p, False, packed(x)) for p, x in _deal(told)])
 
+    def refine(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if right.empty:
+            return _frame([])
+        told = np.concatenate([unpacked(b, TOLD) for b in right["blob"]])
+        doubt = told[told["code"] >= DOUBT]
+        here = set(doubt["id"].tolist())
+        texts = {i: t.encode() for i, t in zip(left["id"], left["text"], strict=True) if i in here}
+        sizes = np.fromiter((len(texts[i]) for i in doubt["id"].tolist()), np.int64, len(doubt))
+        doubt = doubt[doubt["b"] + LENGTH <= sizes]
+        out = _to_meet(split_runs(texts, doubt), fewer) if len(doubt) else []
+        return _frame(out + [(p % fewer, False, packed(x)) for p, x in _deal(told[told["code"] == REPEAT])])
+
     def in_doubt(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if right.empty:
             return _frame([])
@@ -395,7 +447,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
 
     blobs = "part int, coded boolean, blob binary"
     met = given.select("part", "id", "text").mapInArrow(look, blobs).groupBy("part").applyInPandas(by_anchor, blobs)
-    doubts = given.groupBy("part").cogroup(met.groupBy("part")).applyInPandas(in_doubt, blobs)
+    split = given.groupBy("part").cogroup(met.groupBy("part")).applyInPandas(refine, blobs).groupBy("part").applyInPandas(by_anchor, blobs)
+    doubts = given.groupBy("part").cogroup(split.groupBy("part")).applyInPandas(in_doubt, blobs)
     told = doubts.groupBy("part").applyInPandas(by_suffix, blobs)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select("doc_id", *also).schema)
     return given.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(remove, f"{kinds}, kept binary, n_bytes long, n_removed long, n_spans long")
