@@ -19,15 +19,24 @@ TRAIN_ROWS = 12_000
 
 
 class Ftrl:
-    """Per-coordinate updates with L1 and L2 terms; a row is distinct features of one common value."""
+    """Per-coordinate updates with L1 and L2 terms; a row is distinct features of one common value.
 
-    def __init__(self, size: int = SIZE, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    The bias, last, has no L1 term. With `positive`, features can only speak for label 1, so texts
+    without any that do get the bias alone, however short.
+    """
+
+    def __init__(self, size: int = SIZE, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, positive: bool = False):
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.alpha, self.beta, self.l1, self.l2, self.positive = alpha, beta, l1, l2, positive
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+        l1 = np.full(len(z), self.l1)
+        l1[-1] = 0.0
+        w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+        if self.positive:
+            w[:-1] = np.maximum(w[:-1], 0.0)
+        return w
 
     def update(self, features: np.ndarray, value: float, label: int) -> None:
         at = np.append(features, len(self.z) - 1)
@@ -53,7 +62,7 @@ def fit(
     value: Callable[[int], float],
     rows: int = TRAIN_ROWS,
     epochs: int = 3,
-    **rates: float,
+    **rates,
 ) -> np.ndarray:
     """Weights, bias last. Rows with a null id, text or label, and held-out ones, are not learned from.
 

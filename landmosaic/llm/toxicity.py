@@ -163,7 +163,7 @@ class Scorer:
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[np.ndarray, np.ndarray]:
     model = language_model(docs)
-    return model, fit(docs, labels, "toxic", held_out, lambda: make_features(model), lambda n: 1.0, alpha=0.3, l1=2.0, l2=0.1)
+    return model, fit(docs, labels, "toxic", held_out, lambda: make_features(model), lambda n: 1.0, alpha=0.3, l1=2.0, l2=0.1, positive=True)
 
 
 def scored(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
