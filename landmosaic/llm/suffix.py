@@ -39,8 +39,6 @@ GRAM = 16
 CHUNK = 2 << 20
 #: Kinds of runs of one anchor in one chunk from which on it is dealt by suffix.
 HOT = 64
-#: Neighbouring offsets of an anchor whose suffixes go to the same task, where they share most bytes.
-TOGETHER = 16
 #: Strings of a split run.
 SPLIT = 22
 _WINDOW = LENGTH - GRAM + 1
@@ -153,6 +151,28 @@ def _told(rows: np.ndarray, code) -> np.ndarray:
     return out
 
 
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """Repeats of documents with those that touch or overlap made one; by what they are repeats doesn't matter any more."""
+    rows = rows[np.lexsort((rows["a"], rows["id"]))]
+    if not len(rows):
+        return rows
+    base = (np.cumsum(_firsts(rows["id"])) << 32).astype(np.int64)
+    a, b = base + rows["a"], base + rows["b"]
+    reach = np.maximum.accumulate(b)
+    new = np.r_[True, a[1:] > reach[:-1] + 1]
+    out = np.zeros(int(new.sum()), TOLD)
+    out["part"], out["id"], out["a"], out["code"] = rows["part"][new], rows["id"][new], rows["a"][new], REPEAT
+    ends = np.r_[np.flatnonzero(new)[1:] - 1, len(rows) - 1]
+    out["b"] = reach[ends] - base[ends]
+    return out
+
+
+def _settled(told: np.ndarray) -> np.ndarray:
+    """What is told, with repeats joined."""
+    done = told["code"] == REPEAT
+    return np.concatenate([_joined(told[done]), told[~done]])
+
+
 def _later(rows: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Of rows in order of kind, id and place: those after their kind's first, not in the same place."""
     first = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
@@ -318,7 +338,7 @@ def _to_meet(rows: np.ndarray, fewer: int) -> list[tuple]:
     send, to = send[order], to[order]
     cuts = np.flatnonzero(to[1:] != to[:-1]) + 1
     out = [(int(p[0]), True, packed(x)) for x, p in zip(np.split(send, cuts), np.split(to, cuts), strict=True) if len(x)]
-    return out + [(p % fewer, False, packed(x)) for p, x in _deal(known)]
+    return out + [(p % fewer, False, packed(x)) for p, x in _deal(_settled(known))]
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -374,7 +394,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
         known = [unpacked(b, TOLD) for b in pdf["blob"][~pdf["coded"]]]
         sent = [unpacked(b, SENT) for b in pdf["blob"][pdf["coded"]]]
         told = np.concatenate([*known, *([meet_all(np.concatenate(sent))] if sent else []), np.zeros(0, TOLD)])
-        return _frame([(p, False, packed(x)) for p, x in _deal(told)])
+        return _frame([(p, False, packed(x)) for p, x in _deal(_settled(told))])
 
     def refine(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if right.empty:
@@ -395,14 +415,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
         texts = {i: t.encode() for i, t in zip(left["id"], left["text"], strict=True)}
         by: dict[int, list[tuple[bytes, int, int]]] = {}
         for r in told[told["code"] >= DOUBT].tolist():
-            _, doc, a, b, h, off, code = r
+            _, doc, a, b, h, _, code = r
             text = texts[doc]
             for place in range(a, b + 1):
                 suffix = text[place : place + LENGTH]
                 if len(suffix) < LENGTH:
                     break
-                # Equal suffixes lie equally far from their anchors, so they go to the same task.
-                to = zlib.crc32(suffix) if code == DOUBT_HOT else h + (off + a - place + 256) // TOGETHER * 0x9E3779B1
+                # A run's suffixes, which share most bytes, go to the same task, and so do those of runs with its core.
+                to = zlib.crc32(suffix) if code == DOUBT_HOT else h
                 by.setdefault(to % fewer, []).append((suffix, doc, place))
         out, same = [], []
         for to, items in by.items():
@@ -417,6 +437,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
             here["b"], here["code"] = here["a"], REPEAT
         known = np.concatenate([told[told["code"] == REPEAT], here])
         known["part"] = key[0]
+        known = _joined(known)
         if len(known):
             out.append((key[0] % fewer, False, packed(known)))
         return _frame(out)
@@ -425,7 +446,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
         known = [unpacked(b, TOLD) for b in pdf["blob"][~pdf["coded"]]]
         coded = pdf["blob"][pdf["coded"]].tolist()
         told = np.concatenate([*known, *(later_equals(coded) if coded else []), np.zeros(0, TOLD)])
-        return _frame([(p, False, packed(x)) for p, x in _deal(told)])
+        return _frame([(p, False, packed(x)) for p, x in _deal(_settled(told))])
 
     def remove(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         told = np.concatenate([*(unpacked(b, TOLD) for b in right["blob"]), np.zeros(0, TOLD)])
@@ -436,9 +457,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
             x = text.encode()
             change = np.zeros(len(x) + LENGTH + 1, np.int32)
             if e > s:
-                fits = told["b"][s:e] + LENGTH <= len(x)
-                np.add.at(change, told["a"][s:e][fits], 1)
-                np.add.at(change, told["b"][s:e][fits] + LENGTH, -1)
+                np.add.at(change, np.minimum(told["a"][s:e], len(x)), 1)
+                np.add.at(change, np.minimum(told["b"][s:e] + LENGTH, len(x)), -1)
             gone = np.cumsum(change)[: len(x)] > 0
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
             rows.append((x if not spans else np.frombuffer(x, np.uint8)[~gone].tobytes(), len(x), int(gone.sum()), spans))
