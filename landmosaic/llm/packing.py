@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -18,11 +17,11 @@ from .common import cut, slices
 
 CAPACITY = 4096
 END = 2
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: White space of Python's split() that the tokenizer's pattern doesn't count as such.
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Letters whose lower case the library and Python's lower() may tell apart; special tokens' strings begin as well with "<".
-_CASE = re.compile("[\u0130\u03a3<]")
+_CASE = "\u0130\u03a3<"
 #: Runs of rows that are numbered together, for each length; more with more rows.
 RUN_ROWS = 20_000
 MOST_RUNS = 1024
@@ -39,22 +38,37 @@ class Words(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.old: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocab.values()) + 1, bool)
+        self.closing[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Has the library encode those not known; of a word and one sign, the two apart."""
+        """Has the library encode those not known; of a word and one sign, the two apart.
+
+        Words of letters alone are encoded as one text: each is one pre-token, whose last id ends a word.
+        """
         if len(self) >= MEMO_WORDS:
             self.old = dict(self)
             self.clear()
         signed = [w for w in words if w not in self and w[-1] in ".," and w[:-1].isalpha()]
-        new = [w for w in words.union((w[:-1] for w in signed), ".,").difference(signed) if w not in self]
+        new = {w for w in words.union((w[:-1] for w in signed), ".,").difference(signed) if w not in self}
         known = [w for w in new if w in self.old]
         self.update((w, self.old[w]) for w in known)
-        new = list(set(new).difference(known))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        new.difference_update(known)
+        plain = [w for w in new if w.isalpha()]
+        if plain:
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(plain):
+                blob = ids.tobytes()
+                cuts = (ends * 4).tolist()
+                self.update((w, blob[s:e]) for w, s, e in zip(plain, [0, *cuts], cuts, strict=False))
+        for w in new:
+            if w not in self:
+                self[w] = self.whole(w)
         self.update((w, self[w[:-1]] + self[w[-1]]) for w in signed)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -62,7 +76,7 @@ class Words(dict):
 
         Lower case is taken first where letters don't depend on others for it, so that fewer words differ.
         """
-        words = [None if _NOT_SPACE.search(t) else (t.lower() if not _CASE.search(t) and is_normalized("NFC", t) else t).split() for t in texts]
+        words = [None if any(c in t for c in _NOT_SPACE) else (t if any(c in t for c in _CASE) or not is_normalized("NFC", t) else t.lower()).split() for t in texts]
         self.learn(set(chain.from_iterable(w for w in words if w)))
         return [self.whole(t) if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
 
