@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a shard of candidates and of a block of queries.
-SHARD_ROWS = 2048
-BLOCK_ROWS = 512
+SHARD_ROWS = 8192
+BLOCK_ROWS = 256
 #: Terms probed at a time.
 PROBE = 16
 
@@ -23,41 +23,39 @@ def integer_vector(vector: str, scale: float = 64.0) -> Column:
 def max_score(queries: np.ndarray, own: np.ndarray, docs: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query row, id, score) of each query's best k among docs, but for its own id; ties to smaller ids.
 
-    A term is a component. Its bound is the most that it can add to any doc of the shard over the
-    least that it adds to all. Terms are taken by falling bound; those before the bounds of the rest
-    can't make up for a doc's shortfall are essential and scored for every doc. The others are probed,
-    PROBE at a time, for docs that can still reach the k-th best score found.
+    A term is a component, its bound the most that it can add to any doc of the shard. Terms are taken
+    PROBE at a time, in falling order of how far the block's queries can spread docs by them. Those
+    taken before the bounds of the rest can't lift a doc to the k-th best score known are essential;
+    from then on only docs that can still reach it are alive, and only these are probed.
     """
-    out = []
     low, high = docs.min(axis=0), docs.max(axis=0)
+    most = np.maximum(queries * low, queries * high)
+    least = np.minimum(queries * low, queries * high)
+    terms = np.argsort(-(most - least).sum(axis=0), kind="stable")
     columns = np.ascontiguousarray(docs.T)
-    for row, (q, me) in enumerate(zip(queries, own, strict=True)):
-        a, b = q * low, q * high
-        base, bound = np.minimum(a, b).sum(), np.abs(a - b)
-        terms = np.argsort(-bound, kind="stable")
-        terms = terms[bound[terms] > 0]
-        # Terms whose bounds are zero add the same to every doc; it is in `base`.
-        left = bound[terms].sum()
-        rest = terms
-        score = np.full(len(ids), base)
-        alive = np.arange(len(ids)) if me is None else np.flatnonzero(ids != me)
-        floor = np.minimum(a, b)
-        best = None
-        while len(rest):
-            now, rest = rest[:PROBE], rest[PROBE:]
-            score[alive] += q[now] @ columns[np.ix_(now, alive)] - floor[now].sum()
-            left -= bound[now].sum()
-            if not len(rest) or len(alive) <= k:
-                continue
-            part = score[alive]
-            if best is None:
-                top = alive[np.argpartition(-part, k - 1)[:k]]
-                best = (docs[top] @ q).min()
-            else:
-                best = max(best, np.partition(part, len(part) - k)[len(part) - k])
-            alive = alive[part + left >= best]
-        order = np.lexsort((ids[alive], -score[alive]))[:k]
-        out += [(row, int(ids[alive[i]]), int(score[alive[i]])) for i in order]
+    score = np.zeros((len(queries), len(docs)), docs.dtype)
+    alive = own[:, None] != ids[None, :]
+    none = -np.inf if docs.dtype.kind == "f" else np.iinfo(docs.dtype).min // 2
+    for at in range(0, len(terms), PROBE):
+        now, rest = terms[at : at + PROBE], terms[at + PROBE :]
+        if alive.mean() > 0.25:
+            score += queries[:, now] @ columns[now]
+        else:
+            for r in range(len(queries)):
+                left = np.flatnonzero(alive[r])
+                score[r, left] += queries[r, now] @ columns[np.ix_(now, left)]
+        if not len(rest) or len(docs) <= k:
+            continue
+        top = np.argpartition(np.where(alive, -score, -none), k - 1, axis=1)[:, :k]
+        whole = np.matmul(docs[top], queries[:, :, None])[:, :, 0]
+        # Fewer than k docs alive, as can be after leaving out the query's own, give no score to reach.
+        best = np.where(np.take_along_axis(alive, top, 1).all(axis=1), whole.min(axis=1), none)
+        alive &= score + most[:, rest].sum(axis=1)[:, None] >= best[:, None]
+    out = []
+    for r in range(len(queries)):
+        left = np.flatnonzero(alive[r])
+        order = np.lexsort((ids[left], -score[r, left]))[:k]
+        out += [(r, int(ids[left[i]]), int(score[r, left[i]])) for i in order]
     return out
 
 
