@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.expressions import array_sum, hann_weight
 from .change import CELL
 
-#: Classes and bands whose statistics are held on the driver at most; both are small by nature.
-MOST_CLASSES = 1000
+#: Added to each variance before a covariance matrix is inverted.
+RIDGE = 1e-9
 
 
 def signatures(pixels: DataFrame, label: str = "label", bands: str = "bands") -> DataFrame:
@@ -35,37 +40,71 @@ def class_means(pixels: DataFrame, label: str = "label", bands: str = "bands") -
 def minimum_distance(pixels: DataFrame, means: DataFrame, key: list[str], label: str = "label", bands: str = "bands") -> DataFrame:
     """key, class, distance2: the class with the nearest mean; ties to the smaller label.
 
-    The means are one row for each class and go to every task as one array.
+    The means are one row for each class and go to every task as one array, all of them: classes that
+    don't fit a task's memory are an error.
     """
-    classes = means.limit(MOST_CLASSES).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "means"))).alias("classes"))
+    classes = means.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "means"))).alias("classes"))
     far = lambda c: array_sum(F.zip_with(bands, c["means"], lambda a, b: (a - b) * (a - b)))
     best = F.array_min(F.transform("classes", lambda c: F.struct(far(c).alias("d"), c["label"].alias("label"))))
     return pixels.crossJoin(F.broadcast(classes)).select(*key, best.alias("b")).select(*key, F.col("b.label").alias("class"), F.col("b.d").alias("distance2"))
 
 
+def _gaussians(training: DataFrame, label: str, bands: str) -> DataFrame:
+    """(label, logdet, means, whiten) of each class: |(x - means) whiten| is the Mahalanobis distance of x; whiten is row by row."""
+    kind = training.schema[label].dataType.simpleString()
+    means = signatures(training, label, bands).select(label, F.col("band").alias("i"), F.lit(-1).alias("j"), F.col("mean").alias("x"))
+    pairs = covariances(training, label, bands).select(label, F.col("band_a").alias("i"), F.col("band_b").alias("j"), F.col("covariance").alias("x"))
+
+    def fitted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        i, j, x = (rows[c].to_numpy() for c in "ijx")
+        own = j < 0
+        n = int(own.sum())
+        m, c = np.zeros(n), np.zeros((n, n))
+        m[i[own]] = x[own]
+        c[i[~own], j[~own]] = c[j[~own], i[~own]] = np.nan_to_num(x[~own].astype(float))
+        variances, axes = np.linalg.eigh(c)
+        variances = np.maximum(variances, 0.0) + RIDGE
+        return pd.DataFrame({label: [key[0]], "logdet": [float(np.log(variances).sum())], "means": [m], "whiten": [(axes / np.sqrt(variances)).ravel()]})
+
+    return means.union(pairs).groupBy(label).applyInPandas(fitted, f"`{label}` {kind}, logdet double, means array<double>, whiten array<double>")
+
+
 def maximum_likelihood(pixels: DataFrame, training: DataFrame, key: list[str], label: str = "label", bands: str = "bands") -> DataFrame:
-    """key, class, score: the Gaussian class of the highest log density.
+    """key, class, score: the Gaussian class of the highest log density over all bands; ties to the larger label.
 
-    Means and covariances are aggregated over all training pixels; the few small matrices are inverted
-    on the driver, with a little added to the diagonal where one is singular.
+    Means and covariances are aggregated over all training pixels, and each class's matrix is inverted
+    in a task, with RIDGE added to the diagonal. The classes go to every task, all of them: classes
+    that don't fit its memory are an error. A pixel with a missing band has no class and no score.
     """
-    stats = {r[label]: np.array(r.means) for r in class_means(training, label, bands).limit(MOST_CLASSES).collect()}
-    table = {k: np.zeros((len(m), len(m))) for k, m in stats.items()}
-    for r in covariances(training, label, bands).collect():
-        table[r[label]][r.band_a, r.band_b] = table[r[label]][r.band_b, r.band_a] = r.covariance or 0.0
     classes = []
-    for k in sorted(table):
-        c = table[k] + np.eye(len(table[k])) * 1e-9
-        inverse, (_, logdet) = np.linalg.inv(c), np.linalg.slogdet(c)
-        classes.append(F.struct(F.lit(k).alias("label"), F.lit(float(logdet)).alias("logdet"), F.array(*[F.lit(float(x)) for x in stats[k]]).alias("means"), F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in inverse]).alias("inverse")))
-
-    def density(c: Column) -> Column:
-        d = F.zip_with(bands, c["means"], lambda a, b: a - b)
-        squares = F.transform(c["inverse"], lambda row: array_sum(F.zip_with(row, d, lambda a, b: a * b)))
-        return -0.5 * (c["logdet"] + array_sum(F.zip_with(squares, d, lambda a, b: a * b)))
-
-    best = F.array_max(F.transform(F.array(*classes), lambda c: F.struct(density(c).alias("s"), c["label"].alias("label"))))
-    return pixels.select(*key, best.alias("b")).select(*key, F.col("b.label").alias("class"), F.col("b.s").alias("score"))
+    for r in _gaussians(training, label, bands).toLocalIterator():
+        m = np.array(r.means)
+        classes.append((r[label], r.logdet, m, np.array(r.whiten).reshape(len(m), len(m))))
+    sent = pixels.sparkSession.sparkContext.broadcast(sorted(classes, key=lambda c: c[0]))
+    chosen = pixels.select(*key, F.col(bands).cast("array<double>").alias("bands"))
+    of_label = to_arrow_type(training.schema[label].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array([c[0] for c in sent.value], dtype=object)
+        for part in batches:
+            column = part.column(len(key))
+            sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            best, which = np.full(part.num_rows, -np.inf), np.full(part.num_rows, -1)
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == size)
+                x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                for k, (_, logdet, means, whiten) in enumerate(sent.value):
+                    if len(means) == size:
+                        z = (x - means) @ whiten
+                        score = -0.5 * (logdet + (z * z).sum(axis=1))
+                        wins = score >= best[at]
+                        best[at[wins]], which[at[wins]] = score[wins], k
+            none = which < 0
+            told = [None if w < 0 else names[w] for w in which.tolist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(key)], pa.array(told, of_label), pa.array(best, pa.float64(), mask=none)], [*key, "class", "score"])
+
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    return chosen.mapInArrow(run, f"{given}, class {training.schema[label].dataType.simpleString()}, score double")
 
 
 def accept_patches(tiles: DataFrame, share: float = 0.5) -> DataFrame:

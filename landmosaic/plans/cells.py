@@ -271,6 +271,11 @@ def _(t):
     return classify.covariances(_pixels(t).withColumn("bands", F.slice("bands", 1, 8)))
 
 
+@query("a35_covariances_all_bands", f"WITH {LONG} SELECT a.label, CAST(a.band AS INTEGER) AS band_a, CAST(b.band AS INTEGER) AS band_b, covar_samp(a.x, b.x) AS covariance FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.band <= b.band GROUP BY ALL", "covariance")
+def _(t):
+    return classify.covariances(_pixels(t))
+
+
 @query("m4_minimum_distance", f"WITH {LONG}, m AS (SELECT label AS class, band, avg(x) AS m FROM l GROUP BY ALL), d AS (SELECT vec_id, class, sum((x - m) * (x - m)) AS distance2 FROM l JOIN m USING (band) GROUP BY ALL) SELECT vec_id, class, distance2 FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance2, class) = 1", "distance2")
 def _(t):
     return classify.minimum_distance(_pixels(t), classify.class_means(_pixels(t)), ["vec_id"])
@@ -278,8 +283,7 @@ def _(t):
 
 @query("m5_maximum_likelihood")
 def _(t):
-    few = _pixels(t).withColumn("bands", F.slice("bands", 1, 8))
-    return classify.maximum_likelihood(few, few, ["vec_id"])
+    return classify.maximum_likelihood(_pixels(t), _pixels(t), ["vec_id"])
 
 
 @query("m6_expansion_samples", "SELECT row, col, CAST(t1 = 2 AS INTEGER)::DOUBLE AS label, v AS price, CAST(p1 AS DOUBLE) AS zone FROM g WHERE t0 <> 2", "price label")

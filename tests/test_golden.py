@@ -2,12 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from landmosaic.operators import accuracy, carbon, change, classify, grid, quality, scoring, stats, units
 from landmosaic.operators.scoring import Criterion
+from landmosaic.plans import registry
 from landmosaic.sources import tables as S
 
 
@@ -161,6 +163,30 @@ def test_maximum_likelihood(spark):
     assert all(r["class"] == r.id % 2 for r in classify.minimum_distance(df, classify.class_means(df), ["id"]).collect())
 
 
+def test_all_bands_count(spark, tmp_path):
+    rows = [(i, i % 2, [float((i * (b + 3) + i * i // (b + 2)) % 7) + (40.0 * (i % 2) if b == 11 else 0.0) for b in range(12)]) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["m5_maximum_likelihood"](spark, str(tmp_path)).collect()
+    x, label = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    scores = []
+    for k in (0, 1):
+        d, c = x - x[label == k].mean(axis=0), np.cov(x[label == k].T) + np.eye(12) * 1e-9
+        scores.append(-0.5 * (np.linalg.slogdet(c)[1] + np.einsum("ni,ij,nj->n", d, np.linalg.inv(c), d)))
+    assert {r.vec_id: r["class"] for r in got} == dict(enumerate(label.tolist()))
+    assert [r.score for r in sorted(got)] == pytest.approx(np.max(scores, axis=0).tolist())
+    cov = {(r.label, r.band_a, r.band_b): r.covariance for r in registry.queries()["a35_covariances_all_bands"](spark, str(tmp_path)).collect()}
+    assert len(cov) == 2 * 12 * 13 // 2 and cov[1, 3, 11] == pytest.approx(np.cov(x[label == 1].T)[3, 11], abs=1e-6)
+
+
+def test_any_number_of_classes(spark):
+    n = 1_200
+    df = spark.createDataFrame([(2 * k + i, k, [10.0 * k + i, float(i)]) for k in range(n) for i in (0, 1)], "id long, label long, bands array<double>")
+    for got in (classify.minimum_distance(df, classify.class_means(df), ["id"]), classify.maximum_likelihood(df, df, ["id"])):
+        assert {r.id: r["class"] for r in got.collect()} == {i: i // 2 for i in range(2 * n)}
+    lost = spark.createDataFrame([(1, None), (2, [1.0, None])], "id long, bands array<double>")
+    assert [(r["class"], r.score) for r in classify.maximum_likelihood(lost, df.where("label < 3"), ["id"]).collect()] == [(None, None)] * 2
+
+
 def test_verdicts(spark):
     s = spark.createDataFrame([("a", "completed"), ("b", "pending_validation")], "section string, verdict string")
     assert quality.roll_up(s, ["a"]).first().verdict == "completed"
