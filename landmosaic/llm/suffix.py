@@ -47,11 +47,11 @@ _BASE = np.uint64(0x5851F42D4C957F2D)
 _BACK = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _TABLE = np.random.default_rng(5).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
-#: What a step tells about a run of strings of one document: they start from a to b.
-TOLD = np.dtype([("part", "<i4"), ("id", "<i8"), ("a", "<i4"), ("b", "<i4"), ("h", "<u8"), ("off", "<u1"), ("code", "<u1")])
+#: What a step tells about a run of strings of one document, which id and tie name: they start from a to b.
+TOLD = np.dtype([("part", "<i4"), ("id", "<i8"), ("tie", "<i8"), ("a", "<i4"), ("b", "<i4"), ("h", "<u8"), ("off", "<u1"), ("code", "<u1")])
 REPEAT, DOUBT, DOUBT_HOT = 1, 2, 3
 #: A run on its way to its anchor. n: kinds of the anchor's runs in the chunk.
-SENT = np.dtype([("h", "<u8"), ("f", "<u8"), ("part", "<i4"), ("id", "<i8"), ("a", "<i4"), ("len", "<u1"), ("off", "<u1"), ("n", "<u1")])
+SENT = np.dtype([("h", "<u8"), ("f", "<u8"), ("part", "<i4"), ("id", "<i8"), ("tie", "<i8"), ("a", "<i4"), ("len", "<u1"), ("off", "<u1"), ("n", "<u1")])
 
 
 def packed(rows: np.ndarray) -> bytes:
@@ -80,12 +80,11 @@ def hashed(sums: tuple[np.ndarray, np.ndarray], a: np.ndarray, e: np.ndarray, wi
     return f ^ (f >> np.uint64(29))
 
 
-def split_runs(texts: dict[int, bytes], told: np.ndarray) -> np.ndarray:
-    """Runs in doubt as runs of at most SPLIT strings, by the bytes that all strings at these offsets from the anchor share."""
-    ids = sorted(texts)
-    at = np.cumsum([0, *(len(texts[i]) for i in ids)])
-    sums = rolled(b"".join(texts[i] for i in ids))
-    base = at[np.searchsorted(ids, told["id"])]
+def split_runs(texts: list[bytes], which: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Runs in doubt, each in texts[which], as runs of at most SPLIT strings, by the bytes that all strings at these offsets from the anchor share."""
+    at = np.cumsum([0, *map(len, texts)])
+    sums = rolled(b"".join(texts))
+    base = at[which]
     anchor = told["a"].astype(np.int64) + told["off"]
     out = []
     for k in range(0, _WINDOW, SPLIT):
@@ -96,7 +95,7 @@ def split_runs(texts: dict[int, bytes], told: np.ndarray) -> np.ndarray:
         core = first + p - k
         rows["h"] = hashed(sums, core, core + LENGTH - SPLIT + 1, k + 1) ^ t["h"]
         rows["f"] = hashed(sums, first + lo, first + hi + LENGTH, (hi - lo) * 256 + (p - lo))
-        for name, column in (("part", t["part"]), ("id", t["id"]), ("a", lo), ("len", hi - lo), ("off", p - lo)):
+        for name, column in (("part", t["part"]), ("id", t["id"]), ("tie", t["tie"]), ("a", lo), ("len", hi - lo), ("off", p - lo)):
             rows[name] = column
         out.append(rows)
     return np.concatenate(out)
@@ -142,9 +141,15 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _order(rows: np.ndarray, *before: str) -> np.ndarray:
+    """Order by the fields named, document and place; ties are mostly 0 and then aren't sorted by."""
+    names = ["a", *(["tie"] if rows["tie"].any() else []), "id", *reversed(before)]
+    return np.lexsort(tuple(rows[n] for n in names))
+
+
 def _told(rows: np.ndarray, code) -> np.ndarray:
     out = np.zeros(len(rows), TOLD)
-    for name in ("part", "id", "a", "h", "off"):
+    for name in ("part", "id", "tie", "a", "h", "off"):
         out[name] = rows[name]
     out["b"] = rows["a"] + rows["len"]
     out["code"] = code
@@ -153,15 +158,15 @@ def _told(rows: np.ndarray, code) -> np.ndarray:
 
 def _joined(rows: np.ndarray) -> np.ndarray:
     """Repeats of documents with those that touch or overlap made one; by what they are repeats doesn't matter any more."""
-    rows = rows[np.lexsort((rows["a"], rows["id"]))]
+    rows = rows[_order(rows)]
     if not len(rows):
         return rows
-    base = (np.cumsum(_firsts(rows["id"])) << 32).astype(np.int64)
+    base = (np.cumsum(_firsts(rows["id"], rows["tie"])) << 32).astype(np.int64)
     a, b = base + rows["a"], base + rows["b"]
     reach = np.maximum.accumulate(b)
     new = np.r_[True, a[1:] > reach[:-1] + 1]
     out = np.zeros(int(new.sum()), TOLD)
-    out["part"], out["id"], out["a"], out["code"] = rows["part"][new], rows["id"][new], rows["a"][new], REPEAT
+    out["part"], out["id"], out["tie"], out["a"], out["code"] = rows["part"][new], rows["id"][new], rows["tie"][new], rows["a"][new], REPEAT
     ends = np.r_[np.flatnonzero(new)[1:] - 1, len(rows) - 1]
     out["b"] = reach[ends] - base[ends]
     return out
@@ -174,14 +179,14 @@ def _settled(told: np.ndarray) -> np.ndarray:
 
 
 def _later(rows: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Of rows in order of kind, id and place: those after their kind's first, not in the same place."""
+    """Of rows in order of kind, document and place: those after their kind's first, not in the same place."""
     first = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
-    return (rows["id"] != first["id"]) | (rows["a"] != first["a"])
+    return (rows["id"] != first["id"]) | (rows["tie"] != first["tie"]) | (rows["a"] != first["a"])
 
 
 def meet_here(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(what to send, what is known) of a chunk's runs: of each kind of an anchor's runs the first is sent."""
-    rows = rows[np.lexsort((rows["a"], rows["id"], rows["f"], rows["h"]))]
+    rows = rows[_order(rows, "h", "f")]
     kind = _firsts(rows["h"], rows["f"])
     repeats = rows[_later(rows, kind)]
     reps = rows[kind]
@@ -196,7 +201,7 @@ def meet_here(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def meet_all(rows: np.ndarray) -> np.ndarray:
     """What is known of runs that met by anchor from all chunks; of a hot anchor's chunks one run each came."""
-    rows = rows[np.lexsort((rows["a"], rows["id"], rows["f"], rows["h"]))]
+    rows = rows[_order(rows, "h", "f")]
     kind = _firsts(rows["h"], rows["f"])
     anchor = _firsts(rows["h"])
     which = np.cumsum(anchor) - 1
@@ -209,7 +214,7 @@ def meet_all(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([_told(rows[repeat], REPEAT), _told(rows[doubt], np.where(hot[doubt], DOUBT_HOT, DOUBT))])
 
 
-def front_coded(suffixes: list[bytes], ids: np.ndarray, places: np.ndarray, part: int) -> bytes:
+def front_coded(suffixes: list[bytes], ids: np.ndarray, ties: np.ndarray, places: np.ndarray, part: int) -> bytes:
     """A sorted run of distinct suffixes: what each shares with the one before, the rest, and where it is."""
     shared = np.zeros(len(suffixes), np.uint8)
     rest = [suffixes[0]]
@@ -217,23 +222,23 @@ def front_coded(suffixes: list[bytes], ids: np.ndarray, places: np.ndarray, part
         shared[k] = n = _shared(suffixes[k - 1], suffixes[k], 0)
         rest.append(suffixes[k][n:])
     head = np.array([part, len(suffixes)], "<i8").tobytes()
-    columns = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in (ids.astype("<i8"), places.astype("<i4"))]
+    columns = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in (ids.astype("<i8"), ties.astype("<i8"), places.astype("<i4"))]
     return zstandard.compress(b"".join([head, shared.tobytes(), *columns, *rest]), 3)
 
 
-def uncoded(blob: bytes) -> tuple[int, list[int], list[bytes], np.ndarray, np.ndarray]:
-    """(part, shared lengths, suffixes, ids, places) of a front-coded run."""
+def uncoded(blob: bytes) -> tuple[int, list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(part, shared lengths, suffixes, ids, ties, places) of a front-coded run."""
     x = zstandard.decompress(blob)
     part, n = np.frombuffer(x, "<i8", 2).tolist()
     shared = np.frombuffer(x, np.uint8, n, 16).tolist()
-    ids = np.ascontiguousarray(np.frombuffer(x, np.uint8, 8 * n, 16 + n).reshape(8, n).T).view("<i8").ravel()
-    places = np.ascontiguousarray(np.frombuffer(x, np.uint8, 4 * n, 16 + 9 * n).reshape(4, n).T).view("<i4").ravel()
-    at, last, out = 16 + 13 * n, b"", []
+    ids, ties = (np.ascontiguousarray(np.frombuffer(x, np.uint8, 8 * n, 16 + k * n).reshape(8, n).T).view("<i8").ravel() for k in (1, 9))
+    places = np.ascontiguousarray(np.frombuffer(x, np.uint8, 4 * n, 16 + 17 * n).reshape(4, n).T).view("<i4").ravel()
+    at, last, out = 16 + 21 * n, b"", []
     for k in shared:
         last = last[:k] + x[at : at + LENGTH - k]
         at += LENGTH - k
         out.append(last)
-    return part, shared, out, ids, places
+    return part, shared, out, ids, ties, places
 
 
 def _shared(x: bytes, y: bytes, known: int) -> int:
@@ -299,24 +304,24 @@ def merged(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int
 def later_equals(blobs: list[bytes]) -> list[np.ndarray]:
     """What merging sorted runs tells: all but the first of equal suffixes are repeats."""
     runs = [uncoded(b) for b in blobs]
-    out: list[tuple[int, int, int]] = []
-    same: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
+    same: list[tuple[int, int, int, int]] = []
 
     def close():
         if len(same) > 1:
-            first = min(same)[:2]
-            out.extend(x for x in same if x[:2] != first)
+            first = min(same)[:3]
+            out.extend(x for x in same if x[:3] != first)
 
-    for run, i, n in merged([(lengths, suffixes) for _, lengths, suffixes, _, _ in runs]):
-        part, _, _, ids, places = runs[run]
+    for run, i, n in merged([(lengths, suffixes) for _, lengths, suffixes, *_ in runs]):
+        part, _, _, ids, ties, places = runs[run]
         if n < LENGTH:
             close()
             same = []
-        same.append((int(ids[i]), int(places[i]), part))
+        same.append((int(ids[i]), int(ties[i]), int(places[i]), part))
     close()
     told = np.zeros(len(out), TOLD)
     if out:
-        told["id"], told["a"], told["part"] = (np.array(c) for c in zip(*out, strict=True))
+        told["id"], told["tie"], told["a"], told["part"] = (np.array(c) for c in zip(*out, strict=True))
         told["b"] = told["a"]
         told["code"] = REPEAT
     return [told]
@@ -345,44 +350,52 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["part", "coded", "blob"])
 
 
+def _documents(rows: pd.DataFrame) -> Iterator[tuple[tuple[int, int], str]]:
+    """((id, tie), text) of rows."""
+    return zip(zip(rows["id"].tolist(), rows["tie"].tolist(), strict=True), rows["text"], strict=True)
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, kept (bytes), n_bytes, n_removed, n_spans of every row, and the columns named in `also`.
 
     Matches never cross documents and are judged on the input. A null text is as empty, one shorter
-    than LENGTH keeps all. Documents are told apart by id: repeated rows are one document, so neither
-    is earlier, and rows of one id but unlike texts count as pieces that start at the same place;
-    null ids count as the smallest id. Columns other than those named are not read; an empty table
+    than LENGTH keeps all. Documents are told apart by id and text: repeated rows are one document, so
+    neither is earlier, and rows of one id but unlike texts are documents of their own, in order of
+    their texts' 64-bit hashes; null ids count as the smallest id. Columns other than those named are not read; an empty table
     gives no rows.
 
-    Texts move once, to one of `parts` by id; everything else that moves is a few bytes for each run,
+    Texts move once, to one of `parts` by document; everything else that moves is a few bytes for each run,
     or a suffix in doubt. Each step is a function of its input, so a lost executor's work is done anew.
     """
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    least = -(1 << 63)
+    doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit(least)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    by_id = docs.select(doc.alias("id"), F.xxhash64(text).alias("tie"), F.octet_length(text).cast("long").alias("n")).groupBy("id").agg(F.min("tie").alias("low"), F.max("tie").alias("high"), F.sum("n").alias("n"))
+    total, shared = by_id.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.bool_or(F.col("low") < F.col("high")), F.lit(False))).first()
+    # Where every id has one text, the id tells documents apart, and ties of 0 move as nothing.
+    tie = F.xxhash64(text) if shared else F.lit(0).cast("long")
     parts = max(16, total // min(64 << 20, max(CHUNK, total // 512)))
     fewer = max(16, parts // 4)
-    least = -(1 << 63)
     given = docs.select(
-        F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("part"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"), *also,
+        F.pmod(F.xxhash64(doc, tie), F.lit(parts)).cast("int").alias("part"), doc.alias("id"), tie.alias("tie"), text.alias("text"), F.col(id_col).alias("doc_id"), *also,
     )
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
 
         def flush():
-            which, a, b, h, f, off = runs_of([t for _, _, t in held])
+            which, a, b, h, f, off = runs_of([x[3] for x in held])
             rows = np.zeros(len(a), SENT)
-            part, ids = (np.fromiter((x[k] for x in held), np.int64, len(held)) for k in (0, 1))
-            for name, column in (("h", h), ("f", f), ("part", part[which]), ("id", ids[which]), ("a", a), ("len", b - a), ("off", off)):
+            part, ids, ties = (np.fromiter((x[k] for x in held), np.int64, len(held)) for k in (0, 1, 2))
+            for name, column in (("h", h), ("f", f), ("part", part[which]), ("id", ids[which]), ("tie", ties[which]), ("a", a), ("len", b - a), ("off", off)):
                 rows[name] = column
             return pa.RecordBatch.from_pandas(_frame(_to_meet(rows, fewer)).astype({"part": "int32", "coded": bool}), preserve_index=False, schema=pa.schema([("part", pa.int32()), ("coded", pa.bool_()), ("blob", pa.binary())]))
 
         size = 0
         for batch in slices(batches):
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = row[2].encode()
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                text = row[3].encode()
                 if len(text) >= LENGTH:
-                    held.append((row[0], row[1], text))
+                    held.append((*row[:3], text))
                     size += len(text)
                 if size >= CHUNK:
                     yield flush()
@@ -401,39 +414,42 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
             return _frame([])
         told = np.concatenate([unpacked(b, TOLD) for b in right["blob"]])
         doubt = told[told["code"] >= DOUBT]
-        here = set(doubt["id"].tolist())
-        texts = {i: t.encode() for i, t in zip(left["id"], left["text"], strict=True) if i in here}
-        sizes = np.fromiter((len(texts[i]) for i in doubt["id"].tolist()), np.int64, len(doubt))
-        doubt = doubt[doubt["b"] + LENGTH <= sizes]
-        out = _to_meet(split_runs(texts, doubt), fewer) if len(doubt) else []
+        named = list(zip(doubt["id"].tolist(), doubt["tie"].tolist(), strict=True))
+        here = set(named)
+        texts = {k: t.encode() for k, t in _documents(left) if k in here}
+        number = {k: n for n, k in enumerate(texts)}
+        which = np.fromiter((number[k] for k in named), np.int64, len(named))
+        sizes = np.fromiter(map(len, texts.values()), np.int64, len(texts))
+        fits = doubt["b"] + LENGTH <= sizes[which] if len(doubt) else np.zeros(0, bool)
+        out = _to_meet(split_runs(list(texts.values()), which[fits], doubt[fits]), fewer) if fits.any() else []
         return _frame(out + [(p % fewer, False, packed(x)) for p, x in _deal(told[told["code"] == REPEAT])])
 
     def in_doubt(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if right.empty:
             return _frame([])
         told = np.concatenate([unpacked(b, TOLD) for b in right["blob"]])
-        texts = {i: t.encode() for i, t in zip(left["id"], left["text"], strict=True)}
-        by: dict[int, list[tuple[bytes, int, int]]] = {}
+        texts = {k: t.encode() for k, t in _documents(left)}
+        by: dict[int, list[tuple[bytes, int, int, int]]] = {}
         for r in told[told["code"] >= DOUBT].tolist():
-            _, doc, a, b, h, _, code = r
-            text = texts[doc]
+            _, doc, tie, a, b, h, _, code = r
+            text = texts[doc, tie]
             for place in range(a, b + 1):
                 suffix = text[place : place + LENGTH]
                 if len(suffix) < LENGTH:
                     break
                 # A run's suffixes, which share most bytes, go to the same task, and so do those of runs with its core.
                 to = zlib.crc32(suffix) if code == DOUBT_HOT else h
-                by.setdefault(to % fewer, []).append((suffix, doc, place))
+                by.setdefault(to % fewer, []).append((suffix, doc, tie, place))
         out, same = [], []
         for to, items in by.items():
             items.sort()
             first = [k for k in range(len(items)) if not k or items[k][0] != items[k - 1][0]]
             same += [items[k][1:] for k in range(1, len(items)) if items[k][0] == items[k - 1][0] and items[k][1:] != items[k - 1][1:]]
             kept = [items[k] for k in first]
-            out.append((to, True, front_coded([x[0] for x in kept], np.array([x[1] for x in kept]), np.array([x[2] for x in kept]), key[0])))
+            out.append((to, True, front_coded([x[0] for x in kept], *(np.array([x[k] for x in kept]) for k in (1, 2, 3)), key[0])))
         here = np.zeros(len(same), TOLD)
         if same:
-            here["id"], here["a"] = (np.array(c) for c in zip(*same, strict=True))
+            here["id"], here["tie"], here["a"] = (np.array(c) for c in zip(*same, strict=True))
             here["b"], here["code"] = here["a"], REPEAT
         known = np.concatenate([told[told["code"] == REPEAT], here])
         known["part"] = key[0]
@@ -450,10 +466,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
 
     def remove(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         told = np.concatenate([*(unpacked(b, TOLD) for b in right["blob"]), np.zeros(0, TOLD)])
-        told = told[np.argsort(told["id"], kind="stable")]
-        low, high = (np.searchsorted(told["id"], left["id"].to_numpy(), side=s) for s in ("left", "right"))
+        told = told[_order(told)]
+        starts = np.flatnonzero(_firsts(told["id"], told["tie"]))
+        spans_of = dict(zip(zip(told["id"][starts].tolist(), told["tie"][starts].tolist(), strict=True), zip(starts.tolist(), [*starts[1:].tolist(), len(told)][: len(starts)], strict=True), strict=True))
         rows = []
-        for text, s, e in zip(left["text"], low, high, strict=True):
+        for document, text in _documents(left):
+            s, e = spans_of.get(document, (0, 0))
             x = text.encode()
             change = np.zeros(len(x) + LENGTH + 1, np.int32)
             if e > s:
@@ -466,7 +484,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", als
         return pd.concat([left[["doc_id", *also]].reset_index(drop=True), made], axis=1)
 
     blobs = "part int, coded boolean, blob binary"
-    met = given.select("part", "id", "text").mapInArrow(look, blobs).groupBy("part").applyInPandas(by_anchor, blobs)
+    met = given.select("part", "id", "tie", "text").mapInArrow(look, blobs).groupBy("part").applyInPandas(by_anchor, blobs)
     split = given.groupBy("part").cogroup(met.groupBy("part")).applyInPandas(refine, blobs).groupBy("part").applyInPandas(by_anchor, blobs)
     doubts = given.groupBy("part").cogroup(split.groupBy("part")).applyInPandas(in_doubt, blobs)
     told = doubts.groupBy("part").applyInPandas(by_suffix, blobs)

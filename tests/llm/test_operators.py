@@ -130,6 +130,26 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted((r.doc_id, r.n_removed > 0) for r in suffix.digests(df).collect()) == [(1, False), (1, False), (2, True)]
 
 
+@pytest.mark.parametrize("hot", [3, 64])
+def test_texts_of_one_id_are_documents_of_their_own(spark, monkeypatch, hot):
+    """Null and repeated ids: a passage at other places of texts that share their id, and in other documents."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "CHUNK", 3000)
+    rng = random.Random(7)
+    line = prose(rng, 25)
+    made = [f"{prose(rng, 10 + 7 * k)} {line} {prose(rng, 30)}" for k in range(12)]
+    rows = [(None if k < 4 else 7 if k < 8 else k, t) for k, t in enumerate(made)] + [(None, made[0]), (7, made[5]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    ordered = sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]))
+    told = suffix.brute_force([(n, t) for n, (_, t) in enumerate(ordered)])
+    want = {x: told[n] for n, x in enumerate(ordered)}
+    key = lambda x: (str(x[0]), x[1:])
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digests(df).collect()]
+    assert sorted(got, key=key) == sorted(((x[0], *want[x]) for x in rows), key=key)
+    assert sum(w[1] == 0 for w in want.values()) == 2
+
+
 def test_loser_tree():
     rng = random.Random(2)
     runs = []
