@@ -5,23 +5,30 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut
 
 CAPACITY = 4096
 END = 2
-MEMO_WORDS = 250_000
-#: White space of Python's split() that the tokenizer's pattern doesn't count as such.
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"
-#: Letters whose lower case the library and Python's lower() may tell apart; special tokens' strings begin as well with "<".
-_CASE = "\u0130\u03a3<"
+MEMO_WORDS = 300_000
+#: Bytes of text whose words are looked up together.
+TEXT_BYTES = 8 << 20
+#: Words that the library encodes as one text.
+TOGETHER = 1024
+#: Letters, and signs that are one pre-token by themselves whatever letter stands before them.
+_SIGNED = r"""^(?P<letters>\pL+)(?P<signs>[.,;:!?#$%&*()\[\]{}\-_+=/\\|~^@"]*)$"""
+#: White space of the split that the tokenizer's pattern doesn't count as such.
+_NOT_SPACE = "[\x1c-\x1f]"
+#: Letters whose lower case depends on others or is more than a letter; special tokens' strings begin as well with "<".
+_DOTTED = "\u0130"
+_CASE = "[\u0130\u03a3<]"
 #: Runs of rows that are numbered together, for each length; more with more rows.
 RUN_ROWS = 20_000
 MOST_RUNS = 1024
@@ -45,59 +52,115 @@ class Words(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Has the library encode those not known; of a word and one sign, the two apart.
+    def learn(self, words: list[str]) -> bool:
+        """Has the library encode words of letters, TOGETHER as one text: each is one pre-token, whose last id ends a word.
 
-        Words of letters alone are encoded as one text: each is one pre-token, whose last id ends a word.
+        False if the library tells letters otherwise than the words' pattern does; then those are encoded each for itself.
         """
-        if len(self) >= MEMO_WORDS:
-            self.old = dict(self)
-            self.clear()
-        signed = [w for w in words if w not in self and w[-1] in ".," and w[:-1].isalpha()]
-        new = {w for w in words.union((w[:-1] for w in signed), ".,").difference(signed) if w not in self}
-        known = [w for w in new if w in self.old]
-        self.update((w, self.old[w]) for w in known)
-        new.difference_update(known)
-        plain = [w for w in new if w.isalpha()]
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+        sound = True
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.closing[ids]) + 1
-            if len(ends) == len(plain):
+            if len(ends) == len(part):
                 blob = ids.tobytes()
                 cuts = (ends * 4).tolist()
-                self.update((w, blob[s:e]) for w, s, e in zip(plain, [0, *cuts], cuts, strict=False))
-        for w in new:
-            if w not in self:
-                self[w] = self.whole(w)
-        self.update((w, self[w[:-1]] + self[w[-1]]) for w in signed)
+                self.update((w, blob[s:e]) for w, s, e in zip(part, [0, *cuts], cuts, strict=False))
+            else:
+                sound = False
+                self.update((w, self.whole(w)) for w in part)
+        return sound
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Words are encoded each for itself: white space is dropped and no id depends on it.
+    def of(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words; between MEMO_WORDS and twice as many words of letters are kept.
 
+        Letters and signs after them are taken apart if they keep apart: normalising and lower-casing
+        leaves the letters letters, and the signs are none that a pattern or a special token begins with.
+        """
+        if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+        parts = pc.extract_regex(words, _SIGNED)
+        heads = pc.struct_field(parts, "letters").dictionary_encode()
+        signs = pc.struct_field(parts, "signs").dictionary_encode()
+        names, marks = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (heads, signs))
+        marks = list(map(self.whole, marks))
+        calm = [w.isascii() or (is_normalized("NFC", w) and _DOTTED not in w) for w in names]
+        old = self.old
+        self.update((w, old[w]) for w in names if w in old and w not in self)
+        known = self.learn([w for w, sound in zip(names, calm, strict=True) if sound and w not in self])
+        found = [self[w] if sound else None for w, sound in zip(names, calm, strict=True)] if known else [None] * len(names)
+        which, tails = (pc.fill_null(x.indices, -1).to_numpy(zero_copy_only=False) for x in (heads, signs))
+        found.append(None)
+        ids = [h if h is None else h + marks[t] for h, t in zip(map(found.__getitem__, which.tolist()), tails.tolist(), strict=True)]
+        for k in [k for k, x in enumerate(ids) if x is None]:
+            ids[k] = self.whole(words[k].as_py())
+        return ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's end).
+
+        Words are encoded each for itself: white space is dropped and no id depends on it. Every
+        distinct word of the texts is looked up once and its ids are copied to where it stands.
         Lower case is taken first where letters don't depend on others for it, so that fewer words differ.
         """
-        words = [None if any(c in t for c in _NOT_SPACE) else (t if any(c in t for c in _CASE) or not is_normalized("NFC", t) else t.lower()).split() for t in texts]
-        self.learn(set(chain.from_iterable(w for w in words if w)))
-        return [self.whole(t) if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
+        texts = texts.fill_null("")
+        lower = pc.utf8_lower(texts)
+        plain = pc.string_is_ascii(texts).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(~plain).tolist():
+            plain[k] = is_normalized("NFC", texts[k].as_py()) and is_normalized("NFC", lower[k].as_py())
+        calm = pc.and_(pc.invert(pc.match_substring_regex(texts, _CASE)), pa.array(plain))
+        apart = pc.match_substring_regex(texts, _NOT_SPACE).to_numpy(zero_copy_only=False)
+        words = pc.utf8_split_whitespace(pc.if_else(calm, lower, texts))
+        coded = words.flatten().dictionary_encode()
+        kinds = self.of(coded.dictionary)
+        sizes = np.fromiter(map(len, kinds), np.int64, len(kinds)) // 4
+        flat = np.frombuffer(b"".join(kinds), "<u4")
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        long = sizes[at]
+        ends = np.cumsum(long)
+        firsts = (np.cumsum(sizes) - sizes)[at]
+        ids = flat[np.repeat(firsts - ends + long, long) + np.arange(ends[-1] if len(ends) else 0)]
+        told = np.r_[0, ends][np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]
+        if apart.any():
+            parts = np.split(ids, told[:-1])
+            parts = [np.frombuffer(self.whole(texts[k].as_py()), "<u4") if apart[k] else x for k, x in enumerate(parts)]
+            ids, told = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return ids, told
 
 
 _loaded: dict[str, Words] = {}
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about TEXT_BYTES of text each."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + TEXT_BYTES, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and `end`, cut where a sequence is full."""
-    tail = np.array([end], "<u4").tobytes()
+    tail = np.array([end], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _loaded:
             _loaded[path] = Words(path)
         words = _loaded[path]
-        for part in slices(batches):
-            rows = []
-            for doc_id, ids in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                ids += tail
-                n = len(ids) // 4
-                rows += [(doc_id, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]
+        for part in _by_bytes(batches):
+            ids, ends = words.encode(part.column(1))
+            # The end id goes in after each text.
+            blob = memoryview(np.insert(ids, ends, tail[0]).tobytes())
+            rows, first = [], 0
+            for doc_id, last in zip(part.column(0).to_pylist(), (ends + np.arange(1, len(ends) + 1)).tolist(), strict=True):
+                n = last - first
+                rows += [(doc_id, at, min(capacity, n - at), zlib.crc32(blob[4 * (first + at) : 4 * (first + min(at + capacity, n))]), n) for at in range(0, n, capacity)]
+                first = last
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
