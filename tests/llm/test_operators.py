@@ -112,15 +112,66 @@ def test_suffix_dedup(docs, texts, empty):
     assert suffix.digests(empty).count() == 0
 
 
-def test_suffix_dedup_of_hot_passages(spark, monkeypatch):
-    """So many contexts of one passage that its anchors are dealt by suffix, over several chunks."""
-    monkeypatch.setattr(suffix, "HOT", 3)
-    monkeypatch.setattr(suffix, "CHUNK", 3000)
-    rng = random.Random(5)
-    line = prose(rng, 22)
-    rows = [(k, f"{prose(rng, 12)} {line} {prose(rng, 12)}" if k % 3 else line * 2) for k in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digests(df).collect()} == suffix.brute_force(rows)
+def dedup_here(rows, parts, tasks):
+    """The steps of suffix.repeats() without Spark: (doc, place) of every byte that goes."""
+    mine = [[k for k in sorted(rows) if len(rows[k]) >= suffix.LENGTH and k[0] % parts == p] for p in range(parts)]
+    found = []
+    for keys in mine:
+        _, _, _, _, h, f = suffix.runs_of([rows[k] for k in keys])
+        found.append(suffix.counts(h, f))
+    anchors, inverse, met = np.unique(np.concatenate(found)["h"], return_inverse=True, return_counts=True)
+    total = np.bincount(inverse, np.concatenate(found)["n"])
+    inbox, told = {}, [np.zeros(0, suffix.TOLD)]
+    for p, keys in enumerate(mine):
+        known = found[p][met[np.searchsorted(anchors, found[p]["h"])] > 1]
+        known["n"] = total[np.searchsorted(anchors, known["h"])]
+        for task, coded, blob in suffix.local_runs(p, keys, [rows[k] for k in keys], known, tasks) if keys else ():
+            if coded:
+                inbox.setdefault(task, []).append(blob)
+            else:
+                told.append(suffix.unpacked(blob, suffix.TOLD))
+    told += map(suffix.later_equals, inbox.values())
+    return {(r["id"], x) for r in np.concatenate(told) for x in range(r["a"], r["b"] + suffix.LENGTH)}
+
+
+@pytest.mark.parametrize("many", [suffix.MANY, 2, 1])
+def test_suffixes_of_hot_anchors_too_tell_every_repeat(monkeypatch, many):
+    """Anchors taken whole, in ranges of offsets and string by string, over copies, long letters and zero bytes."""
+    monkeypatch.setattr(suffix, "MANY", many)
+    monkeypatch.setattr(suffix, "BATCH", 100)
+    monkeypatch.setattr(suffix, "BLOCK", 700)
+    rng = random.Random(many)
+    passages = [prose(rng, rng.randrange(20, 60)).encode() for _ in range(6)]
+    rows = {}
+    for k in range(70):
+        text = prose(rng, rng.randrange(3, 30)).encode()
+        for _ in range(rng.randrange(4)):
+            text += rng.choice([b" ", b""]) + rng.choice(passages) + rng.choice([b"", b" " + prose(rng, 9).encode()])
+        rows[k, 0] = b"a" * (90 + k) if k % 11 == 0 else b"ab\0" * (90 + k) if k % 13 == 0 else rows[k - 1, 0] if k % 17 == 1 else text
+    seen, want = set(), set()
+    for (doc, _), x in sorted(rows.items()):
+        for k in range(len(x) - suffix.LENGTH + 1):
+            s = x[k : k + suffix.LENGTH]
+            if s in seen:
+                want.update((doc, j) for j in range(k, k + suffix.LENGTH))
+            seen.add(s)
+    assert want and dedup_here(rows, 5, 3) == want
+
+
+def test_front_coding():
+    rng = random.Random(3)
+    n = 60
+    right = np.array([[rng.choice(b"ab") for _ in range(suffix.LENGTH)] for _ in range(n)], np.uint8)
+    left = np.array([[rng.choice(b"ab") for _ in range(suffix._BEFORE)] for _ in range(n)], np.uint8)
+    sent = np.zeros(n, suffix.SENT)
+    sent["least"], sent["most"] = [rng.randrange(10) for _ in range(n)], [rng.randrange(10, 85) for _ in range(n)]
+    right *= np.arange(suffix.LENGTH) < suffix.LENGTH - sent["least"][:, None]
+    left *= np.arange(suffix._BEFORE) < sent["most"][:, None]
+    right = right[np.lexsort(right.T[::-1])]
+    sent["shared"] = np.minimum(suffix.shared_lengths(right), suffix.LENGTH - sent["least"])
+    part, s, r, t = suffix.uncoded(suffix.coded(9, sent, right, left))
+    assert part == 9 and (s == sent).all() and (t == left).all()
+    assert all((r[k] == right[k])[: suffix.LENGTH - sent["least"][k]].all() for k in range(n))
 
 
 def test_repeated_rows_are_one_document(spark):
@@ -130,11 +181,9 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted((r.doc_id, r.n_removed > 0) for r in suffix.digests(df).collect()) == [(1, False), (1, False), (2, True)]
 
 
-@pytest.mark.parametrize("hot", [3, 64])
-def test_texts_of_one_id_are_documents_of_their_own(spark, monkeypatch, hot):
+def test_texts_of_one_id_are_documents_of_their_own(spark, monkeypatch):
     """Null and repeated ids: a passage at other places of texts that share their id, and in other documents."""
-    monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "CHUNK", 3000)
+    monkeypatch.setattr(suffix, "PART", 300)
     rng = random.Random(7)
     line = prose(rng, 25)
     made = [f"{prose(rng, 10 + 7 * k)} {line} {prose(rng, 30)}" for k in range(12)]
@@ -154,12 +203,15 @@ def test_loser_tree():
     rng = random.Random(2)
     runs = []
     for _ in range(7):
-        s = sorted({bytes(rng.choice(b"ab") for _ in range(suffix.LENGTH)) if rng.random() < 0.5 else b"a" * (n := rng.randrange(100)) + b"c" * (suffix.LENGTH - n) for _ in range(rng.randrange(1, 40))})
-        runs.append(([0] + [suffix._shared(s[k - 1], s[k], 0) for k in range(1, len(s))], s))
-    out = list(suffix.merged(runs))
-    found = [runs[r][1][i] for r, i, _ in out]
-    assert found == sorted(x for _, s in runs for x in s)
-    assert [n for _, _, n in out][1:] == [suffix._shared(a, b, 0) for a, b in zip(found, found[1:], strict=False)]
+        made = {bytes(rng.choice(b"ab") for _ in range(suffix.LENGTH)) if rng.random() < 0.5 else b"a" * (n := rng.randrange(100)) + b"c" * (suffix.LENGTH - n) for _ in range(rng.randrange(1, 40))}
+        rows = np.array([list(x) for x in sorted(made)], np.uint8)
+        runs.append((suffix.shared_lengths(rows).tolist(), rows.tobytes()))
+    cut = lambda r, i: runs[r][1][suffix.LENGTH * i : suffix.LENGTH * (i + 1)]
+    which, index, lengths = suffix.merged(runs)
+    found = list(map(cut, which, index))
+    assert found == sorted(cut(r, i) for r, (told, _) in enumerate(runs) for i in range(len(told)))
+    assert lengths == suffix.shared_lengths(np.array([list(x) for x in found], np.uint8)).tolist()
+    assert suffix.merged(runs[:1])[1] == list(range(len(runs[0][0]))) and suffix.merged([]) == ([], [], [])
 
 
 def test_toxicity_restores_words():
