@@ -252,45 +252,81 @@ def test_scorers_learn(spark):
 
 
 def plain_winnow(text, k=winnow.K, w=winnow.W):
+    """[(place, hash)] of the kept grams, gram by gram."""
     import re
 
-    units = re.findall(r"[^ \t\n\r\f\v]{1,16}", text, re.ASCII)
+    units = [u for run in re.findall(r"[^ \t\n\r\f\v]+", text, re.ASCII) for u in ([run] if len(run.encode("utf-16-le")) // 2 <= 16 and len(run) <= 16 else run)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
+
     def fold(h, seed):
         return xxhash.xxh64_intdigest((h & (1 << 64) - 1).to_bytes(8, "little"), seed & (1 << 64) - 1)
+
+    def grams(h, first):
+        if 0 < len(h) < k:
+            whole = 42
+            for x in h:
+                whole = fold(x, whole)
+            return [(signed(whole) >> 31, -first)]
+        width = 1
+        while width < k:
+            h = [fold(h[i + width], fold(h[i], 42)) for i in range(len(h) - width)]
+            width *= 2
+        return [(signed(x) >> 31, -first - i) for i, x in enumerate(h)]
+
     if not units:
         return []
-    h = [xxhash.xxh64_intdigest(u.encode(), 42) for u in units]
-    if len(h) < k + 1:
-        return None
-    width = 1
-    while width < k:
-        h = [fold(h[i + width], fold(h[i], 42)) for i in range(len(h) - width)]
-        width *= 2
-    g = [(signed(x) & -(1 << 31)) | (2147483647 - i) for i, x in enumerate(h)]
-    kept = {min(g[i : i + w]) for i in range(max(1, len(g) - w + 1))}
-    return sorted({x >> 32 for x in kept})
+    g = grams([xxhash.xxh64_intdigest(u.encode(), 42) for u in units], 0)
+    if len(g) >= 4 * w:
+        g = {min(g[i : i + w]) for i in range(len(g) - w + 1)}
+    elif len(units) < k + w:
+        g = g + grams([xxhash.xxh64_intdigest(b"letter", xxhash.xxh64_intdigest(c.encode(), 42)) for c in text], len(units))
+    return sorted((-at, h >> 1) for h, at in g)
 
 
 def test_winnowing(docs, texts, empty):
     rows = {r.doc_id: r for r in winnow.compare_edits(docs).collect()}
     order = sorted(range(len(texts)), reverse=True)
-    digits = lambda hs: "".join(f"{h & 0xFFFFFFFF:08X}" for h in hs)
+    digits = lambda hs: "".join(f"{h & 0xFFFFFFFF:08X}" for h in sorted(hs))
     for k, nxt in zip(order, [*order[1:], order[0]], strict=True):
         t, n = texts[k] or "", texts[nxt] or ""
         edited = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
         r = rows[k]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        a, b, c = plain_winnow(t), plain_winnow(edited), plain_winnow(n)
-        if a is not None:
-            assert r.fingerprint == digits(a)
-        if None not in (a, b):
-            assert r.near_edited == pytest.approx(len({*a} & {*b}) / len({*a} | {*b}) if a or b else 1.0)
-        if None not in (a, c):
-            assert r.near_next == pytest.approx(len({*a} & {*c}) / len({*a} | {*c}) if a or c else 1.0)
+        kept = plain_winnow(t)
+        assert sorted(r.places) == [at for at, _ in kept]
+        a, b, c = ({h for _, h in plain_winnow(x)} for x in (t, edited, n))
+        assert (r.fingerprint, r.edited_fingerprint) == (digits(a), digits(b))
+        assert r.near_edited == pytest.approx(len(a & b) / len(a | b) if a or b else 1.0)
+        assert r.near_next == pytest.approx(len(a & c) / len(a | c) if a or c else 1.0)
+        if len(t.split()) > 2 and r.near_next < 0.3:
+            assert r.near_edited > r.near_next
     assert winnow.compare_edits(empty).count() == 0
     assert winnow.compare_edits(docs.limit(1)).first().near_next == 1.0
     assert winnow.compare_edits(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == len(texts)
+    twice = winnow.compare_edits(docs.union(docs).union(docs)).where("doc_id = 20").collect()
+    assert sorted(r.near_next == 1.0 for r in twice) == [False, True, True]
+
+
+def test_shared_runs_without_spaces_share_a_gram(spark):
+    rng = random.Random(10)
+    letters = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    common = letters(winnow.K + winnow.W - 1)
+    df = spark.createDataFrame([(k, letters(40 + k) + common + letters(50)) for k in range(2)], "doc_id long, text string")
+    a, b = ({r.fingerprint[i : i + 8] for i in range(0, len(r.fingerprint), 8)} for r in winnow.fingerprints(df).collect())
+    assert a & b
+
+
+@pytest.mark.parametrize("ids", [[-(1 << 63), (1 << 63) - 1, *range(40)], [None] * 30 + [7] * 30 + [1 << 62, 5]])
+def test_winnowing_of_ids_far_apart_and_alike(spark, monkeypatch, ids):
+    monkeypatch.setattr(winnow, "RANGE_ROWS", 4)
+    rows = [(i, f"text {n} " * 9) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for (_, t), (_, n) in zip(order, [*order[1:], order[0]], strict=True))
+    assert sorted(r.edited_sha256 for r in winnow.compare_edits(df).collect()) == want
+    kinds = df.selectExpr("doc_id AS id", "xxhash64(text) AS key", "1L AS n")
+    assert winnow._narrowed(kinds, winnow._ranges(kinds, len(ids))).groupBy("at").count().agg(F.max("count")).first()[0] <= 8
 
 
 def test_winnowing_over_ranges(spark, monkeypatch):
