@@ -225,6 +225,52 @@ def test_toxicity_restores_words():
     r = toxicity.Restorer(np.log(m / m.sum(axis=1, keepdims=True)).ravel())
     assert [r.word(w) for w in ("1d10t", "idiiiiot", "s.t.u.p.i.d", "$tupid!!", "l0s3r", "hello,", "2024")] == ["idiot", "idiot", "stupid", "stupid", "loser", "hello", "2024"]
     assert "idiot" in {r.word(w) for w in r.words("you i d i o t there")}
+    assert "idiot" in r.words("so y o u i d i o t") and "stupid" in r.words("$ t u p 1 d, table")
+    assert "idiot" in toxicity.Restorer(np.log(m / m.sum(axis=1, keepdims=True)).ravel(), frozenset()).words("table id iot hello")
+
+
+def test_decoding_finds_the_likeliest_reading():
+    """Against all readings of short texts, one by one."""
+    from itertools import groupby, product
+
+    rng = random.Random(6)
+    model = np.log(np.array([[rng.random() + 0.01 for _ in range(toxicity.CLASSES)] for _ in range(toxicity.CLASSES**2)])).ravel()
+    r = toxicity.Restorer(model)
+
+    def cost(text):
+        x = [0, 0, *(0 if c == " " else toxicity._class(c) for c in text), 0]
+        return sum(model[(a * toxicity.CLASSES + b) * toxicity.CLASSES + c] for a, b, c in zip(x, x[1:], x[2:], strict=False))
+
+    def all_readings(text):
+        """(restored, channel's cost): spaces by the pieces around them; runs and signs as the channel has them."""
+        pieces, lattice = text.split(" "), []
+        for k, piece in enumerate(pieces):
+            if k:
+                lone = len(pieces[k - 1]) == 1 and len(piece) == 1
+                lattice.append([("", np.log(0.8 if lone else 0.02)), (" ", np.log(0.2 if lone else 0.98))])
+            for i, (c, run) in enumerate(groupby(piece)):
+                n = len(list(run))
+                if c in toxicity.BETWEEN:
+                    continue
+                letters = toxicity.LEET.get(c, c)
+                one = np.log(0.5) if len(letters) > 1 else 0.0
+                options = [(x * m, one + (np.log(0.2) if m > 1 else 0.0)) for x in letters for m in ((1, 2) if n > 2 else (n,))]
+                lattice.append(options + ([("again:" + letters, np.log(0.01))] if k and not i and n == 1 else []))
+        for way in product(*lattice):
+            out, total, sound = "", 0.0, True
+            for x, p in way:
+                total += p
+                if x.startswith("again:"):
+                    sound &= out[-1:] in tuple(x[6:])
+                else:
+                    out += x
+            if sound:
+                yield total + cost(out), out
+
+    for text in ["1d10t", "a m o r o n", "id iot", "i d i i o t", "s.t!u||p", "aaab b1", "t o o", "$$$ h 1t", "a a a"]:
+        found = r.decode(text)
+        ways = list(all_readings(text))
+        assert max(c for c, x in ways if x == found) == pytest.approx(max(ways)[0])
 
 
 @pytest.mark.parametrize("operator", [toxicity.scored, quality.classify])
