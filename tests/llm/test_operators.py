@@ -512,18 +512,71 @@ PAGES = [
     (1, "http://a.example.fr/x", '<html lang="fr"><body>le chat est dans la maison et il dort</body></html>'),
     (2, "http://b.example.de", "<html><script>the the the</script><p>der hund ist in dem haus und er</p></html>"),
     (3, None, None), (4, "no url", ""), (5, "http://a.example.fr/y", "<html lang=fr>12345</html>"),
+    (6, "http://a.example.fr/z", "<html lang='fr-CA'>der hund ist in dem haus und er mit den anderen</html>"),
+    (7, "http://b.example.de/q", "<html lang=de>xqzvkj wvxxq jjqkzx qqvwx zzkxjv xwqzk vvqjx kzxqj</html>"),
+    (8, "http://b.example.de/q", "<html lang=de>xqzvkj wvxxq jjqkzx qqvwx zzkxjv xwqzk vvqjx kzxqj</html>"),
 ]
 
 
+def plain_languages(rows, trained):
+    """{n: (language, confidence)} of rows (text, declared, host, suffix), in dictionaries; trained: (text, lang)."""
+    import math
+    from collections import Counter
+
+    def grams(text):
+        x = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        x = x.encode()
+        return [x[k : k + 3] for k in range(len(x) - 2)]
+
+    by, letters = {}, Counter()
+    for lang in {lang for _, lang in trained}:
+        text = " ".join(t for t, x in trained if x == lang)
+        by[lang] = Counter(grams(text))
+        letters.update((" " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " ").encode())
+    whole = sum(letters.values()) + 128
+    langs, out = sorted(by), {}
+    for n, (text, declared, host, suffix) in enumerate(rows):
+        g = grams(text)
+        share = min(1, langid.TEXT_WEIGHT / max(1, len(g)))
+        stray = [math.prod((letters[b] + 0.5) / whole for b in x) for x in g]
+        others = [r for k, r in enumerate(rows) if k != n and r[1] in by]
+        score = {}
+        for lang in langs:
+            total = sum(by[lang].values())
+            p = (sum(r[1] == lang for r in others) + 1) / (len(others) + len(langs))
+            for same in ([r for r in others if r[3] == suffix], [r for r in others if r[2:] == (host, suffix)]):
+                p = (sum(r[1] == lang for r in same) + langid.SMOOTH * p) / (len(same) + langid.SMOOTH)
+            told = 0 if declared not in by else math.log(langid.TRUST if lang == declared else (1 - langid.TRUST) / (len(langs) - 1))
+            score[lang] = share * sum(math.log((1 - langid.STRAY) * by[lang][x] / total + langid.STRAY * s) for x, s in zip(g, stray, strict=True)) + told + math.log(p) + math.log(1 - langid.OTHER)
+        none = share * sum(map(math.log, stray)) + math.log(langid.OTHER) - (math.log(len(langs)) if declared in by else 0)
+        best = max(langs, key=lambda x: (score[x], [-ord(c) for c in x]))
+        out[n] = (best, 1 / (sum(math.exp(s - score[best]) for s in score.values()) + math.exp(none - score[best])), len(g))
+    return out
+
+
 def test_language(spark, empty):
     rng = random.Random(2)
-    words = {"fr": "le chat est dans la maison et il dort avec les autres".split(), "de": "der hund ist in dem haus und er schläft mit den anderen".split()}
-    docs = spark.createDataFrame([(k, " ".join(rng.choice(words[lang]) for _ in range(40)), lang) for k, lang in enumerate(["fr", "de"] * 20)] + [(99, None, "fr"), (98, "x", None)], "doc_id long, text string, lang string")
-    got = {r.page_id: r for r in langid.identify_pages(spark.createDataFrame(PAGES, "page_id long, url string, html string"), docs).collect()}
-    assert (got[1].language, got[2].language, got[5].language) == ("fr", "de", "fr")
-    assert got[1].accepted and got[2].accepted and not got[3].accepted and not got[4].accepted and not got[5].accepted
-    assert len(got) == 5
+    words = {"fr": "le chat est dans la maison et il dort avec les autres".split(), "de": "der hund ist in dem haus und er schlaeft mit den anderen".split()}
+    texts = [(" ".join(rng.choice(words[lang]) for _ in range(40)), lang) for lang in ["fr", "de"] * 20]
+    docs = spark.createDataFrame([(k, *x) for k, x in enumerate(texts)] + [(99, None, "fr"), (98, "x", None), (97, "y", "not a code")], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("declared", F.lit("x"))
+    got = {r.page_id: r for r in langid.identify_pages(pages.where("page_id < 8"), docs).collect()}
+    assert [got[k].language for k in (1, 2, 5, 6)] == ["fr", "de", "fr", "de"] and got[6].declared == "fr"
+    assert [got[k].accepted for k in range(1, 8)] == [True, True, False, False, False, True, False]
+    rows = [("le chat est dans la maison et il dort", "fr", "a.example.fr", "fr"), ("der hund ist in dem haus und er", None, "b.example.de", "de"), ("", None, "", ""), ("", None, "", ""), ("12345", "fr", "a.example.fr", "fr"), ("der hund ist in dem haus und er mit den anderen", "fr", "a.example.fr", "fr"), ("xqzvkj wvxxq jjqkzx qqvwx zzkxjv xwqzk vvqjx kzxqj", "de", "b.example.de", "de")]
+    for n, (language, confidence, _) in plain_languages(rows, texts).items():
+        assert (got[n + 1].language, got[n + 1].confidence) == (language, pytest.approx(confidence, rel=1e-4, abs=1e-9))
+    assert langid.identify_pages(pages.unionAll(pages), docs).count() == 2 * len(PAGES)
+    assert langid.identify_pages(pages.limit(0), docs).count() == 0
+    assert langid.identify_pages(pages, docs.limit(0)).where("language IS NOT NULL OR accepted").count() == 0
     found = {r.doc_id: r for r in langid.identify_documents(docs.withColumn("source", F.lit(None).cast("string")).withColumn("host", F.lit(1))).collect()}
     assert all(found[k].language == ["fr", "de"][k % 2] and found[k].accepted for k in range(40))
     assert not found[99].accepted
     assert langid.identify_documents(empty).count() == 0
+
+
+def test_rare_languages_stay(spark):
+    """One row in thousands declares a language of its own, and is known by it."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 77, "zqo vrk zqo wek zqo vrk").otherwise("the cat is in the house and it sleeps").alias("text"), F.when(F.col("id") == 77, "xx").otherwise("en").alias("lang"), F.lit("s").alias("source"))
+    r = langid.identify_documents(df).where("doc_id = 77").first()
+    assert (r.language, r.accepted) == ("xx", True)
