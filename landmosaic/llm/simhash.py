@@ -20,31 +20,42 @@ DISTANCE = 3
 #: Members of an anchor that one comparison takes at once; larger anchors go in pairs of blocks.
 BLOCK = 8192
 _CHUNK = 1 << 16
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """A bit is 1 if it is set in over half of the shingles' hashes; no word: 0."""
+def fingerprint(text: str | None, words: int = WORDS, rounds: int = 1) -> list[int]:
+    """For each round a fingerprint: a bit is 1 if it is set in over half of the shingles' hashes; no word: 0.
+
+    The first round's hashes are XXH64; those of later rounds are mixed from them and are as good as independent.
+    """
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return [0] * rounds
     grams = [b" ".join(found)] if len(found) < words else list(map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False)))
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((rounds, 64), np.int64)
     for at in range(0, len(grams), _CHUNK):
         part = grams[at : at + _CHUNK]
         hashes = np.fromiter(map(xxh64_intdigest, part, repeat(SEED)), np.uint64, len(part))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(grams), bitorder="little").tobytes(), "little", signed=True)
+        for k in range(rounds):
+            if k:
+                hashes = (hashes ^ (hashes >> np.uint64(31)) ^ _MIX) * _MIX
+                hashes ^= hashes >> np.uint64(29)
+                hashes *= np.uint64(0xBF58476D1CE4E5B9)
+                hashes ^= hashes >> np.uint64(32)
+            ones[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    packed = np.packbits(2 * ones > len(grams), axis=1, bitorder="little")
+    return packed.view("<i8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; words end at ASCII white space, A-Z are lower-cased."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rounds: int = 1) -> DataFrame:
+    """(doc_id, fps) of every row, a fingerprint for each round; words end at ASCII white space, A-Z are lower-cased."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fps = [fingerprint(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t, words, rounds) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def _syndrome(word: np.ndarray) -> np.ndarray:
@@ -174,6 +185,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.where("anchor IS NULL").select("a", "b").union(over)
 
 
+def _components(fps: DataFrame) -> DataFrame:
+    """(fp_of, component_id) of the distinct fingerprints of (doc_id, fp): the smallest id reachable."""
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(distinct))
+    met = roots.join(distinct, roots.node == distinct.fp).groupBy("root").agg(F.min("first").alias("least"))
+    named = distinct.join(roots.join(met, "root").select(F.col("node").alias("fp"), "least"), "fp", "left")
+    return cut(named.select(F.col("fp").alias("fp_of"), F.coalesce("least", "first").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
@@ -182,13 +202,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are never a component's id unless all its ids are null. Equal fingerprints meet before the
     search, so copies cost one row; no pair table is made, only a spanning forest for each anchor.
     """
-    fps = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct))
-    met = roots.join(distinct, roots.node == distinct.fp).groupBy("root").agg(F.min("first").alias("least"))
-    named = cut(
-        distinct.join(roots.join(met, "root").select(F.col("node").alias("fp"), "least"), "fp", "left").select(
-            F.col("fp").alias("fp_of"), F.coalesce("least", "first").alias("component_id")
-        )
-    )
-    return fps.join(named, F.col("fp") == F.col("fp_of"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = cut(fingerprints(docs, id_col, text_col).select("doc_id", F.col("fps")[0].alias("fp")))
+    return fps.join(_components(fps), F.col("fp") == F.col("fp_of"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def groups(docs: DataFrame, id_col: str, text_col: str, words: int, rounds: int) -> DataFrame:
+    """(id, group): rows by id, which must not be null, with the smallest id of those they are linked to in any round.
+
+    A pair links if its fingerprints of one round differ in DISTANCE bits or fewer. A pair of likeness
+    J differs in 64 acos(2 J / (1 + J)) / pi bits on average, so rounds catch pairs that one by chance
+    does not. Texts without words aren't linked to others. Repeated ids are one.
+    """
+    fps = cut(fingerprints(docs, id_col, text_col, words, rounds).distinct())
+    stars = None
+    for k in range(rounds):
+        one = fps.select("doc_id", F.col("fps")[k].alias("fp")).where("fp <> 0")
+        star = one.join(_components(one), F.col("fp") == F.col("fp_of")).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        stars = star if stars is None else stars.union(star)
+    found = components(cut(stars))
+    return fps.select(F.col("doc_id").alias("id")).join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))

@@ -231,8 +231,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[tuple,
     return model, fit(docs, labels, "toxic", held_out, lambda: make_features(model), lambda n: 1.0, alpha=0.3, l1=2.0, l2=0.1, positive=True)
 
 
-def scored(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of (doc_id, text, …).
+def scored(docs: DataFrame, labels: DataFrame, held_out: Column, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of (doc_id, text, …), and the columns named in `also`.
 
     The letters' language model counts all texts; the scorer is fitted on a bounded sample of labelled
     rows that are not held out. Only texts go into a score. Null and empty texts get the score of no
@@ -241,12 +241,15 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """
     model, weights = train(docs, labels, held_out)
     sent = docs.sparkSession.sparkContext.broadcast((model, weights))
+    chosen = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.col("text").cast("string").alias("scored_text"), *[F.col(c).alias(f"also_{c}") for c in also])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
         for part in slices(batches):
             scores = [scorer.score(t or "") for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            made = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made, *part.columns[3:]], ["doc_id", "held_out", "score", "predicted", *part.schema.names[3:]])
 
-    chosen = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[3:])
+    out = chosen.mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int{kinds}")
+    return out.select("doc_id", "held_out", "score", "predicted", *[F.col(f"also_{c}").alias(c) for c in also if c != "doc_id"])

@@ -477,6 +477,21 @@ def test_simhash(docs, texts, empty):
     assert len(nulls) == len(texts) and all(r.component_id is None for r in nulls)
 
 
+def test_groups_over_rounds(spark):
+    """Near copies in each round's links, against all pairs; copies with one edit in some 300 words are found."""
+    rng = random.Random(21)
+    made = [prose(rng, 300) for _ in range(30)]
+    rows = list(enumerate(made)) + [(100 + k, t.replace(" the ", " one ", 1)) for k, t in enumerate(made)] + [(200, ""), (201, None), (3, made[3])]
+    df = spark.createDataFrame(rows, "key long, text string").withColumn("group", F.lit(1)).repartition(3)
+    got = {r.id: r.group for r in simhash.groups(df, "key", "text", 5, 4).collect()}
+    fps = {k: [x & (1 << 64) - 1 for x in simhash.fingerprint(t, 5, 4)] for k, t in rows}
+    assert [simhash.fingerprint(t)[0] & (1 << 64) - 1 for t in made[:5]] == [plain_fingerprint(t) for t in made[:5]]
+    least = {k: k for k in fps}
+    for _ in range(4):
+        least = {k: min(least[j] for j in fps if j == k or any(x and y and bin(x ^ y).count("1") <= 3 for x, y in zip(fps[k], fps[j], strict=True))) for k in fps}
+    assert got == least and sum(got[100 + k] == k for k in range(30)) > 26
+
+
 @pytest.mark.parametrize("block", [simhash.BLOCK, 8])
 def test_links_keep_components(spark, monkeypatch, block):
     """Balls of fingerprints, in anchors taken whole and in pairs of blocks."""

@@ -46,6 +46,26 @@ def test_stages(spark, sf):
     assert ids(packed) == ids(docs)
 
 
+def test_rows_of_one_id_are_told_apart(spark, sf):
+    """One id or none over unlike texts: each row is judged by its own text."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ing"]) for _ in range(n))
+    base = prose(200)
+    junk = " ".join("".join(rng.choice("qxzjkvw") for _ in range(7)) for _ in range(40))
+    rows = [(1007, prose(90)), (1007, prose(50) + " you idiot " + prose(40)), (1007, junk), (None, base), (None, base), (None, base + " now"), (None, prose(90)), (None, None), (None, ""), (None, "42")]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(P.COLUMNS)
+    mine = spark.createDataFrame([(i, t, None if t == junk else "en", None, len(t or "")) for i, t in rows], docs.schema)
+    texts = lambda df: sorted(r.text for r in df.where("doc_id = 1007 OR doc_id IS NULL").collect() if r.text)
+    told = P.language_id(spark, docs.union(mine), sf)
+    assert texts(told) == sorted(t for k, (_, t) in enumerate(rows) if k not in (2, 7, 8, 9))
+    clean = P.toxic_filter(spark, told, sf)
+    assert texts(clean) == sorted(rows[k][1] for k in (0, 3, 4, 5, 6))
+    single = P.near_duplicates(spark, clean, sf)
+    assert rows[0][1] in texts(single) and rows[6][1] in texts(single) and len(texts(single)) == 3
+    for _, stage in P.STAGES:
+        assert stage(spark, mine.limit(0), sf).count() == 0
+
+
 def test_run(spark, sf):
     out = P.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
