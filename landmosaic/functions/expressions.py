@@ -105,6 +105,15 @@ def normalised_difference(a: Column | str, b: Column | str) -> Column:
     return (col(a) - col(b)) / F.nullif(col(a) + col(b), F.lit(0.0))
 
 
+#: Spectral indices as the normalised difference of two bands.
+INDICES = {"ndvi": ("nir", "red"), "ndwi": ("green", "nir"), "mndwi": ("green", "swir"), "ndbi": ("swir", "nir")}
+
+
+def spectral_index(name: str) -> Column:
+    """NDVI, NDWI, MNDWI or NDBI of columns named by band; null where both bands are 0."""
+    return normalised_difference(*INDICES[name])
+
+
 def driver_kind(name: Column | str) -> Column:
     """Circular for aspects, categorical for classes and types, else continuous."""
     n = F.lower(F.trim(col(name)))

@@ -14,16 +14,25 @@ POOLS = ("c_above", "c_below", "c_soil", "c_dead")
 def carbon_stock(cells: DataFrame, pools: DataFrame, cell_m2: float, by: str = "scenario") -> DataFrame:
     """(by, value, area_ha, carbon_t): stock of each class; a null class holds the total of its scenario.
 
-    Cells are counted by class before the few rows of pools join.
+    Cells are counted by class before the pools join. The job fails for a class without a row of pools,
+    which missing_pools() lists.
     """
     counts = cells.groupBy(by, "value").agg(F.count("*").alias("n"))
     density = sum((F.col(c) for c in POOLS[1:]), F.col(POOLS[0]))
-    joined = counts.join(F.broadcast(pools), F.col("value") == F.col("lucode"))
+    joined = counts.join(pools, F.col("value") == F.col("lucode"), "left")
+    known = F.col("lucode").isNotNull()
+    density = F.when(known, density).otherwise(F.raise_error(F.concat(F.lit("no carbon pools for class "), F.coalesce(F.col("value").cast("string"), F.lit("null")))).cast("double"))
     stocks = joined.select(by, "value", area_ha("n", cell_m2).alias("area_ha"), (area_ha("n", cell_m2) * density).alias("carbon_t"))
     totals = stocks.groupBy(by).agg(F.sum("area_ha").alias("area_ha"), F.sum("carbon_t").alias("carbon_t")).select(by, F.lit(None).cast(stocks.schema["value"].dataType).alias("value"), "area_ha", "carbon_t")
     return stocks.union(totals)
 
 
+def missing_pools(cells: DataFrame, pools: DataFrame, by: str = "scenario") -> DataFrame:
+    """(by, value, pixel_count) of classes that have cells but no row of pools."""
+    counts = cells.groupBy(by, "value").agg(F.count("*").alias("pixel_count"))
+    return counts.join(pools.select(F.col("lucode").alias("value")), "value", "left_anti").select(by, "value", "pixel_count")
+
+
 def carbon_change(stocks: DataFrame, baseline: str, by: str = "scenario") -> DataFrame:
     """(by, carbon_t, change_t, change_percent) of totals against the baseline scenario."""
     totals = stocks.where("value IS NULL").select(by, "carbon_t")

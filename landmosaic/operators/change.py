@@ -15,12 +15,19 @@ def pair(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select(*CELL, F.col("value").alias("source")).join(after.select(*CELL, F.col("value").alias("target")), CELL)
 
 
+def in_scheme(pairs: DataFrame, scheme: DataFrame, sides: tuple[str, ...] = ("source", "target")) -> DataFrame:
+    """Rows whose codes are in the scheme on all sides."""
+    codes = scheme.select(F.col("code").alias("scheme_code"))
+    for side in sides:
+        pairs = pairs.join(codes, F.col(side) == F.col("scheme_code"), "left_semi")
+    return pairs
+
+
 def transition_matrix(before: DataFrame, after: DataFrame, cell_m2: float, scheme: DataFrame | None = None) -> DataFrame:
     """(source, target, pixel_count, area_ha); with a scheme only its codes on both sides."""
     pairs = pair(before, after)
     if scheme is not None:
-        codes = F.broadcast(scheme.select("code"))
-        pairs = pairs.join(codes, F.col("source") == F.col("code"), "left_semi").join(codes, F.col("target") == F.col("code"), "left_semi")
+        pairs = in_scheme(pairs, scheme)
     return _matrix(pairs.groupBy("source", "target"), cell_m2)
 
 
@@ -42,7 +49,7 @@ def class_area(cells: DataFrame, cell_m2: float, scheme: DataFrame | None = None
     """(value, pixel_count, area_m2, area_ha, area_km2, percent); classes of the scheme that are absent count 0."""
     counts = cells.groupBy("value").agg(F.count("*").alias("pixel_count"))
     if scheme is not None:
-        counts = counts.join(F.broadcast(scheme.select(F.col("code").alias("value"))), "value", "right").withColumn("pixel_count", F.coalesce("pixel_count", F.lit(0)))
+        counts = counts.join(scheme.select(F.col("code").alias("value")), "value", "right").withColumn("pixel_count", F.coalesce("pixel_count", F.lit(0)))
     every = Window.partitionBy()
     n = F.col("pixel_count")
     return counts.select("value", "pixel_count", (n * cell_m2).alias("area_m2"), area_ha(n, cell_m2).alias("area_ha"), (n * cell_m2 / 1e6).alias("area_km2"), (n * 100.0 / F.sum(n).over(every)).alias("percent"))
@@ -62,7 +69,7 @@ def adjacent_periods(series: DataFrame) -> DataFrame:
 
 def period_transitions(cells: DataFrame, series: DataFrame, cell_m2: float) -> DataFrame:
     """Transition matrices of all adjacent periods of a stack of rasters (raster_id, row, col, value)."""
-    periods = F.broadcast(adjacent_periods(series))
+    periods = adjacent_periods(series)
     source = cells.join(periods, cells.raster_id == F.col("source_id")).select("year", "next_year", "target_id", *CELL, F.col("value").alias("source"))
     target = cells.select(F.col("raster_id").alias("target_id"), *CELL, F.col("value").alias("target"))
     return _matrix(source.join(target, ["target_id", *CELL]).groupBy("year", "next_year", "source", "target"), cell_m2)

@@ -121,12 +121,12 @@ def blend_weight(dy: Column | str, dx: Column | str, size: int) -> Column:
 def mosaic(patches: DataFrame, size: int) -> DataFrame:
     """(row, col, class, confidence) from overlapping tiles (tile_row, tile_col, dy, dx, prob array, valid).
 
-    Probabilities are averaged with the blend weight; the highest is the class, ties to the smaller.
+    Probabilities are averaged with the blend weight; the highest is the class, ties (to 9 places) to the smaller.
     """
     w = F.when(F.col("valid"), blend_weight("dy", "dx", size)).otherwise(0.0)
     long = patches.select((F.col("tile_row") + F.col("dy")).alias("row"), (F.col("tile_col") + F.col("dx")).alias("col"), w.alias("w"), F.posexplode("prob").alias("class", "p")).where("w > 0")
     sums = long.groupBy(*CELL, "class").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("p"))
-    best = sums.groupBy(*CELL).agg(F.max(F.struct("p", (-F.col("class")).alias("c"))).alias("m"))
+    best = sums.groupBy(*CELL).agg(F.max(F.struct(F.round("p", 9).alias("r"), (-F.col("class")).alias("c"), "p")).alias("m"))
     return best.select(*CELL, (-F.col("m.c")).alias("class"), F.col("m.p").alias("confidence"))
 
 

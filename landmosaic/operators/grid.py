@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import cell_col, cell_row, total
+from ..functions.expressions import cell_col, cell_row
 from .change import CELL
+from .ordering import cut
 
 
 def sample(cells: DataFrame, step: int) -> DataFrame:
@@ -32,6 +33,11 @@ def sample_at_points(points: DataFrame, cells: DataFrame, transform: list[float]
 def majority(cells: DataFrame, factor: int) -> DataFrame:
     """The most frequent value of each factor x factor block; ties go to the lowest."""
     counts = cells.groupBy(F.floor(F.col("row") / factor).alias("row"), F.floor(F.col("col") / factor).alias("col"), "value").agg(F.count("*").alias("n"))
+    return most_frequent(counts)
+
+
+def most_frequent(counts: DataFrame) -> DataFrame:
+    """(row, col, value) of counts (row, col, value, n)."""
     return counts.groupBy(*CELL).agg((-F.max(F.struct("n", (-F.col("value")).alias("v")))["v"]).alias("value"))
 
 
@@ -53,15 +59,23 @@ def _cubic(t: Column) -> list[Column]:
     return [-0.5 * t + t * t - 0.5 * t * t * t, 1.0 - 2.5 * t * t + 1.5 * t * t * t, 0.5 * t + 2.0 * t * t - 1.5 * t * t * t, -0.5 * t * t + 0.5 * t * t * t]
 
 
-def regrid(cells: DataFrame, target: DataFrame, source_transform: list[float], target_transform: list[float], method: str) -> DataFrame:
+def regrid(cells: DataFrame, target: DataFrame, source_transform: list[float], target_transform: list[float], method: str, mask: DataFrame | None = None) -> DataFrame:
     """Values of target cells (row, col) at their centres: nearest, or bilinear or cubic from 4 or 16 neighbours.
 
     Neighbours that are NoData drop out and the rest are weighed anew; a target without any is NoData.
+    With `majority` a target takes the most frequent value of the source cells whose centres lie in
+    it, ties going to the lowest. The cell sizes may have any ratio. A mask keeps its cells only.
     """
+    if mask is not None:
+        target = target.join(mask.select(*CELL), CELL, "left_semi")
     sx, sy, tx, ty = source_transform[0], source_transform[4], target_transform[0], target_transform[4]
     fx = (F.lit(target_transform[2]) + (F.col("col") + 0.5) * tx - source_transform[2]) / sx
     fy = (F.lit(target_transform[5]) + (F.col("row") + 0.5) * ty - source_transform[5]) / sy
     source = cells.select(F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
+    if method == "majority":
+        x, y = F.lit(source_transform[2]) + (F.col("col") + 0.5) * sx, F.lit(source_transform[5]) + (F.col("row") + 0.5) * sy
+        placed = cells.select(cell_row(y, target_transform).alias("row"), cell_col(x, target_transform).alias("col"), "value")
+        return most_frequent(placed.groupBy(*CELL, "value").agg(F.count("*").alias("n"))).join(target.select(*CELL), CELL, "left_semi")
     if method == "nearest":
         at = target.select("row", "col", F.floor(fy).alias("sr"), F.floor(fx).alias("sc"))
         return at.join(source, ["sr", "sc"]).select("row", "col", "value")
@@ -99,19 +113,52 @@ def nearest_fill(known: DataFrame, scope: DataFrame, cell: float, max_distance:
     return own.union(filled)
 
 
-def distance_to_source(cells: DataFrame, sources: DataFrame, cell: float, max_distance: float) -> DataFrame:
-    """(row, col, distance) of cells within the distance of a source cell; on a source it is 0."""
-    reach = max(1, math.ceil(max_distance / cell))
-    pairs = _near(cells, sources.select(*CELL, F.lit(0.0).alias("value")), reach)
-    return pairs.groupBy(*CELL).agg((F.sqrt(F.min("d2")) * cell).alias("distance")).where(F.col("distance") <= max_distance)
+def _reach_of_all(cells: DataFrame, known: DataFrame) -> int:
+    """So many cells that nothing lies further apart."""
+    r = cells.select(*CELL).union(known.select(*CELL)).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in CELL for f in (F.min, F.max)]).first()
+    return 1 if r.min_row is None else max(1, r.max_row - r.min_row, r.max_col - r.min_col)
 
 
-def inverse_distance(known: DataFrame, cells: DataFrame, cell: float, max_distance: float, power: float = 2.0, neighbours: int = 12) -> DataFrame:
-    """Values from the nearest known cells, weighed by inverse distance; a known cell keeps its own."""
-    reach = max(1, math.ceil(max_distance / cell))
+def nearest_known(known: DataFrame, cells: DataFrame, k: int, reach: int, most: int | None = None) -> DataFrame:
+    """(row, col, d2, kr, kc, kv): each cell's k nearest known cells, d2 the square of the distance in cells; ties in row order.
+
+    Cells that lack some within the reach are looked at again with twice the reach, until none is left
+    or nothing lies further off: nearest neighbours are found wherever they are, unless `most` bounds
+    the reach. The k best are kept by task before pairs are shuffled.
+    """
+    end = _reach_of_all(cells, known) if most is None else most
     order = Window.partitionBy(*CELL).orderBy("d2", "kr", "kc")
-    best = _near(cells, known, reach).where(F.sqrt("d2") * cell <= max_distance).withColumn("k", F.row_number().over(order)).where(F.col("k") <= neighbours)
+    todo, found = cells.select(*CELL), None
+    while True:
+        reach = min(reach, end)
+        close = F.col("d2") <= reach * reach if most is not None or reach < end else F.lit(True)
+        best = cut(_near(todo, known, reach).where(close).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select(*CELL, "d2", "kr", "kc", "kv"))
+        if reach >= end:
+            return best if found is None else found.union(best)
+        full = best.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") == k).select(*CELL)
+        done = best.join(full, CELL, "left_semi")
+        found = done if found is None else found.union(done)
+        todo = cut(todo.join(full, CELL, "left_anti"))
+        if todo.isEmpty():
+            return found
+        reach *= 2
+
+
+def distance_to_source(cells: DataFrame, sources: DataFrame, cell: float, max_distance: float | None = None, reach: int = 4) -> DataFrame:
+    """(row, col, distance) of every cell to the nearest source cell, 0 on a source; with a bound, of cells within it."""
+    known = sources.select(*CELL, F.lit(0.0).alias("value"))
+    most = None if max_distance is None else max(1, math.ceil(max_distance / cell))
+    out = nearest_known(known, cells, 1, reach if most is None else most, most).select(*CELL, (F.sqrt("d2") * cell).alias("distance"))
+    return out if max_distance is None else out.where(F.col("distance") <= max_distance)
+
+
+def inverse_distance(known: DataFrame, cells: DataFrame, power: float = 2.0, neighbours: int = 12, reach: int = 16, most: int | None = None) -> DataFrame:
+    """Values from the nearest known cells, weighed by inverse distance; a known cell keeps its own.
+
+    `reach` is where the search begins, `most` where it ends at the latest if given, both in cells.
+    """
     w = F.pow(F.sqrt("d2"), F.lit(-power))
+    best = nearest_known(known, cells, neighbours, reach, most)
     sums = best.groupBy(*CELL).agg(F.max(F.when(F.col("d2") == 0, F.col("kv"))).alias("own"), F.sum(F.when(F.col("d2") > 0, w)).alias("w"), F.sum(F.when(F.col("d2") > 0, w * F.col("kv"))).alias("s"))
     return sums.select(*CELL, F.coalesce("own", F.col("s") / F.col("w")).alias("value"))
 
@@ -140,14 +187,16 @@ def smooth(cells: DataFrame) -> DataFrame:
     return best.join(cells.select(*CELL), CELL, "left_semi")
 
 
-def in_polygons(cells: DataFrame, rings: DataFrame, transform: list[float], block: int = 64) -> DataFrame:
-    """(feature_id, row, col) of cells whose centre lies in a ring (feature_id, ring of [x, y]).
+def in_polygons(cells: DataFrame, polygons: DataFrame, transform: list[float], block: int = 64) -> DataFrame:
+    """(feature_id, row, col) of cells whose centre lies in a polygon (feature_id, rings: arrays of [x, y]).
 
-    A ring goes to the blocks of cells that its bounds touch; only there each edge is tested by
-    casting a ray.
+    A point is inside if a ray from it crosses an odd number of edges of all rings, so rings may be
+    holes or further parts. A polygon goes to the blocks of cells that its bounds touch; only there
+    each edge is tested.
     """
-    xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
-    boxes = rings.select("feature_id", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    points = F.flatten("rings")
+    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
+    boxes = polygons.select("feature_id", "rings", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     rows = lambda y: F.floor(cell_row(y, transform) / block)
     cols = lambda x: F.floor(cell_col(x, transform) / block)
     span = lambda a, b: F.explode(F.sequence(F.least(a, b), F.greatest(a, b)))
@@ -155,8 +204,9 @@ def in_polygons(cells: DataFrame, rings: DataFrame, transform: list[float], bloc
     placed = cells.select(*CELL, F.floor(F.col("row") / block).alias("br"), F.floor(F.col("col") / block).alias("bc"), (F.lit(transform[2]) + (F.col("col") + 0.5) * transform[0]).alias("x"), (F.lit(transform[5]) + (F.col("row") + 0.5) * transform[4]).alias("y"))
     joined = placed.join(blocked, ["br", "bc"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
     x, y = F.col("x"), F.col("y")
-    edges = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda a, b: ((a[1] > y) != (b[1] > y)) & (x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0]))
-    return joined.where(F.size(F.filter(edges, lambda e: e)) % 2 == 1).select("feature_id", *CELL)
+    crosses = lambda a, b: ((a[1] > y) != (b[1] > y)) & (x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0])
+    edges = lambda ring: F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), crosses)
+    return joined.where(F.size(F.filter(F.flatten(F.transform("rings", edges)), lambda e: e)) % 2 == 1).select("feature_id", *CELL)
 
 
 def tile_starts(length: Column, patch: int, stride: int) -> Column:
@@ -174,8 +224,3 @@ def over_years(cells: DataFrame, how: str = "mean") -> DataFrame:
     """(row, col, year, value): several layers of a year (…, year, value) to one by mean or sum."""
     f = {"sum": F.sum, "mean": F.avg}[how]
     return cells.groupBy(*CELL, "year").agg(f("value").alias("value"))
-
-
-def neighbour_total(cells: DataFrame) -> DataFrame:
-    """(row, col, value): sum over the 3 x 3 neighbourhood."""
-    return _spread(cells).groupBy(*CELL).agg(total([F.sum("value")]).alias("value"))

@@ -19,8 +19,14 @@ def verdict(violated: DataFrame) -> DataFrame:
     return violated.agg(F.count("*").alias("violations"), F.when(F.count("*") == 0, "completed").otherwise("failed").alias("verdict"))
 
 
-def raster_rules(described: DataFrame, categorical: bool = False, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Of described rasters (grid metadata and profile)."""
+def raster_rules(
+    described: DataFrame, categorical: bool = False, low: float | None = None, high: float | None = None, cell_m: float | None = None, codes: list[int] | None = None,
+    bands: int | None = None, least_bands: int | None = None, band_names: list[str] | None = None, sensor: str | None = None, depth: bool = False,
+) -> DataFrame:
+    """Of described rasters (grid metadata and profile), by what the caller expects of them.
+
+    Columns band_count, band_names (array), tags (map) and values (array of the profile) are read by the rules on them only.
+    """
     t = F.col("transform")
     rules = {
         "crs_missing": F.col("crs").isNull() | (F.col("crs") == ""),
@@ -37,6 +43,26 @@ def raster_rules(described: DataFrame, categorical: bool = False, low: float | N
         rules["below_range"] = F.col("low") < low
     if high is not None:
         rules["above_range"] = F.col("high") > high
+    if cell_m is not None:
+        near = lambda k: F.abs(F.abs(F.get(t, F.lit(k))) - cell_m) <= max(1e-8, 1e-8 * cell_m)
+        rules["cell_size_differs"] = ~F.coalesce(near(0) & near(4), F.lit(False))
+    if codes is not None:
+        rules["unknown_codes"] = F.coalesce(F.size(F.array_except("values", F.array(*[F.lit(float(c)) for c in codes]))) > 0, F.lit(False))
+        rules["nodata_is_a_code"] = F.col("nodata").isin([float(c) for c in codes])
+    count = F.coalesce("band_count", F.lit(0)) if bands is not None or least_bands is not None else None
+    if bands is not None:
+        rules["band_count_differs"] = count != bands
+    if least_bands is not None:
+        rules["too_few_bands"] = count < least_bands
+    if band_names is not None:
+        told = F.filter(F.transform("band_names", F.lower), lambda x: x.isNotNull() & (x != ""))
+        rules["band_names_differ"] = (F.size(told) > 0) & (told != F.array(*[F.lit(n.lower()) for n in band_names]))
+    if sensor is not None:
+        tag = F.coalesce(F.try_element_at("tags", F.lit("sensor")), F.try_element_at("tags", F.lit("platform")))
+        rules["sensor_differs"] = (tag != "") & (F.lower(tag) != sensor.lower())
+    if depth:
+        rules["depth_unknown"] = F.col("low").isNull()
+        rules["depth_negative"] = F.col("low") < -1e-9
     return violations(described, F.col("raster_id"), rules)
 
 
@@ -58,7 +84,7 @@ def pool_rules(pools: DataFrame, columns: tuple[str, ...] = ("c_above", "c_below
 
 def code_coverage(cells: DataFrame, known: DataFrame, code: str = "lucode") -> DataFrame:
     """(value): codes in a raster that a table lacks."""
-    return cells.select("value").distinct().join(F.broadcast(known.select(F.col(code).alias("value"))), "value", "left_anti")
+    return cells.select("value").distinct().join(known.select(F.col(code).alias("value")), "value", "left_anti")
 
 
 def category_coverage(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -67,10 +93,38 @@ def category_coverage(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return lost.union(actual.join(expected, ["layer", "category"], "left_anti").withColumn("missing_in", F.lit("expected")))
 
 
-def threat_coverage(threats: DataFrame, sensitivity_columns: list[str]) -> DataFrame:
-    """(threat): threats without a sensitivity column of their name, whatever its case."""
-    names = threats.sparkSession.createDataFrame([(c.lower(),) for c in sensitivity_columns], "name string")
-    return threats.join(F.broadcast(names), F.lower(F.trim("threat")) == F.col("name"), "left_anti").select("threat")
+def threat_coverage(threats: DataFrame, columns: DataFrame) -> DataFrame:
+    """(threat): named threats without a sensitivity column (name) of exactly their name."""
+    named = threats.where(F.trim("threat") != "")
+    return named.join(columns.select("name"), F.trim("threat") == F.col("name"), "left_anti").select("threat")
+
+
+#: The arguments that each model must have.
+REQUIRED_ARGUMENTS = {
+    "annual_water_yield": ["lulc_path", "precipitation_path", "eto_path", "depth_to_root_rest_layer_path", "pawc_path", "watersheds_path", "biophysical_table_path", "seasonality_constant"],
+    "habitat_quality": ["lulc_cur_path", "threats_table_path", "sensitivity_table_path", "half_saturation_constant"],
+    "sediment_delivery_ratio": ["lulc_path", "dem_path", "erosivity_path", "erodibility_path", "watersheds_path", "biophysical_table_path"],
+    "nutrient_delivery_ratio": ["lulc_path", "dem_path", "runoff_proxy_path", "watersheds_path", "biophysical_table_path"],
+}
+#: The constants that must be positive, by model.
+POSITIVE_ARGUMENTS = {"annual_water_yield": ["seasonality_constant"], "habitat_quality": ["half_saturation_constant"]}
+#: The columns that the models' tables must have; of threats the case counts.
+REQUIRED_HEADERS = {
+    ("annual_water_yield", "biophysical"): ["lucode", "root_depth", "kc", "lulc_veg"],
+    ("habitat_quality", "threats"): ["threat", "max_dist", "weight", "decay", "cur_path"],
+    ("habitat_quality", "sensitivity"): ["lulc", "habitat"],
+    ("sediment_delivery_ratio", "biophysical"): ["lucode"],
+    ("nutrient_delivery_ratio", "biophysical"): ["lucode"],
+}
+
+
+def header_rules(tables: DataFrame) -> DataFrame:
+    """Of (entity, model, table, headers array): a violation header_missing for each column that the model's table lacks."""
+    rows = [(m, t, h) for (m, t), hs in REQUIRED_HEADERS.items() for h in hs]
+    need = tables.sparkSession.createDataFrame(rows, "model string, table string, header string")
+    met = tables.join(need, ["model", "table"])
+    there = F.when(F.col("table") == "threats", F.array_contains("headers", F.col("header"))).otherwise(F.array_contains(F.transform("headers", F.lower), F.col("header")))
+    return violations(met, F.concat_ws(":", "entity", "table", "header"), {"header_missing": ~F.coalesce(there, F.lit(False))})
 
 
 def driver_coverage(declared: DataFrame, drivers: DataFrame) -> DataFrame:
@@ -115,9 +169,19 @@ def unit_interval_rules(metrics: DataFrame, names: list[str]) -> DataFrame:
     return violations(metrics.where(F.col("metric").isin(names)), F.concat_ws(":", "entity", "metric"), {"not_in_unit_interval": ~F.coalesce(finite("value") & F.col("value").between(0, 1), F.lit(False))})
 
 
-def simulation_verdict(evidence: DataFrame) -> DataFrame:
-    """(entity, seeds, verdict) of (entity, seed, fom): fewer than two seeds leave it pending, a bad value fails."""
-    s = evidence.groupBy("entity").agg(F.countDistinct("seed").alias("seeds"), F.count_if(~F.coalesce(finite("fom") & F.col("fom").between(0, 1), F.lit(False))).alias("bad"))
+def simulation_verdict(evidence: DataFrame, overall: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """(entity, seeds, verdict) of (entity, seed, fom): fewer than two seeds leave it pending, a bad value fails.
+
+    With `overall` (entity, fom) and `classes` (entity, class, f1, iou) these must be there and hold
+    numbers from 0 to 1 as well.
+    """
+    unit = lambda c: F.coalesce(finite(c) & F.col(c).between(0, 1), F.lit(False))
+    s = evidence.groupBy("entity").agg(F.countDistinct("seed").alias("seeds"), F.count_if(~unit("fom")).alias("bad"))
+    for name, table, ok in (("overall", overall, lambda: unit("fom")), ("classes", classes, lambda: unit("f1") & unit("iou"))):
+        if table is not None:
+            good = table.groupBy("entity").agg(F.count("*").alias("given"), F.count_if(~ok()).alias(f"bad_{name}"))
+            wrong = F.coalesce(F.col(f"bad_{name}"), F.lit(1))
+            s = s.join(good.drop("given"), "entity", "left").select("entity", "seeds", (F.col("bad") + wrong).alias("bad"))
     return s.select("entity", "seeds", F.when(F.col("bad") > 0, "failed").when(F.col("seeds") < 2, "pending_validation").otherwise("completed").alias("verdict"))
 
 
@@ -152,13 +216,23 @@ def roll_up(sections: DataFrame, required: list[str]) -> DataFrame:
     return worst.select(F.element_at(F.array(F.lit("completed"), F.lit("pending_validation"), F.lit("failed")), F.col("w") + 1).alias("verdict"))
 
 
-def argument_rules(arguments: DataFrame, required: DataFrame, positive: list[str]) -> DataFrame:
-    """Of model arguments (model, arg, value): required ones (model, arg) that lack, and constants that must be positive."""
+def argument_rules(arguments: DataFrame, required: DataFrame, positive: DataFrame) -> DataFrame:
+    """Of model arguments (model, arg, value): required ones (model, arg) that lack, and given constants (model, arg) that must be positive."""
     lost = required.join(arguments.where(F.coalesce(F.trim("value"), F.lit("")) != ""), ["model", "arg"], "left_anti").select(F.lit("argument_missing").alias("rule"), F.concat_ws(":", "model", "arg").alias("entity"))
-    bad = violations(arguments.where(F.col("arg").isin(positive)), F.concat_ws(":", "model", "arg"), {"not_positive": ~F.coalesce(F.col("value").try_cast("double") > 0, F.lit(False))})
+    given = arguments.where(F.coalesce(F.trim("value"), F.lit("")) != "").join(positive.select("model", "arg"), ["model", "arg"], "left_semi")
+    bad = violations(given, F.concat_ws(":", "model", "arg"), {"not_positive": ~F.coalesce(F.col("value").try_cast("double") > 0, F.lit(False))})
     return lost.union(bad)
 
 
+def model_rules(stacks: DataFrame) -> DataFrame:
+    """Of datastacks (entity, model, arg, value) of known models: arguments they lack, and constants that aren't positive."""
+    spark = stacks.sparkSession
+    listed = lambda table: spark.createDataFrame([(m, a) for m, names in table.items() for a in names], "of_model string, arg string")
+    entities = stacks.select("entity", "model").distinct()
+    each = lambda table: entities.join(listed(table), F.col("model") == F.col("of_model")).select(F.col("entity").alias("model"), "arg")
+    return argument_rules(stacks.select(F.col("entity").alias("model"), "arg", "value"), each(REQUIRED_ARGUMENTS), each(POSITIVE_ARGUMENTS))
+
+
 def sensitivity_evidence(rows: DataFrame) -> DataFrame:
     """One row (available, maximum_rank_shift): available if there are rows and no shift is negative or null."""
     s = rows.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("max_rank_shift") >= 0, F.lit(False))).alias("good"), F.max("max_rank_shift").alias("m"))

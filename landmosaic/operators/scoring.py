@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import array_sum, min_max, total, was_clipped
+from .ordering import numbered
 
 #: Saaty's random consistency index by matrix size from 1.
 RANDOM_INDEX = [0.0, 0.0, 0.58, 0.9, 1.12, 1.24, 1.32, 1.41, 1.45, 1.49]
@@ -62,13 +63,12 @@ def score_metadata(table: DataFrame, criteria: list[Criterion]) -> DataFrame:
 def sensitivity(table: DataFrame, criteria: list[Criterion], delta: float, order: str) -> DataFrame:
     """How scores and ranks move if one weight is a part `delta` smaller or larger and all are brought to sum 1.
 
-    Ranks go by falling score, ties by `order`. They are exact over the whole table and every variant
-    ranks on its own, so the table should hold units, not cells.
+    Ranks go by falling score, ties by `order`. They are exact over the whole table, and numbered by ranges of scores.
     """
     if not 0 < delta < 1:
         raise ValueError("delta must lie between 0 and 1")
     base = normalised_weights(criteria)
-    scored = score(table, criteria, [order])
+    scored = numbered(score(table, criteria, [order]), [], [F.desc("score"), F.col(order)], "r0")
     variants = []
     for k, c in enumerate(criteria):
         for direction, factor in (("decrease", 1 - delta), ("increase", 1 + delta)):
@@ -77,9 +77,8 @@ def sensitivity(table: DataFrame, criteria: list[Criterion], delta: float, order
             variants.append((c.field, direction, [w / s for w in changed], changed[k] / s))
     score_of = lambda ws: total([F.col(f"norm_{c.field}") * w for c, w in zip(criteria, ws, strict=True)])
     rows = F.array(*[F.struct(F.lit(f).alias("criterion"), F.lit(d).alias("direction"), F.lit(p).alias("perturbed_weight"), score_of(ws).alias("changed")) for f, d, ws, p in variants])
-    long = scored.select(order, "score", F.inline(rows))
-    by = Window.partitionBy("criterion", "direction")
-    ranked = long.select("*", F.row_number().over(by.orderBy(F.desc("score"), order)).alias("r0"), F.row_number().over(by.orderBy(F.desc("changed"), order)).alias("r1"))
+    long = scored.select(order, "score", "r0", F.inline(rows))
+    ranked = numbered(long, ["criterion", "direction"], [F.desc("changed"), F.col(order)], "r1")
     moved, shift = F.abs(F.col("changed") - F.col("score")), F.abs(F.col("r1") - F.col("r0"))
     return ranked.groupBy("criterion", "direction").agg(F.max("perturbed_weight").alias("perturbed_weight"), F.avg(moved).alias("mean_change"), F.max(moved).alias("max_change"), F.count_if(shift > 0).alias("rank_changes"), F.max(shift).cast("long").alias("max_rank_shift"))
 
@@ -90,27 +89,34 @@ def judgement_rows(judgements: DataFrame) -> DataFrame:
     return rows.groupBy("panel_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("m"))
 
 
-def ahp(judgements: DataFrame, steps: int = 60) -> DataFrame:
-    """(panel_id, n, weights, lambda_max, ci, cr) by power iteration, one row for each panel of up to 10 criteria."""
+def ahp(judgements: DataFrame, steps: int = 1000, tolerance: float = 1e-12) -> DataFrame:
+    """(panel_id, n, weights, lambda_max, ci, cr) by power iteration, one row for each panel of up to 10 criteria.
+
+    A panel's iteration ends when no weight moves by the tolerance; the job fails for more than 10 criteria.
+    """
     times = lambda m, w: F.transform(m, lambda r: array_sum(F.zip_with(r, w, lambda a, b: a * b)))
     unit = lambda v: F.transform(v, lambda x: x / array_sum(v))
     start = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda _: F.lit(1.0) / F.col("n"))
-    weights = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda w, _: unit(times(F.col("m"), w)))
+    moved = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+    state = F.struct(start.alias("w"), F.lit(False).alias("done"))
+    step = lambda s: F.transform(F.array(unit(times(F.col("m"), s["w"]))), lambda w: F.struct(w.alias("w"), (moved(w, s["w"]) < tolerance).alias("done")))[0]
+    weights = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, lambda s, _: F.when(s["done"], s).otherwise(step(s)))["w"]
     out = judgement_rows(judgements).withColumn("weights", weights)
     ratios = F.zip_with(times(F.col("m"), F.col("weights")), "weights", lambda a, w: a / w)
     n = F.col("n")
     out = out.withColumn("lambda_max", array_sum(ratios) / n)
-    ci = F.when(n > 1, (F.col("lambda_max") - n) / (n - 1)).otherwise(F.lit(0.0))
-    index = F.element_at(F.array(*map(F.lit, RANDOM_INDEX)), n.cast("int"))
+    ci = F.when(n > 2, (F.col("lambda_max") - n) / (n - 1)).otherwise(F.lit(0.0))
+    index = F.when(n > len(RANDOM_INDEX), F.raise_error(F.lit("at most 10 criteria")).cast("double")).otherwise(F.try_element_at(F.array(*map(F.lit, RANDOM_INDEX)), n.cast("int")))
     return out.withColumn("ci", ci).select("panel_id", "n", "weights", "lambda_max", "ci", F.when(index > 0, F.col("ci") / index).otherwise(F.lit(0.0)).alias("cr"))
 
 
 def ahp_violations(judgements: DataFrame, max_ratio: float = 0.1) -> DataFrame:
-    """(panel_id, rule): matrices that aren't positive, reciprocal, square with a unit diagonal, or consistent."""
+    """(panel_id, rule): matrices that aren't positive, reciprocal, square with a unit diagonal; of sound ones, those not consistent."""
     j = judgements
     swapped = j.select("panel_id", F.col("j").alias("i"), F.col("i").alias("j"), F.col("judgement").alias("back"))
     pairs = j.join(swapped, ["panel_id", "i", "j"], "left")
     v, b = F.col("judgement"), F.col("back")
     rules = {"not_square": b.isNull(), "not_positive": v <= 0, "diagonal_not_one": (F.col("i") == F.col("j")) & (F.abs(v - 1) > 1e-4), "not_reciprocal": F.abs(v * b - 1) > 1e-4}
     cells = pairs.select("panel_id", F.explode(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()]), lambda x: x.isNotNull())).alias("rule"))
-    return cells.union(ahp(j).where(F.col("cr") > max_ratio).select("panel_id", F.lit("inconsistent"))).distinct()
+    sound = j.join(cells.select("panel_id").distinct(), "panel_id", "left_anti")
+    return cells.union(ahp(sound).where(F.col("cr") > max_ratio).select("panel_id", F.lit("inconsistent"))).distinct()

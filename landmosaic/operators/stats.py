@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import md5_below, md5_order
+from .ordering import cut, numbered, running_total
 
 
 def scenario_means(table: DataFrame, fields: list[str], reference: str) -> DataFrame:
@@ -19,12 +20,16 @@ def scenario_means(table: DataFrame, fields: list[str], reference: str) -> DataF
     return joined.select("scenario", "field", "mean", F.when(F.col("base").isNotNull(), F.col("mean") - F.col("base")).otherwise(F.raise_error(F.lit("the reference scenario is absent")).cast("double")).alias("delta"))
 
 
-def paired_deltas(table: DataFrame, fields: list[str], reference: str, unit: str = "unit_id") -> DataFrame:
-    """(scenario, field, paired_units, unpaired_units, paired_mean_delta): unit by unit; 0 where none pairs."""
+def pair_scenarios(table: DataFrame, fields: list[str], reference: str, unit: str = "unit_id") -> DataFrame:
+    """(scenario, unit, field, value, base): each unit's value beside its value in the reference scenario, null where that lacks it."""
     long = melt(table, ["scenario", unit], fields)
     base = long.where(F.col("scenario") == reference).select(F.col(unit).alias("u"), F.col("field").alias("f"), F.col("value").alias("base"))
-    joined = long.join(base, (F.col(unit) == F.col("u")) & (F.col("field") == F.col("f")), "left")
-    return joined.groupBy("scenario", "field").agg(F.count("base").alias("paired_units"), F.count_if(F.col("base").isNull()).alias("unpaired_units"), F.coalesce(F.avg(F.col("value") - F.col("base")), F.lit(0.0)).alias("paired_mean_delta"))
+    return long.join(base, (F.col(unit) == F.col("u")) & (F.col("field") == F.col("f")), "left").select("scenario", unit, "field", "value", "base")
+
+
+def paired_deltas(table: DataFrame, fields: list[str], reference: str, unit: str = "unit_id") -> DataFrame:
+    """(scenario, field, paired_units, unpaired_units, paired_mean_delta): unit by unit; 0 where none pairs."""
+    return pair_scenarios(table, fields, reference, unit).groupBy("scenario", "field").agg(F.count("base").alias("paired_units"), F.count_if(F.col("base").isNull()).alias("unpaired_units"), F.coalesce(F.avg(F.col("value") - F.col("base")), F.lit(0.0)).alias("paired_mean_delta"))
 
 
 def melt(table: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -35,11 +40,10 @@ def melt(table: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
 def average_ranks(long: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Adds rank: the mean of the places that equal values take.
 
-    Distinct values are counted first, so the window that adds the counts up sees each value once.
+    Distinct values are counted first, and the counts are added up by ranges of values.
     """
-    counts = long.groupBy(*by, value).agg(F.count("*").alias("ties"))
-    order = Window.partitionBy(*by).orderBy(value)
-    ranks = counts.select(*[F.col(c).alias(f"of_{c}") for c in (*by, value)], (F.sum("ties").over(order) - (F.col("ties") - 1) / 2.0).alias("rank"))
+    counts = running_total(long.groupBy(*by, value).agg(F.count("*").alias("ties")), by, [F.col(value)], F.col("ties"), "upto")
+    ranks = counts.select(*[F.col(c).alias(f"of_{c}") for c in (*by, value)], (F.col("upto") - (F.col("ties") - 1) / 2.0).alias("rank"))
     on = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*by, value)]
     return long.join(ranks, on).drop(*[f"of_{c}" for c in (*by, value)])
 
@@ -54,7 +58,7 @@ def pairs_of(fields: list[str]) -> list[tuple[str, str]]:
 
 
 def _ranked(table: DataFrame, fields: list[str], unit: str) -> DataFrame:
-    """(unit, a column of ranks for each field); units are few against cells."""
+    """(unit, a column of ranks for each field)."""
     ranks = average_ranks(melt(table, [unit], fields), ["field"])
     return ranks.groupBy(unit).pivot("field", fields).agg(F.first("rank"))
 
@@ -63,10 +67,14 @@ def _pair_rows(fields: list[str]) -> Column:
     return F.inline(F.array(*[F.struct(F.lit(a).alias("service_a"), F.lit(b).alias("service_b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs_of(fields)]))
 
 
+def rank_pairs(table: DataFrame, fields: list[str], unit: str) -> DataFrame:
+    """(service_a, service_b, x, y): the ranks of each unit in every pair of fields, i before j."""
+    return _ranked(table, fields, unit).select(_pair_rows(fields))
+
+
 def spearman(table: DataFrame, fields: list[str], unit: str) -> DataFrame:
     """(service_a, service_b, n, rho, relation) of every pair of fields."""
-    long = _ranked(table, fields, unit).select(_pair_rows(fields))
-    out = long.groupBy("service_a", "service_b").agg(F.count("*").alias("n"), pearson("x", "y").alias("rho"))
+    out = rank_pairs(table, fields, unit).groupBy("service_a", "service_b").agg(F.count("*").alias("n"), pearson("x", "y").alias("rho"))
     relation = F.when(F.col("rho").isNull(), "undefined").when(F.col("rho") > 0, "synergy").when(F.col("rho") < 0, "tradeoff").otherwise("neutral")
     return out.withColumn("relation", relation)
 
@@ -75,13 +83,11 @@ def permutation_p(table: DataFrame, fields: list[str], unit: str, permutations:
     """(service_a, service_b, p): two-sided, of the correlation of ranks under shuffled units.
 
     A replicate orders the units by a hash, the same for all pairs. Means and variances don't change,
-    so a replicate is one sum of products; it is a partition of the window, and replicates spread.
+    so a replicate is one sum of products. Places are numbered by ranges of hashes.
     """
-    ranks = _ranked(table, fields, unit)
-    reps = ranks.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    left = Window.partitionBy("rep").orderBy(unit)
-    right = Window.partitionBy("rep").orderBy(md5_order(seed, "rep", unit), unit)
-    order = reps.select("rep", *fields, F.row_number().over(left).alias("i"), F.row_number().over(right).alias("j"))
+    ranks = cut(_ranked(table, fields, unit))
+    reps = numbered(ranks, [], [F.col(unit)], "i").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("shuffle", md5_order(seed, "rep", unit))
+    order = numbered(reps, ["rep"], [F.col("shuffle"), F.col(unit)], "j").select("rep", *fields, "i", "j")
     shuffled = order.select(F.col("rep").alias("rep2"), F.col("j").alias("i2"), *[F.col(f).alias(f"y_{f}") for f in fields])
     joined = order.join(shuffled, (F.col("rep") == F.col("rep2")) & (F.col("i") == F.col("i2")))
     rows = F.inline(F.array(*[F.struct(F.lit(a).alias("service_a"), F.lit(b).alias("service_b"), F.col(a).alias("x"), F.col(f"y_{b}").alias("y")) for a, b in pairs_of(fields)]))
@@ -98,11 +104,11 @@ def bootstrap_ci(table: DataFrame, fields: list[str], unit: str, replicates: int
 
     Draws are hashes of replicate and place; every replicate is ranked anew.
     """
-    numbered = table.select(unit, *fields, (F.row_number().over(Window.orderBy(unit)) - 1).alias("i"))
-    n = numbered.agg(F.count("*").alias("n"))
-    places = numbered.select("i").crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    units = cut(numbered(table.select(unit, *fields), [], [F.col(unit)], "i").withColumn("i", F.col("i") - 1))
+    n = units.agg(F.count("*").alias("n"))
+    places = units.select("i").crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     draws = places.select("rep", F.col("i").alias("place"), md5_below(F.col("n"), seed, "rep", "i").alias("draw"))
-    drawn = draws.join(numbered, F.col("draw") == F.col("i")).select("rep", "place", *fields)
+    drawn = draws.join(units, F.col("draw") == F.col("i")).select("rep", "place", *fields)
     ranks = average_ranks(melt(drawn, ["rep", "place"], fields), ["rep", "field"]).groupBy("rep", "place").pivot("field", fields).agg(F.first("rank"))
     rhos = ranks.select("rep", _pair_rows(fields)).groupBy("service_a", "service_b", "rep").agg(F.round(pearson("x", "y"), 9).alias("rho")).where("rho IS NOT NULL")
     sorted_rhos = rhos.groupBy("service_a", "service_b").agg(F.array_sort(F.collect_list("rho")).alias("s"), F.count("*").alias("replicates"))
@@ -121,13 +127,24 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", tie: list[str] | None = N
 
 
 def quantile_strata(table: DataFrame, field: str, bins: int, out: str) -> DataFrame:
-    """Adds a stratum Q0, Q1, ... by linear quantiles of a field; its value as text if it has few distinct ones."""
-    probs = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    edges = table.agg(F.array_distinct(F.percentile(field, probs)).alias("edges"), F.countDistinct(field).alias("kinds"))
+    """Adds a stratum Q1, Q2, ... by linear quantiles of a field; its value as text if it has few distinct ones.
+
+    A value's stratum is the number of distinct quantiles up to it, the largest value's that of the
+    last interval. Values are counted first and the quantiles read off their running totals.
+    """
+    counts = cut(running_total(table.where(F.col(field).isNotNull()).groupBy(F.col(field).cast("double").alias("x")).agg(F.count("*").alias("n")), [], [F.col("x")], F.col("n"), "upto"))
+    whole = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    exact = F.col("q") / bins * (F.col("total") - 1)
+    asked = whole.select("total", "kinds", F.explode(F.sequence(F.lit(0), F.lit(bins))).alias("q")).select("kinds", "q", F.floor(exact).alias("at"), (exact - F.floor(exact)).alias("part"), F.least(F.floor(exact) + 1, F.col("total") - 1).alias("next"))
+    # A few rows: each quantile lies between two places of the sorted values.
+    found = counts.join(F.broadcast(asked), (F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("next")))
+    holds = lambda p: F.max(F.when((F.col("upto") > F.col(p)) & (F.col("upto") - F.col("n") <= F.col(p)), F.col("x")))
+    ends = found.groupBy("kinds", "q", "part").agg(holds("at").alias("low"), holds("next").alias("high"))
+    edges = ends.groupBy("kinds").agg(F.array_sort(F.collect_set(F.col("low") + (F.col("high") - F.col("low")) * F.col("part"))).alias("edges"))
     x = F.col(field)
-    place = F.size(F.filter("edges", lambda e: e <= x)) - 1
-    label = F.concat(F.lit("Q"), F.least(place, F.size("edges") - 2).cast("string"))
-    return table.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col("kinds") > bins, label).otherwise(x.cast("string"))).drop("edges", "kinds")
+    place = F.size(F.filter("edges", lambda e: e <= x))
+    label = F.concat(F.lit("Q"), F.least(place, F.size("edges") - 1).cast("string"))
+    return table.crossJoin(F.broadcast(edges)).withColumn(out, F.when((F.col("kinds") > bins) & x.isNotNull(), label).otherwise(x.cast("string"))).drop("edges", "kinds")
 
 
 def factor_q(samples: DataFrame, target: str, factors: list[str]) -> DataFrame:
@@ -167,11 +184,11 @@ def factor_permutation_p(samples: DataFrame, target: str, factors: list[str], un
     whole numbers, so equal q compare equal.
     """
     y = F.round(F.col(target) * 100).cast("long")
-    reps = samples.select(unit, y.alias("y"), *factors).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    reps = numbered(samples.select(unit, y.alias("y"), *factors), [], [F.col(unit)], "i").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
     shuffle = F.when(F.col("rep") == 0, F.lit("")).otherwise(md5_order(seed, "rep", unit))
-    numbered = reps.select("rep", "y", *factors, F.row_number().over(Window.partitionBy("rep").orderBy(unit)).alias("i"), F.row_number().over(Window.partitionBy("rep").orderBy(shuffle, unit)).alias("j"))
-    targets = numbered.select(F.col("rep").alias("rep2"), F.col("j").alias("i2"), F.col("y").alias("y2"))
-    joined = numbered.join(targets, (F.col("rep") == F.col("rep2")) & (F.col("i") == F.col("i2")))
+    placed = numbered(reps.withColumn("shuffle", shuffle), ["rep"], [F.col("shuffle"), F.col(unit)], "j")
+    targets = placed.select(F.col("rep").alias("rep2"), F.col("j").alias("i2"), F.col("y").alias("y2"))
+    joined = placed.join(targets, (F.col("rep") == F.col("rep2")) & (F.col("i") == F.col("i2")))
     rows = F.inline(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("stratum")) for f in factors]))
     strata = joined.select("rep", "y2", rows).groupBy("factor", "rep", "stratum").agg(F.sum("y2").alias("s"), F.count("*").alias("n"))
     between = strata.groupBy("factor", "rep").agg(F.round(F.sum(F.col("s").cast("double") * F.col("s") / F.col("n")), 0).alias("b"))

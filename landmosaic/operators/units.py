@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import finite, unit_id
+from ..functions.expressions import area_ha, finite, unit_id
 
 #: How a service's cells become one number: depth in mm becomes m³.
 AGGREGATIONS = ("sum", "mean", "depth_mm_to_m3")
@@ -16,11 +16,6 @@ def valid(cells: DataFrame) -> DataFrame:
     return cells.where(finite("value"))
 
 
-def _aggregate(how: Column, cell_m2: float) -> Column:
-    s = F.sum("value")
-    return F.when(how == "mean", F.avg("value")).when(how == "depth_mm_to_m3", s * cell_m2 / 1000.0).otherwise(s)
-
-
 def scenario_totals(cells: DataFrame, aggregations: dict[str, str], cell_m2: float) -> DataFrame:
     """(scenario, field, valid_cells, total) of cells (scenario, field, row, col, value).
 
@@ -61,6 +56,16 @@ def service_table(cells: DataFrame, fields: list[str], size: int | None, aggrega
     return supplement(out, extra, extra_fields or []) if extra is not None else out
 
 
+def zonal_metrics(cells: DataFrame, zones: DataFrame, cell_m2: float) -> DataFrame:
+    """(zone, cell_count, total, area_ha, volume_m3) of depths in m by zone of (row, col, zone); a zone without a valid cell counts 0.
+
+    Zones are counted first, so one whose cells are all NoData still has its row.
+    """
+    depth = cells.where(finite("value")).select("row", "col", F.col("value").cast("double").alias("d"))
+    sums = zones.select("row", "col", "zone").join(depth, ["row", "col"], "left").groupBy("zone").agg(F.count("d").alias("cell_count"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("total"))
+    return sums.select("zone", "cell_count", "total", area_ha("cell_count", cell_m2).alias("area_ha"), (F.col("total") * cell_m2).alias("volume_m3"))
+
+
 def unit_polygons(width: int, height: int, size: int, transform: list[float], spark) -> DataFrame:
     """(unit_id, x0, y0, x1, y1, ring): closed rings of the grid's units; those at the edges are cut off."""
     rows = spark.range((height + size - 1) // size).select(F.col("id").alias("ur"))

@@ -28,6 +28,16 @@ def _(t):
     return change.transition_matrix(t.cells("t0"), t.cells("t1"), CELL_M2, scheme)
 
 
+@query("j1_common_cells", "SELECT a.row, a.col, a.t0 AS source, b.t1 AS target FROM g a JOIN g b ON a.row = b.row AND a.col = b.col WHERE a.k % 7 <> 0 AND b.k % 11 <> 0")
+def _(t):
+    return change.pair(t.cells("t0", "k").where("k % 7 <> 0"), t.cells("t1", "k").where("k % 11 <> 0"))
+
+
+@query("p2_in_scheme", "SELECT row, col, t0 AS source, t1 AS target FROM g WHERE t0 <> 6 AND t1 <> 6")
+def _(t):
+    return change.in_scheme(change.pair(t.cells("t0"), t.cells("t1")), class_scheme(t.spark).where("code <> 6"))
+
+
 @query("a1_combine", f"SELECT t0, t1, p1, count(*) AS pixel_count, {HA} FROM g GROUP BY ALL", "area_ha")
 def _(t):
     return change.combine({n: t.cells(n) for n in ("t0", "t1", "p1")}, CELL_M2)
@@ -174,6 +184,11 @@ def _(t):
     return carbon.carbon_stock(t.cells("t1", "scenario"), t.pools, CELL_M2)
 
 
+@query("j3_pool_lookup", "SELECT scenario, t1 AS value, count(*) AS pixel_count FROM g WHERE t1 NOT IN (SELECT lucode FROM pools WHERE c_soil > 15) GROUP BY ALL")
+def _(t):
+    return carbon.missing_pools(t.cells("t1", "scenario"), t.pools.where("c_soil > 15"))
+
+
 @query("a19_carbon_change", f"WITH {STOCK} SELECT scenario, carbon_t, carbon_t - b AS change_t, 100 * (carbon_t - b) / b AS change_percent FROM ct, (SELECT carbon_t AS b FROM ct WHERE value IS NULL AND scenario = 'ND') WHERE value IS NULL", "carbon_t change_t change_percent")
 def _(t):
     return carbon.carbon_change(carbon.carbon_stock(t.cells("t1", "scenario"), t.pools, CELL_M2), "ND")

@@ -32,16 +32,24 @@ def _(t):
     return grid.sample_at_points(points, t.cells("t0"), TRANSFORM, "prediction").select("point_id", "row", "col", "prediction")
 
 
-@query("a8_rasterise_points", "WITH p AS (SELECT CAST(floor((3700000.0 - l_partkey % 4000 - 3700000.0) / -30) AS BIGINT) AS row, CAST(floor((500000.0 + l_suppkey * 40 - 500000.0) / 30) AS BIGINT) AS col, l_quantity AS q FROM lineitem) SELECT row, col, avg(q) AS value FROM p WHERE row BETWEEN 0 AND 99 AND col BETWEEN 0 AND 99 GROUP BY ALL", "value")
+#: Points of lineitem, and a grid that nine tenths of their extent fill.
+POINTS = "e AS (SELECT max(l_partkey) * 9 // 300 AS h, max(l_suppkey) * 36 // 30 AS w FROM lineitem), p AS (SELECT CAST(floor(l_partkey / 30.0) AS BIGINT) AS row, CAST(floor(l_suppkey * 40 / 30.0) AS BIGINT) AS col, l_quantity AS q, h, w FROM lineitem, e)"
+
+
+def _rasterised(t):
+    line = t("lineitem")
+    h, w = line.agg(F.expr("max(l_partkey) * 9 div 300"), F.expr("max(l_suppkey) * 36 div 30")).first()
+    return grid.rasterise_points(line.selectExpr("500000.0D + l_suppkey * 40 AS x", "3700000.0D - l_partkey AS y", "l_quantity AS value"), TRANSFORM, w or 0, h or 0)
+
+
+@query("a8_rasterise_points", f"WITH {POINTS} SELECT row, col, avg(q) AS value FROM p WHERE row < h AND col < w GROUP BY ALL", "value")
 def _(t):
-    points = t("lineitem").selectExpr("500000.0D + l_suppkey * 40 AS x", "3700000.0D - l_partkey % 4000 AS y", "l_quantity AS value")
-    return grid.rasterise_points(points, TRANSFORM, 100, 100)[0]
+    return _rasterised(t)[0]
 
 
-@query("a8_points_outside", "SELECT count(*) FILTER (NOT (l_partkey % 4000 // 30 BETWEEN 0 AND 99 AND l_suppkey * 40 // 30 BETWEEN 0 AND 99)) AS outside FROM lineitem")
+@query("a8_points_outside", f"WITH {POINTS} SELECT count(*) FILTER (NOT (row < h AND col < w)) AS outside FROM p")
 def _(t):
-    points = t("lineitem").selectExpr("500000.0D + l_suppkey * 40 AS x", "3700000.0D - l_partkey % 4000 AS y", "l_quantity AS value")
-    return grid.rasterise_points(points, TRANSFORM, 100, 100)[1]
+    return _rasterised(t)[1]
 
 
 @query("a6_majority", "WITH c AS (SELECT row // 3 AS row, col // 3 AS col, t0 AS value, count(*) AS n FROM g GROUP BY ALL) SELECT row, col, value FROM c QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY n DESC, value) = 1")
@@ -64,21 +72,26 @@ def _(t):
     return grid.over_years(t.g.selectExpr("row div 10 AS row", "col", "2020 + k % 3 AS year", "v AS value"))
 
 
-EXTENT = (500_000.0, 3_700_000.0 - 1200.0, 500_000.0 + 3000.0, 3_700_000.0)
 TARGET = [50.0, 0.0, 500_000.0, 0.0, -50.0, 3_700_000.0]
-TG = "tg AS (SELECT r.x AS row, c.x AS col, (r.x + 0.5) * 50 / 30 AS fy, (c.x + 0.5) * 50 / 30 AS fx FROM range(24) r(x), range(60) c(x))"
+TG = "tg AS (SELECT r.row, c.x AS col, (r.row + 0.5) * 50 / 30 AS fy, (c.x + 0.5) * 50 / 30 AS fx FROM (SELECT unnest(range(0, CAST(ceil((max(o_orderkey) // 100 + 1) * 30 / 50.0) AS BIGINT))) AS row FROM orders) r, range(60) c(x))"
+
+
+def _target(t):
+    """Cells of 50 m over the whole grid."""
+    height = (t("orders").agg(F.max("o_orderkey")).first()[0] or 0) // 100 + 1
+    return grid.target_grid((500_000.0, 3_700_000.0 - height * 30.0, 503_000.0, 3_700_000.0), 50.0, t.spark)
 
 
 @query("j14_regrid_nearest", f"WITH {TG} SELECT tg.row, tg.col, t0 AS value FROM tg JOIN g ON g.row = floor(fy) AND g.col = floor(fx)")
 def _(t):
-    return grid.regrid(t.cells("t0"), grid.target_grid(EXTENT, 50.0, t.spark), TRANSFORM, TARGET, "nearest")
+    return grid.regrid(t.cells("t0"), _target(t), TRANSFORM, TARGET, "nearest")
 
 
 @query("j14_regrid_bilinear", f"""WITH {TG}, p AS (SELECT row, col, floor(fy - 0.5) AS r0, floor(fx - 0.5) AS c0, fy - 0.5 - floor(fy - 0.5) AS v, fx - 0.5 - floor(fx - 0.5) AS u FROM tg),
 n AS (SELECT p.row, p.col, (CASE WHEN i.x = 0 THEN 1 - p.v ELSE p.v END) * (CASE WHEN j.x = 0 THEN 1 - p.u ELSE p.u END) AS w, g.v AS value FROM p, range(2) i(x), range(2) j(x), g WHERE g.row = r0 + i.x AND g.col = c0 + j.x)
 SELECT row, col, sum(w * value) / sum(w) AS value FROM n GROUP BY ALL HAVING abs(sum(w)) > 1e-9""", "value", 3)
 def _(t):
-    return grid.regrid(t.cells("v"), grid.target_grid(EXTENT, 50.0, t.spark), TRANSFORM, TARGET, "bilinear")
+    return grid.regrid(t.cells("v"), _target(t), TRANSFORM, TARGET, "bilinear")
 
 
 @query("j14_regrid_cubic", f"""WITH {TG}, p AS (SELECT row, col, floor(fy - 0.5) AS r0, floor(fx - 0.5) AS c0, fy - 0.5 - floor(fy - 0.5) AS v, fx - 0.5 - floor(fx - 0.5) AS u FROM tg),
@@ -86,7 +99,18 @@ w AS (SELECT *, [-0.5*u+u*u-0.5*u*u*u, 1-2.5*u*u+1.5*u*u*u, 0.5*u+2*u*u-1.5*u*u*
 n AS (SELECT w.row, w.col, wv[CAST(i.x + 2 AS INT)] * wu[CAST(j.x + 2 AS INT)] AS w, g.v AS value FROM w, range(-1, 3) i(x), range(-1, 3) j(x), g WHERE g.row = r0 + i.x AND g.col = c0 + j.x)
 SELECT row, col, sum(w * value) / sum(w) AS value FROM n GROUP BY ALL HAVING abs(sum(w)) > 1e-9""", "value", 2)
 def _(t):
-    return grid.regrid(t.cells("v"), grid.target_grid(EXTENT, 50.0, t.spark), TRANSFORM, TARGET, "cubic")
+    return grid.regrid(t.cells("v"), _target(t), TRANSFORM, TARGET, "cubic")
+
+
+@query("j14_regrid_majority", "WITH c AS (SELECT CAST(floor((row + 0.5) * 30 / 50) AS BIGINT) AS row, CAST(floor((col + 0.5) * 30 / 50) AS BIGINT) AS col, t0 AS value, count(*) AS n FROM g GROUP BY ALL) SELECT row, col, value FROM c QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY n DESC, value) = 1")
+def _(t):
+    return grid.regrid(t.cells("t0"), _target(t), TRANSFORM, TARGET, "majority")
+
+
+@query("j14_regrid_masked", f"WITH {TG} SELECT tg.row, tg.col, t0 AS value FROM tg JOIN g ON g.row = floor(fy) AND g.col = floor(fx) WHERE (tg.row + tg.col) % 3 = 0")
+def _(t):
+    target = _target(t)
+    return grid.regrid(t.cells("t0"), target, TRANSFORM, TARGET, "nearest", target.where("(row + col) % 3 = 0"))
 
 
 KNOWN = "kn AS (SELECT row AS kr, col AS kc, v AS kv FROM g WHERE k % 37 = 0)"
@@ -102,16 +126,25 @@ def _(t):
     return grid.nearest_fill(_known(t), t.cells("v"), 30.0, 90.0)
 
 
-@query("j13_distance_to_source", f"WITH {KNOWN} SELECT row, col, sqrt(min((row - kr) * (row - kr) + (col - kc) * (col - kc))) * 30 AS distance FROM g JOIN kn ON kr BETWEEN row - 4 AND row + 4 AND kc BETWEEN col - 4 AND col + 4 GROUP BY ALL HAVING sqrt(min((row - kr) * (row - kr) + (col - kc) * (col - kc))) * 30 <= 120", "distance")
+#: Sources lie in every 20th row, 97 columns apart: far ones need several rounds, and some are within no fixed reach.
+FAR = "kn AS (SELECT row AS kr, col AS kc, v AS kv FROM g WHERE row % 20 = 3 AND k % 97 = 5)"
+
+
+@query("j13_distance_to_source", f"WITH {FAR} SELECT row, col, sqrt(min((row - kr) * (row - kr) + (col - kc) * (col - kc))) * 30 AS distance FROM g, kn GROUP BY ALL", "distance")
+def _(t):
+    return grid.distance_to_source(t.cells("t0"), t.g.where("row % 20 = 3 AND k % 97 = 5").select("row", "col"), 30.0)
+
+
+@query("j13_distance_within", f"WITH {KNOWN} SELECT row, col, sqrt(min((row - kr) * (row - kr) + (col - kc) * (col - kc))) * 30 AS distance FROM g JOIN kn ON kr BETWEEN row - 4 AND row + 4 AND kc BETWEEN col - 4 AND col + 4 GROUP BY ALL HAVING sqrt(min((row - kr) * (row - kr) + (col - kc) * (col - kc))) * 30 <= 120", "distance")
 def _(t):
     return grid.distance_to_source(t.cells("t0"), _known(t), 30.0, 120.0)
 
 
-@query("m8_inverse_distance", f"""WITH {KNOWN}, pr AS (SELECT row, col, kr, kc, kv, (row - kr) * (row - kr) + (col - kc) * (col - kc) AS d2 FROM g JOIN kn ON kr BETWEEN row - 10 AND row + 10 AND kc BETWEEN col - 10 AND col + 10 WHERE (row - kr) * (row - kr) + (col - kc) * (col - kc) <= 100),
+@query("m8_inverse_distance", f"""WITH {KNOWN}, pr AS (SELECT row, col, kr, kc, kv, (row - kr) * (row - kr) + (col - kc) * (col - kc) AS d2 FROM g JOIN kn ON kr BETWEEN row - 60 AND row + 60),
 b AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY d2, kr, kc) <= 12)
 SELECT row, col, coalesce(max(kv) FILTER (d2 = 0), sum(kv / d2) FILTER (d2 > 0) / sum(1.0 / d2) FILTER (d2 > 0)) AS value FROM b GROUP BY ALL""", "value", 3)
 def _(t):
-    return grid.inverse_distance(_known(t), t.cells("v"), 30.0, 300.0)
+    return grid.inverse_distance(_known(t), t.cells("v"))
 
 
 NEAR = "nb AS (SELECT g.row - i.x AS row, g.col - j.x AS col, i.x AS i, j.x AS j, v, t1 FROM g, range(-1, 2) i(x), range(-1, 2) j(x))"
@@ -134,11 +167,24 @@ def _(t):
     return grid.smooth(t.cells("t1"))
 
 
-@query("j10_in_polygons", f"""WITH p AS (SELECT s_suppkey AS f, 500000.0 + s_suppkey * 28 AS x, 3700000.0 - s_nationkey * 40 AS y, 203.3 + s_suppkey % 7 * 10 AS h FROM supplier) SELECT f AS feature_id, row, col FROM g JOIN p ON abs({X} - x) + abs({Y} - y) < h""")
+#: Diamonds over the whole grid, each with a hole and a further part 1500 m beside it.
+SHAPES = "d AS (SELECT max(o_orderkey) // 100 + 1 AS h FROM orders), p AS (SELECT s_suppkey AS f, 500000.0 + s_suppkey * 28 % 1400 AS x, 3700000.0 - s_suppkey * 7919 % h * 30 AS y, 203.3 + s_suppkey % 7 * 10 AS r FROM supplier, d)"
+
+
+@query("j10_in_polygons", f"WITH {SHAPES}, c AS (SELECT f, r, row, col, abs({X} - x) + abs({Y} - y) AS one, abs({X} - x - 1500) + abs({Y} - y) AS two FROM g JOIN p ON {Y} BETWEEN y - r AND y + r) SELECT f AS feature_id, row, col FROM c WHERE one < r AND one > r / 2 OR two < r / 3")
 def _(t):
-    a = t("supplier").selectExpr("s_suppkey AS feature_id", "500000.0D + s_suppkey * 28 AS x", "3700000.0D - s_nationkey * 40 AS y", "203.3D + s_suppkey % 7 * 10 AS h")
-    rings = a.selectExpr("feature_id", "array(array(x - h, y), array(x, y + h), array(x + h, y), array(x, y - h), array(x - h, y)) AS ring")
-    return grid.in_polygons(t.cells("t0"), rings, TRANSFORM)
+    h = (t("orders").agg(F.max("o_orderkey")).first()[0] or 0) // 100 + 1
+    a = t("supplier").selectExpr("s_suppkey AS feature_id", "500000.0D + s_suppkey * 28 % 1400 AS x", f"3700000.0D - s_suppkey * 7919 % {h} * 30 AS y", "203.3D + s_suppkey % 7 * 10 AS r")
+    diamond = lambda x, r: f"array(array({x} - {r}, y), array({x}, y + {r}), array({x} + {r}, y), array({x}, y - {r}), array({x} - {r}, y))"
+    shapes = a.selectExpr("feature_id", f"array({diamond('x', 'r')}, {diamond('x', 'r / 2')}, {diamond('(x + 1500)', 'r / 3')}) AS rings")
+    return grid.in_polygons(t.cells("t0"), shapes, TRANSFORM)
+
+
+@query("a7_zonal_metrics", "SELECT t0 AS zone, count(d) AS cell_count, coalesce(sum(d), 0) AS total, count(d) * 0.09 AS area_ha, coalesce(sum(d), 0) * 900 AS volume_m3 FROM (SELECT t0, CASE WHEN k % 9 <> 0 AND t0 <> 4 THEN v / 1000 END AS d FROM g) GROUP BY t0", "total area_ha volume_m3", 3)
+def _(t):
+    k = F.col("k")
+    depth = t.g.select("row", "col", F.when(F.col("t0") == 4, None).when(k % 9 == 0, F.lit(float("nan"))).otherwise(F.col("v") / 1000).alias("value"))
+    return units.zonal_metrics(depth, t.g.select("row", "col", F.col("t0").alias("zone")), CELL_M2)
 
 
 @query("j11_mask_extraction", "SELECT row, col, v AS value FROM g WHERE t1 = 4", "value")
@@ -215,9 +261,9 @@ def _patches(t):
     return t.g.select((F.expr("row div 16") * 12).alias("tile_row"), (F.expr("col div 16") * 12).alias("tile_col"), (F.col("row") % 16).alias("dy"), (F.col("col") % 16).alias("dx"), prob.alias("prob"), (F.col("k") % 13 != 0).alias("valid"))
 
 
-@query("a36_mosaic", f"WITH {TILE}, c AS (SELECT row, col, c.x AS class, sum(w * CASE WHEN t0 = c.x + 1 THEN 0.5 ELSE 0.1 END) / sum(w) AS p FROM w, range(6) c(x) WHERE w > 0 GROUP BY ALL) SELECT row, col, max(p) AS confidence FROM c GROUP BY ALL", "confidence")
+@query("a36_mosaic", f"WITH {TILE}, c AS (SELECT row, col, CAST(c.x AS INTEGER) AS class, sum(w * CASE WHEN t0 = c.x + 1 THEN 0.5 ELSE 0.1 END) / sum(w) AS p FROM w, range(6) c(x) WHERE w > 0 GROUP BY ALL) SELECT row, col, class, p AS confidence FROM c QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY round(p, 9) DESC, class) = 1", "confidence")
 def _(t):
-    return classify.mosaic(_patches(t), 16).select("row", "col", "confidence")
+    return classify.mosaic(_patches(t), 16)
 
 
 @query("w10_blend_weight", "SELECT k, greatest((0.5 - 0.5 * cos(2 * pi() * (row % 16) / 15)) * (0.5 - 0.5 * cos(2 * pi() * (col % 16) / 15)), 0.05) AS weight FROM g", "weight")
@@ -235,17 +281,22 @@ def _(t):
     return t("embeddings").select("vec_id", E.low_confidence(1 / (1 + F.abs(F.get("embedding", F.lit(0)).cast("double"))), 0.9).alias("low"))
 
 
-@query("p4_normalise_bands", "SELECT vec_id, (embedding[1]::DOUBLE * 2 + 0.5 - 0.25) / 0.5 AS b0, (embedding[2]::DOUBLE * 2 + 0.5 - 0.5) / 2 AS b1 FROM embeddings", "b0 b1")
+@query("p4_normalise_bands", "SELECT vec_id, CAST(band AS INTEGER) AS band, (x * 2 + 0.5 - band % 4 / 4.0) / (0.5 + band % 3) AS value FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS band, unnest(embedding)::DOUBLE AS x FROM embeddings)", "value")
 def _(t):
-    bands = F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))
-    normed = t("embeddings").select("vec_id", E.normalise_bands(bands, 2.0, 0.5, [0.25, 0.5], [0.5, 2.0]).alias("n"))
-    return normed.select("vec_id", F.get("n", F.lit(0)).alias("b0"), F.get("n", F.lit(1)).alias("b1"))
+    first = t("embeddings").select(F.size("embedding")).first()
+    n = first[0] if first else 0
+    normed = t("embeddings").select("vec_id", E.normalise_bands(F.transform("embedding", lambda x: x.cast("double")), 2.0, 0.5, [k % 4 / 4 for k in range(n)], [0.5 + k % 3 for k in range(n)]).alias("n"))
+    return normed.select("vec_id", F.posexplode("n").alias("band", "value"))
 
 
-@query("p15_indices", "SELECT vec_id, (e1 - e2) / nullif(e1 + e2, 0) AS ndvi FROM (SELECT vec_id, abs(embedding[1]::DOUBLE) AS e1, abs(embedding[2]::DOUBLE) AS e2 FROM embeddings)", "ndvi")
+INDEX = "(SELECT vec_id, abs(embedding[1]::DOUBLE) AS blue, abs(embedding[2]::DOUBLE) AS green, abs(embedding[3]::DOUBLE) AS red, abs(embedding[4]::DOUBLE) AS nir, abs(embedding[5]::DOUBLE) AS swir FROM embeddings)"
+
+
+@query("p15_indices", f"SELECT vec_id, (nir - red) / nullif(nir + red, 0) AS ndvi, (green - nir) / nullif(green + nir, 0) AS ndwi, (green - swir) / nullif(green + swir, 0) AS mndwi, (swir - nir) / nullif(swir + nir, 0) AS ndbi FROM {INDEX}", "ndvi ndwi mndwi ndbi")
 def _(t):
     band = lambda k: F.abs(F.get("embedding", F.lit(k)).cast("double"))
-    return t("embeddings").select("vec_id", E.normalised_difference(band(0), band(1)).alias("ndvi"))
+    named = t("embeddings").select("vec_id", *[band(k).alias(n) for k, n in enumerate(("blue", "green", "red", "nir", "swir"))])
+    return named.select("vec_id", *[E.spectral_index(n).alias(n) for n in E.INDICES])
 
 
 @query("m10_softmax", "WITH l AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, max(exp(x)) / sum(exp(x)) AS top FROM l GROUP BY vec_id", "top")
@@ -266,9 +317,9 @@ def _(t):
     return classify.signatures(_pixels(t))
 
 
-@query("a35_covariances", "WITH l AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS band, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT a.label, CAST(a.band AS INTEGER) AS band_a, CAST(b.band AS INTEGER) AS band_b, covar_samp(a.x, b.x) AS covariance FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.band <= b.band WHERE a.band < 8 AND b.band < 8 GROUP BY ALL", "covariance")
+@query("a35_covariances", f"WITH {LONG} SELECT a.label, CAST(a.band AS INTEGER) AS band_a, CAST(b.band AS INTEGER) AS band_b, covar_samp(a.x, b.x) AS covariance FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.band <= b.band GROUP BY ALL", "covariance")
 def _(t):
-    return classify.covariances(_pixels(t).withColumn("bands", F.slice("bands", 1, 8)))
+    return classify.covariances(_pixels(t))
 
 
 @query("a35_covariances_all_bands", f"WITH {LONG} SELECT a.label, CAST(a.band AS INTEGER) AS band_a, CAST(b.band AS INTEGER) AS band_b, covar_samp(a.x, b.x) AS covariance FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.band <= b.band GROUP BY ALL", "covariance")

@@ -9,15 +9,15 @@ SERVICES = ["spend", "peak", "mean"]
 SEED = 20260713
 #: Replicates in the registered queries; operators take any number.
 REPLICATES = 99
-RANKS = """u AS (SELECT c_nationkey AS unit_id, sum(c_acctbal) AS spend, max(c_acctbal) AS peak, CAST(count(*) AS DOUBLE) AS mean FROM customer GROUP BY ALL),
+RANKS = """u AS (SELECT l_suppkey AS unit_id, sum(l_quantity) AS spend, max(l_extendedprice) AS peak, CAST(count(*) AS DOUBLE) AS mean FROM lineitem GROUP BY ALL),
 r AS (SELECT unit_id, spend, peak, mean, rank() OVER (ORDER BY spend) + (count(*) OVER (PARTITION BY spend) - 1) / 2.0 AS rs, rank() OVER (ORDER BY peak) + (count(*) OVER (PARTITION BY peak) - 1) / 2.0 AS rp, rank() OVER (ORDER BY mean) + (count(*) OVER (PARTITION BY mean) - 1) / 2.0 AS rm FROM u),
 pr AS (SELECT unit_id, 'spend' AS service_a, 'peak' AS service_b, rs AS x, rp AS y FROM r UNION ALL SELECT unit_id, 'spend', 'mean', rs, rm FROM r UNION ALL SELECT unit_id, 'peak', 'mean', rp, rm FROM r)"""
 RHO = "covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)"
 
 
-def _nations(t):
-    """Nations as units: few rows, so replicates are many against them."""
-    return t("customer").groupBy(F.col("c_nationkey").alias("unit_id")).agg(F.sum("c_acctbal").alias("spend"), F.max("c_acctbal").alias("peak"), F.count("*").cast("double").alias("mean"))
+def _suppliers(t):
+    """Suppliers as units, by what they deliver."""
+    return t("lineitem").groupBy(F.col("l_suppkey").alias("unit_id")).agg(F.sum("l_quantity").alias("spend"), F.max("l_extendedprice").alias("peak"), F.count("*").cast("double").alias("mean"))
 
 
 @query("w1_average_ranks", "SELECT l_suppkey, l_quantity AS value, l_linenumber, rank() OVER (PARTITION BY l_linenumber ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linenumber, l_quantity) - 1) / 2.0 AS rank FROM lineitem", "rank")
@@ -32,7 +32,7 @@ def _(t):
 
 @query("a27_spearman", f"WITH {RANKS} SELECT service_a, service_b, count(*) AS n, {RHO} AS rho, CASE WHEN {RHO} IS NULL THEN 'undefined' WHEN {RHO} > 0 THEN 'synergy' WHEN {RHO} < 0 THEN 'tradeoff' ELSE 'neutral' END AS relation FROM pr GROUP BY ALL", "rho")
 def _(t):
-    return stats.spearman(_nations(t), SERVICES, "unit_id")
+    return stats.spearman(_suppliers(t), SERVICES, "unit_id")
 
 
 SHUFFLED = f"""{RANKS}, rep AS (SELECT r.x AS rep FROM range(1, {REPLICATES + 1}) r(x)),
@@ -43,9 +43,15 @@ ob AS (SELECT service_a, service_b, sum(x * y) AS xy0, sum(x) * sum(y) / count(*
 pv AS (SELECT service_a, service_b, (count(*) FILTER (abs(xy - centre) >= abs(xy0 - centre)) + 1) / (count(*) + 1) AS p FROM xy JOIN ob USING (service_a, service_b) GROUP BY ALL)"""
 
 
+@query("j8_service_pairs", f"WITH {RANKS} SELECT service_a, service_b, count(*) AS n, sum(x * y) AS xy FROM pr GROUP BY ALL", "xy")
+def _(t):
+    pairs = stats.rank_pairs(_suppliers(t), SERVICES, "unit_id")
+    return pairs.groupBy("service_a", "service_b").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("y")).alias("xy"))
+
+
 @query("a28_permutation_p", f"WITH {SHUFFLED} SELECT * FROM pv", "p")
 def _(t):
-    return stats.permutation_p(_nations(t), SERVICES, "unit_id", REPLICATES, SEED)
+    return stats.permutation_p(_suppliers(t), SERVICES, "unit_id", REPLICATES, SEED)
 
 
 @query("a29_bootstrap_ci", f"""WITH {RANKS}, n AS (SELECT *, row_number() OVER (ORDER BY unit_id) - 1 AS i, count(*) OVER () AS n FROM u),
@@ -57,12 +63,12 @@ h AS (SELECT service_a, service_b, rep, round({RHO}, 9) AS rho FROM q GROUP BY A
 l AS (SELECT service_a, service_b, list_sort(list(rho)) AS s, count(*) AS replicates FROM h WHERE rho IS NOT NULL GROUP BY ALL)
 SELECT service_a, service_b, replicates, s[CAST(floor(0.025 * (replicates - 1)) AS INT) + 1] AS low, s[CAST(floor(0.975 * (replicates - 1)) AS INT) + 1] AS high FROM l""", "low high")
 def _(t):
-    return stats.bootstrap_ci(_nations(t), SERVICES, "unit_id", REPLICATES, SEED)
+    return stats.bootstrap_ci(_suppliers(t), SERVICES, "unit_id", REPLICATES, SEED)
 
 
 @query("w3_benjamini_hochberg", f"WITH {SHUFFLED}, k AS (SELECT *, row_number() OVER (ORDER BY p, service_a, service_b) AS rn, count(*) OVER () AS m FROM pv) SELECT service_a, service_b, p, least(1, min(p * m / rn) OVER (ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM k", "p fdr")
 def _(t):
-    return stats.benjamini_hochberg(stats.permutation_p(_nations(t), SERVICES, "unit_id", REPLICATES, SEED), tie=["service_a", "service_b"])
+    return stats.benjamini_hochberg(stats.permutation_p(_suppliers(t), SERVICES, "unit_id", REPLICATES, SEED), tie=["service_a", "service_b"])
 
 
 @query("a30_population_variance", "SELECT l_returnflag, var_pop(l_quantity) AS variance FROM lineitem GROUP BY ALL", "variance")
@@ -71,7 +77,7 @@ def _(t):
 
 
 EDGES = "e AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS edges FROM lineitem)"
-STRATA = f"""{EDGES}, s AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, l_returnflag, l_linestatus, 'Q' || CAST(least(len(list_filter(edges, lambda x: x <= l_quantity)) - 1, len(edges) - 2) AS VARCHAR) AS quantity_class, CAST(l_discount AS VARCHAR) AS discount FROM lineitem, e)"""
+STRATA = f"""{EDGES}, s AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, l_returnflag, l_linestatus, 'Q' || CAST(least(len(list_filter(edges, lambda x: x <= l_quantity)), len(edges) - 1) AS VARCHAR) AS quantity_class, CAST(l_discount AS VARCHAR) AS discount FROM lineitem, e)"""
 
 
 def _samples(t):

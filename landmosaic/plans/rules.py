@@ -25,9 +25,11 @@ def _part_cells(t):
 PROFILE = "c AS (SELECT CAST(l_partkey AS VARCHAR) AS raster_id, CASE WHEN l_quantity = 50 THEN NULL ELSE l_quantity - (l_partkey % 2) * l_discount END AS v FROM lineitem), pf AS (SELECT raster_id, min(v) AS low, max(v) AS high, count(*) - count(v) AS non_finite, count(DISTINCT v) AS distinct, coalesce(bool_and(v = floor(v)), NULL) AS integer FROM c GROUP BY ALL)"
 
 
-@query("a9_raster_profile", f"WITH {PROFILE} SELECT * FROM pf", "low high")
+@query("a9_raster_profile", f"WITH {PROFILE}, vs AS (SELECT raster_id, list_sort(list(DISTINCT v)) AS values FROM c WHERE v IS NOT NULL GROUP BY ALL) SELECT pf.*, array_to_string(list_transform(values, lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ' ') AS cents FROM pf LEFT JOIN vs USING (raster_id)", "low high")
 def _(t):
-    return S.profile(_part_cells(t))
+    found = S.profile(_part_cells(t), values=True)
+    cents = F.array_join(F.transform("values", lambda x: F.round(x * 100).cast("long").cast("string")), " ")
+    return found.withColumn("cents", cents).drop("values")
 
 
 @query("s3_describe_rasters", f"WITH {PROFILE} SELECT CAST(p_partkey AS VARCHAR) AS raster_id, CASE WHEN p_partkey % 11 <> 0 THEN 'EPSG:32650' END AS crs, CAST(CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE 100 END AS INTEGER) AS width, low, high, non_finite FROM part LEFT JOIN pf ON raster_id = CAST(p_partkey AS VARCHAR)", "low high")
@@ -42,6 +44,18 @@ def _(t):
     return quality.raster_rules(S.describe(_part_cells(t), _grids(t)), True, 2.0, 48.0)
 
 
+@query("q1_contract_rules", f"""WITH {PROFILE}, d AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS entity, pf.* FROM part LEFT JOIN pf ON raster_id = CAST(p_partkey AS VARCHAR)),
+u AS (SELECT DISTINCT raster_id FROM c WHERE v IS NOT NULL AND v NOT IN (SELECT x::DOUBLE FROM range(0, 45) r(x))), b AS (SELECT *, k % 5 AS n FROM d)
+SELECT 'cell_size_differs' AS rule, entity FROM b WHERE k % 17 = 0 UNION ALL SELECT 'unknown_codes', raster_id FROM u UNION ALL SELECT 'nodata_is_a_code', entity FROM b WHERE k % 7 <> 0 UNION ALL SELECT 'band_count_differs', entity FROM b WHERE n <> 3
+UNION ALL SELECT 'too_few_bands', entity FROM b WHERE n < 2 UNION ALL SELECT 'band_names_differ', entity FROM b WHERE n = 2 UNION ALL SELECT 'sensor_differs', entity FROM b WHERE k % 6 = 1 UNION ALL SELECT 'depth_unknown', entity FROM b WHERE low IS NULL UNION ALL SELECT 'depth_negative', entity FROM b WHERE low < -1e-9""")
+def _(t):
+    k = F.col("p_partkey")
+    more = t("part").select(k.cast("string").alias("id"), (k % 5).alias("band_count"), F.when(k % 5 == 2, F.array(F.lit("Blue"), F.lit("nir"))).otherwise(F.array(F.lit("RED"), F.lit(""), F.lit("nir"))).alias("band_names"), F.when(k % 6 == 1, F.create_map(F.lit("platform"), F.lit("GF-1"))).when(k % 6 == 2, F.create_map(F.lit("sensor"), F.lit("landsat-8"))).otherwise(F.create_map(F.lit("other"), F.lit("x"))).alias("tags"))
+    described = _grids(t).join(S.profile(_part_cells(t), values=True), "raster_id", "left").join(more, F.col("raster_id") == F.col("id"))
+    found = quality.raster_rules(described, cell_m=30.0, codes=list(range(45)), bands=3, least_bands=2, band_names=["red", "nir"], sensor="Landsat-8", depth=True)
+    return found.where(~F.col("rule").isin("crs_missing", "empty_grid", "not_projected_metres", "nodata_missing", "cell_not_square", "non_finite_values", "no_valid_cells"))
+
+
 @query("j17_grid_equality", "SELECT CAST(p_partkey AS VARCHAR) AS raster_id, p_partkey % 13 <> 0 AS same_size, CASE WHEN p_partkey % 11 <> 0 THEN true END AS same_crs, p_partkey % 17 <> 0 AND p_partkey % 19 <> 0 AS same_transform FROM part WHERE p_partkey <> 1")
 def _(t):
     return quality.grid_equality(_grids(t), "1")
@@ -80,14 +94,24 @@ def _(t):
     return quality.category_coverage(c.where("c_nationkey % 4 <> 0").drop("c_nationkey"), c.where("c_nationkey % 3 <> 0").drop("c_nationkey"))
 
 
-@query("j15_threat_coverage", "SELECT p_type AS threat FROM part WHERE lower(trim(p_type)) NOT IN ('economy', 'standard')")
+@query("j15_threat_coverage", "SELECT ' ' || c_name AS threat FROM customer WHERE c_acctbal <= 0")
 def _(t):
-    return quality.threat_coverage(t("part").select(F.col("p_type").alias("threat")), ["Economy", "STANDARD", "lulc"])
+    return quality.threat_coverage(t("customer").select(F.concat(F.lit(" "), "c_name").alias("threat")), t("customer").where("c_acctbal > 0").select(F.col("c_name").alias("name")))
 
 
-@query("j16_driver_coverage", "SELECT DISTINCT p_brand AS driver FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 3)")
+@query("j15_header_rules", "SELECT 'header_missing' AS rule, s_suppkey || ':threats:decay' AS entity FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'header_missing', s_suppkey || ':threats:weight' FROM supplier WHERE s_suppkey % 6 = 0 UNION ALL SELECT 'header_missing', s_suppkey || ':sensitivity:habitat' FROM supplier WHERE s_suppkey % 5 = 0")
 def _(t):
-    return quality.driver_coverage(t("part").select(F.col("p_brand").alias("driver")), t("part").where("p_size < 3").select(F.col("p_brand").alias("driver")).distinct())
+    k = F.col("s_suppkey")
+    names = lambda *xs: F.array_compact(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]))
+    threats = names("threat", "max_dist", F.when(k % 6 == 0, "Weight").otherwise("weight"), F.when(k % 4 != 0, "decay"), "cur_path")
+    sensitivity = names("LULC", F.when(k % 5 != 0, "Habitat"))
+    one = lambda name, headers: t("supplier").select(k.alias("entity"), F.lit("habitat_quality").alias("model"), F.lit(name).alias("table"), headers.alias("headers"))
+    return quality.header_rules(one("threats", threats).union(one("sensitivity", sensitivity)))
+
+
+@query("j16_driver_coverage", "SELECT DISTINCT o_custkey AS driver FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def _(t):
+    return quality.driver_coverage(t("orders").select(F.col("o_custkey").alias("driver")), t("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("driver")))
 
 
 @query("p11_resampling_policy", "WITH d AS (SELECT p_partkey, ['aspect', 'soil_type', 'slope', ' Slope_Class '][CAST(p_partkey % 4 AS INT) + 1] AS driver, ['nearest', 'majority', 'bilinear', 'cubic', 'mode'][CAST(p_partkey // 4 % 5 AS INT) + 1] AS method FROM part) SELECT 'method_not_allowed' AS rule, driver AS entity FROM d WHERE CASE lower(trim(driver)) WHEN 'aspect' THEN method <> 'nearest' WHEN 'slope' THEN method NOT IN ('nearest', 'bilinear', 'cubic') ELSE method NOT IN ('nearest', 'majority') END")
@@ -138,6 +162,15 @@ def _(t):
     return quality.simulation_verdict(t("supplier").select(F.col("s_nationkey").alias("entity"), F.col("s_suppkey").alias("seed"), (F.col("s_acctbal") / 9900).alias("fom")))
 
 
+@query("q8_simulation_evidence", "WITH e AS (SELECT s_suppkey AS entity, CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 2 END AS seeds, s_suppkey % 7 = 0 OR s_suppkey % 11 = 0 OR s_suppkey % 13 = 0 AS bad FROM supplier) SELECT entity, CAST(seeds AS BIGINT) AS seeds, CASE WHEN bad THEN 'failed' WHEN seeds < 2 THEN 'pending_validation' ELSE 'completed' END AS verdict FROM e")
+def _(t):
+    k = F.col("s_suppkey")
+    runs = t("supplier").select(k.alias("entity"), F.explode(F.when(k % 5 == 0, F.array(F.lit(11))).otherwise(F.array(F.lit(11), F.lit(29)))).alias("seed"), F.lit(0.2).alias("fom"))
+    overall = t("supplier").select(k.alias("entity"), F.when(k % 7 == 0, float("nan")).otherwise(0.21).alias("fom"))
+    classes = t("supplier").where(k % 11 != 0).select(k.alias("entity"), F.explode(F.array(F.lit(1), F.lit(2))).alias("class"), F.lit(0.8).alias("f1"), F.when(k % 13 == 0, 1.2).otherwise(0.7).alias("iou"))
+    return quality.simulation_verdict(runs, overall, classes)
+
+
 @query("q9_service_rules", "SELECT r AS rule, CAST(s_suppkey AS VARCHAR) || ':' || CAST(s_nationkey AS VARCHAR) AS entity FROM supplier, (VALUES ('not_completed', 8), ('no_outputs', 9), ('units_missing', 10), ('total_off', 11)) x(r, n) WHERE s_suppkey % n = 0")
 def _(t):
     k = F.col("s_suppkey")
@@ -164,10 +197,21 @@ def _(t):
     return quality.map_rules(t("supplier").select(k.alias("map_id"), F.array(F.lit("lulc"), F.lit("dem")).alias("expected"), one(8, F.array(F.lit("dem")), F.array(F.lit("dem"), F.lit("lulc"))).alias("actual"), one(9, 0.5, 1.0).alias("legend"), one(10, F.array(F.lit(0.0)), F.array(*[F.lit(0.0)] * 4)).alias("extent"), one(11, 0.0, 300.0).alias("resolution"), one(12, F.lit(None).cast("boolean"), F.lit(True)).alias("reviewed")))
 
 
-@query("q13_verdict", "SELECT 'failed' AS verdict")
+#: A section for each region: the worst of its nations' suppliers.
+SECTIONS = "s AS (SELECT lower(r_name) AS section, max(CASE WHEN s_acctbal < -990 THEN 2 WHEN s_acctbal < 0 THEN 1 ELSE 0 END) AS level FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)"
+
+
+@query("q13_verdict", f"WITH {SECTIONS}, r(i, section) AS (VALUES (1, 'africa'), (1, 'asia'), (2, 'europe'), (3, 'america'), (4, 'asia'), (4, 'maps')) SELECT i AS project, ['completed', 'pending_validation', 'failed'][CAST(max(coalesce(level, 2)) AS INT) + 1] AS verdict FROM r LEFT JOIN s USING (section) GROUP BY i")
 def _(t):
-    sections = t("region").select(F.lower("r_name").alias("section"), F.when(F.col("r_regionkey") == 1, "pending_validation").otherwise("completed").alias("verdict"))
-    return quality.roll_up(sections, ["africa", "asia", "maps"])
+    level = F.when(F.col("s_acctbal") < -990, 2).when(F.col("s_acctbal") < 0, 1).otherwise(0)
+    places = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    worst = places.groupBy(F.lower("r_name").alias("section")).agg(F.max(level).alias("level"))
+    sections = worst.select("section", F.element_at(F.array(*map(F.lit, ("completed", "pending_validation", "failed"))), F.col("level") + 1).alias("verdict"))
+    out = None
+    for i, required in enumerate((["africa", "asia"], ["europe"], ["america"], ["asia", "maps"]), 1):
+        one = quality.roll_up(sections, required).select(F.lit(i).alias("project"), "verdict")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("q13_rule_verdict", "SELECT count(*) AS violations, CASE WHEN count(*) = 0 THEN 'completed' ELSE 'failed' END AS verdict FROM supplier WHERE s_acctbal < 0")
@@ -175,11 +219,19 @@ def _(t):
     return quality.verdict(quality.violations(t("supplier"), F.col("s_suppkey"), {"negative_balance": F.col("s_acctbal") < 0}))
 
 
-@query("q14_argument_rules", "SELECT 'argument_missing' AS rule, CAST(s_nationkey AS VARCHAR) || ':' || s_name AS entity FROM supplier WHERE s_suppkey % 6 = 0 UNION ALL SELECT 'not_positive', CAST(s_nationkey AS VARCHAR) || ':' || s_name FROM supplier WHERE s_suppkey % 6 = 0 OR s_acctbal <= 0")
+@query("q14_argument_rules", "SELECT 'argument_missing' AS rule, CAST(s_nationkey AS VARCHAR) || ':' || s_name AS entity FROM supplier WHERE s_suppkey % 6 = 0 UNION ALL SELECT 'not_positive', CAST(s_nationkey AS VARCHAR) || ':' || s_name FROM supplier WHERE s_suppkey % 6 <> 0 AND s_acctbal <= 0")
 def _(t):
     a = t("supplier").select(F.col("s_nationkey").alias("model"), F.col("s_name").alias("arg"), F.when(F.col("s_suppkey") % 6 == 0, " ").otherwise(F.col("s_acctbal").cast("string")).alias("value"))
-    names = [r.s_name for r in t("supplier").select("s_name").collect()]
-    return quality.argument_rules(a, a.select("model", "arg"), names)
+    return quality.argument_rules(a, a.select("model", "arg"), a.select("model", "arg"))
+
+
+@query("q14_model_rules", "WITH a(model, arg) AS (VALUES ('habitat_quality', 'lulc_cur_path'), ('habitat_quality', 'threats_table_path'), ('habitat_quality', 'sensitivity_table_path'), ('habitat_quality', 'half_saturation_constant'), ('nutrient_delivery_ratio', 'lulc_path'), ('nutrient_delivery_ratio', 'dem_path'), ('nutrient_delivery_ratio', 'runoff_proxy_path'), ('nutrient_delivery_ratio', 'watersheds_path'), ('nutrient_delivery_ratio', 'biophysical_table_path')), s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'habitat_quality' ELSE 'nutrient_delivery_ratio' END AS model, s_acctbal FROM supplier) SELECT 'argument_missing' AS rule, k || ':' || arg AS entity FROM s JOIN a USING (model) WHERE arg LIKE '%path' AND (k + length(arg)) % 5 = 0 UNION ALL SELECT 'not_positive', k || ':half_saturation_constant' FROM s WHERE model = 'habitat_quality' AND s_acctbal <= 0")
+def _(t):
+    k = F.col("s_suppkey")
+    names = lambda m: F.array(*map(F.lit, quality.REQUIRED_ARGUMENTS[m]))
+    each = t("supplier").select(k.alias("entity"), F.when(k % 2 == 0, "habitat_quality").otherwise("nutrient_delivery_ratio").alias("model"), "s_acctbal", F.explode(F.when(k % 2 == 0, names("habitat_quality")).otherwise(names("nutrient_delivery_ratio"))).alias("arg"))
+    value = F.when(~F.col("arg").endswith("path"), F.col("s_acctbal").cast("string")).when((F.col("entity") + F.length("arg")) % 5 != 0, "a")
+    return quality.model_rules(each.select("entity", "model", "arg", value.alias("value")))
 
 
 @query("q15_sensitivity_evidence", "SELECT min(l_linenumber) >= 0 AS available, CASE WHEN min(l_linenumber) >= 0 THEN max(l_linenumber) END AS maximum_rank_shift FROM lineitem")

@@ -54,23 +54,33 @@ def _(t):
 
 
 def _judgements(t):
-    """A consistent matrix for each nation's suppliers: judgements are ratios of importances."""
-    w = F.array(F.col("s_nationkey") % 5 + 1.0, F.col("s_nationkey") % 3 + 1.0, F.col("s_nationkey") % 7 + 1.0, F.lit(2.0))
-    index = F.explode(F.sequence(F.lit(1), F.lit(4)))
-    rows = t("supplier").groupBy("s_nationkey").agg(F.count("*").alias("_n")).select(F.col("s_nationkey").alias("panel_id"), w.alias("w"), index.alias("i"))
-    return rows.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(4)))).select("panel_id", "i", "j", (F.element_at("w", F.col("i")) / F.element_at("w", F.col("j"))).alias("judgement"))
+    """A panel of three criteria for each supplier, mostly not consistent."""
+    k = F.col("s_suppkey")
+    upper = [F.lit(1.0), 1.0 + k % 5, 1.0 / (1 + k % 7), 1.0 / (1.0 + k % 5), F.lit(1.0), 1.0 + k % 3, 1.0 + k % 7, 1.0 / (1 + k % 3), F.lit(1.0)]
+    cells = t("supplier").select(k.alias("panel_id"), F.posexplode(F.array(*[x.cast("double") for x in upper])).alias("at", "judgement"))
+    return cells.select("panel_id", F.expr("CAST(at div 3 + 1 AS INT)").alias("i"), (F.col("at") % 3 + 1).cast("int").alias("j"), "judgement")
 
 
-@query("m2_ahp_weights", "WITH p AS (SELECT DISTINCT s_nationkey AS panel_id, [s_nationkey % 5 + 1.0, s_nationkey % 3 + 1.0, s_nationkey % 7 + 1.0, 2.0] AS w FROM supplier) SELECT panel_id, 4 AS n, w[1] / list_sum(w) AS w1, w[2] / list_sum(w) AS w2, w[3] / list_sum(w) AS w3, w[4] / list_sum(w) AS w4, 4.0 AS lambda_max, 0.0 AS cr FROM p", "w1 w2 w3 w4 lambda_max cr")
+#: Of 3 x 3 reciprocal matrices the weights are the rows' geometric means, and the largest eigenvalue is 1 + u + 1 / u.
+PANELS = "k AS (SELECT s_suppkey AS panel_id, 1.0 + s_suppkey % 5 AS a, 1.0 / (1 + s_suppkey % 7) AS b, 1.0 + s_suppkey % 3 AS c FROM supplier), w AS (SELECT *, pow(a * b, 1 / 3.0) AS x, pow(c / a, 1 / 3.0) AS y, pow(1 / (b * c), 1 / 3.0) AS z, pow(b / (a * c), 1 / 3.0) AS u FROM k), p AS (SELECT *, 1 + u + 1 / u AS lambda_max, (u + 1 / u - 2) / 2 / 0.58 AS cr FROM w)"
+
+
+@query("m2_ahp_weights", f"WITH {PANELS} SELECT panel_id, 3 AS n, x / (x + y + z) AS w1, y / (x + y + z) AS w2, z / (x + y + z) AS w3, lambda_max, cr FROM p", "w1 w2 w3 lambda_max cr")
 def _(t):
     a = scoring.ahp(_judgements(t))
-    return a.select("panel_id", F.col("n").cast("int").alias("n"), *[F.element_at("weights", k).alias(f"w{k}") for k in range(1, 5)], "lambda_max", "cr")
+    return a.select("panel_id", F.col("n").cast("int").alias("n"), *[F.element_at("weights", k).alias(f"w{k}") for k in range(1, 4)], "lambda_max", "cr")
+
+
+@query("m3_ahp_violations", f"WITH {PANELS} SELECT panel_id, r AS rule FROM p, (VALUES ('not_reciprocal'), ('not_positive'), ('inconsistent')) x(r) WHERE panel_id % 4 = 0 AND r = 'not_reciprocal' OR panel_id % 8 = 0 AND r = 'not_positive' OR panel_id % 4 <> 0 AND r = 'inconsistent' AND cr > 0.1")
+def _(t):
+    first = (F.col("i") == 1) & (F.col("j") == 2)
+    broken = F.when(first & (F.col("panel_id") % 8 == 0), -1.0).when(first & (F.col("panel_id") % 4 == 0), 50.0).otherwise(F.col("judgement"))
+    return scoring.ahp_violations(_judgements(t).withColumn("judgement", broken))
 
 
-@query("m3_ahp_violations", "SELECT DISTINCT s_nationkey AS panel_id, r AS rule FROM supplier, (VALUES ('not_reciprocal'), ('not_positive')) x(r) WHERE s_nationkey % 4 = 0 AND r = 'not_reciprocal' OR s_nationkey % 8 = 0 AND r = 'not_positive'")
+@query("j7_paired_scenarios", "WITH p AS (SELECT o_custkey // 4 AS unit_id, scenario, sum(v) AS spend FROM g JOIN orders ON k = o_orderkey GROUP BY ALL) SELECT p.scenario, p.unit_id, 'spend' AS field, p.spend AS value, r.spend AS base FROM p LEFT JOIN p r ON r.scenario = 'ND' AND r.unit_id = p.unit_id", "value base", 3)
 def _(t):
-    broken = _judgements(t).withColumn("judgement", F.when((F.col("i") == 1) & (F.col("j") == 2) & (F.col("panel_id") % 8 == 0), -1.0).when((F.col("i") == 1) & (F.col("j") == 2) & (F.col("panel_id") % 4 == 0), 50.0).otherwise(F.col("judgement")))
-    return scoring.ahp_violations(broken).where("rule <> 'inconsistent'")
+    return stats.pair_scenarios(_by_scenario(t), ["spend"], "ND")
 
 
 @query("a24_scenario_means", "WITH m AS (SELECT scenario, avg(spend) AS spend, avg(peak) AS peak FROM units GROUP BY scenario), l AS (SELECT scenario, 'spend' AS field, spend AS mean FROM m UNION ALL SELECT scenario, 'peak', peak FROM m) SELECT l.scenario, l.field, l.mean, l.mean - r.mean AS delta FROM l JOIN l r ON r.field = l.field AND r.scenario = 'ND'", "mean delta", 3)
@@ -78,14 +88,17 @@ def _(t):
     return stats.scenario_means(t.units, ["spend", "peak"], "ND")
 
 
+def _by_scenario(t):
+    table = t("orders").where("o_orderkey % 97 <> 0").select(F.expr("o_custkey div 4").alias("unit_id"), F.element_at(F.array(*map(F.lit, ("ND", "UD", "EP", "RE"))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("scenario"), "o_totalprice")
+    return table.groupBy("scenario", "unit_id").agg(F.sum("o_totalprice").alias("spend"), F.max("o_totalprice").alias("peak"))
+
+
 PAIRED = "WITH p AS (SELECT o_custkey // 4 AS unit_id, scenario, sum(v) AS spend, max(v) AS peak FROM g JOIN orders ON k = o_orderkey GROUP BY ALL), l AS (SELECT scenario, unit_id, 'spend' AS field, spend AS value FROM p UNION ALL SELECT scenario, unit_id, 'peak', peak FROM p)"
 
 
 @query("a25_paired_deltas", PAIRED + " SELECT l.scenario, l.field, count(r.value) AS paired_units, count(*) - count(r.value) AS unpaired_units, coalesce(avg(l.value - r.value), 0) AS paired_mean_delta FROM l LEFT JOIN l r ON r.scenario = 'ND' AND r.unit_id = l.unit_id AND r.field = l.field GROUP BY ALL", "paired_mean_delta", 3)
 def _(t):
-    table = t("orders").where("o_orderkey % 97 <> 0").select(F.expr("o_custkey div 4").alias("unit_id"), F.element_at(F.array(*map(F.lit, ("ND", "UD", "EP", "RE"))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("scenario"), "o_totalprice")
-    sums = table.groupBy("scenario", "unit_id").agg(F.sum("o_totalprice").alias("spend"), F.max("o_totalprice").alias("peak"))
-    return stats.paired_deltas(sums, ["spend", "peak"], "ND")
+    return stats.paired_deltas(_by_scenario(t), ["spend", "peak"], "ND")
 
 
 @query("w5_best_candidate", "WITH c AS (SELECT s_nationkey, s_suppkey, abs(s_acctbal) AS modelled, abs(abs(s_acctbal) - 5000) AS absolute_error FROM supplier) SELECT *, absolute_error / 5000 AS relative_error, row_number() OVER (PARTITION BY s_nationkey ORDER BY absolute_error, s_suppkey) = 1 AS selected FROM c", "modelled absolute_error relative_error")

@@ -1,6 +1,5 @@
 """Queries of sources and sinks, over files that the given tables are written to or held in."""
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import functions as F
@@ -8,14 +7,14 @@ from pyspark.sql import types as T
 
 from ..functions import expressions as E
 from ..operators import units
+from ..operators.ordering import numbered, shared_dir
 from ..sources import tables as S
 from .registry import TRANSFORM, query
 
 
 def _place(spark) -> str:
     """A new path in the folder that driver and executors share."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{told or tempfile.mkdtemp(prefix='spark-tables-')}/table-{uuid4().hex}"
+    return f"{shared_dir(spark)}/table-{uuid4().hex}"
 
 
 @query("s1_s7_table_round_trip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier", "s_acctbal")
@@ -26,6 +25,16 @@ def _(t):
     return S.read_table(t.spark, path, schema)
 
 
+@query("o1_ordered_sink", "SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS BIGINT) AS place FROM supplier")
+def _(t):
+    """Rows numbered as the files hold them: by file name, then by place in the file."""
+    path = _place(t.spark)
+    S.write_table(t("supplier").select("s_suppkey", "s_acctbal", (-F.col("s_acctbal")).alias("falling")), path, ["falling", "s_suppkey"])
+    read = t.spark.read.schema("falling double, s_acctbal double, s_suppkey long").option("header", True).csv(path)
+    placed = read.select("s_suppkey", F.element_at(F.split("_metadata.file_name", "-"), 2).alias("file"), F.monotonically_increasing_id().alias("at"))
+    return numbered(placed, [], [F.col("file"), F.col("at")], "place").select("s_suppkey", "place")
+
+
 @query("s1_numeric_columns", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 9 <> 0", "s_acctbal")
 def _(t):
     table = t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 == 0, "n/a").otherwise(F.col("s_acctbal").cast("string")).alias("s_acctbal"))
@@ -60,6 +69,13 @@ def _(t):
     return S.parse_points(_lines(t))[1].agg(F.count("*").alias("bad"))
 
 
+@query("s5_strict_points", "SELECT o_orderkey % 100 * 30.0 AS x, o_orderkey // 100 * 30.0 AS y, -1.0 * o_custkey AS w, o_custkey / 1000 AS value FROM orders WHERE o_orderkey % 53 <> 0", "x y w value")
+def _(t):
+    k = F.col("o_orderkey")
+    sound = t("orders").where(k % 53 != 0).select(F.concat_ws(",", k % 100 * 30, F.expr("o_orderkey div 100 * 30"), -F.col("o_custkey")).alias("value"))
+    return S.parse_points(sound, strict=True)[0]
+
+
 @query("p3_depth_metres", "SELECT c_custkey, CASE WHEN c_acctbal <= 0 THEN -c_acctbal / 1000 END AS depth_m FROM customer", "depth_m")
 def _(t):
     d = E.depth_m("c_acctbal")
@@ -104,6 +120,19 @@ def _(t):
     return features.select("feature_id", "type", "finite", F.size("ring").alias("points"), F.element_at(F.element_at("ring", 1), 1).alias("x0"))
 
 
+@query("s4_multi_polygons", "SELECT CAST(s_suppkey AS VARCHAR) AS feature_id, CASE WHEN s_suppkey % 3 = 0 THEN 'MultiPolygon' WHEN s_suppkey % 3 = 1 THEN 'Polygon' ELSE 'Point' END AS type, CASE WHEN s_suppkey % 3 < 2 THEN 2 END AS rings, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 0.5 WHEN s_suppkey % 3 = 1 THEN 0.25 END AS last_x, true AS finite FROM supplier", "last_x")
+def _(t):
+    k = F.col("s_suppkey")
+    square = "[[{0},0],[{0},1],[1,1],[{0},0]]"
+    ring = lambda x: F.concat(*[F.lit(p) if p != "{0}" else x for p in square.replace("{0}", "|{0}|").split("|")])
+    number = k.cast("string")
+    shape = F.when(k % 3 == 0, F.concat(F.lit("[["), ring(number), F.lit("],["), ring(F.concat(number, F.lit(".5"))), F.lit("]]"))).when(k % 3 == 1, F.concat(F.lit("["), ring(number), F.lit(","), ring(F.lit("0.25")), F.lit("]"))).otherwise(F.concat(F.lit("["), number, F.lit(",2]")))
+    kind = F.when(k % 3 == 0, "MultiPolygon").when(k % 3 == 1, "Polygon").otherwise("Point")
+    texts = t("supplier").select(F.concat(F.lit('{"type":"Feature","id":"'), number, F.lit('","geometry":{"type":"'), kind, F.lit('","coordinates":'), shape, F.lit("}}")).alias("value"))
+    found = S.parse_features(texts)
+    return found.select("feature_id", "type", F.when(F.col("rings").isNotNull(), F.size("rings")).alias("rings"), F.element_at(F.element_at("rings", -1), 1)[0].alias("last_x"), "finite")
+
+
 @query("s6_evidence_metrics", """WITH f AS (SELECT c_mktsegment AS section, min_by(c_custkey, printf('%05d', c_custkey)) AS k FROM customer GROUP BY ALL) SELECT section, metric, CASE metric WHEN 'balance' THEN c_acctbal WHEN 'nation' THEN c_nationkey END AS value FROM f JOIN customer ON k = c_custkey, (VALUES ('balance'), ('nation'), ('name')) m(metric)""", "value")
 def _(t):
     text = F.to_json(F.struct(F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name")))
@@ -118,7 +147,8 @@ def _(t):
 
 @query("s10_directory_digest")
 def _(t):
-    return S.directory_digest(S.inventory(t.spark, f"{t.dir}/supplier.parquet", "input").union(S.inventory(t.spark, f"{t.dir}/orders.parquet", "input")))
+    one = lambda name: S.inventory(t.spark, f"{t.dir}/{name}.parquet", "input", t.dir)
+    return S.directory_digest(one("supplier").union(one("orders")))
 
 
 @query("s8_metadata_sink", "SELECT 'spend' AS field, min(s_acctbal) AS low, max(s_acctbal) AS high FROM supplier", "low high")

@@ -24,9 +24,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, required: l
     return df.select(schema.names)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """CSV with a header and columns in alphabetical order."""
-    df.select(sorted(df.columns)).write.option("header", True).csv(path)
+def write_table(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """CSV with a header and columns in alphabetical order; with an order its files, by name, hold the rows in that order."""
+    rows = df.orderBy(*order) if order else df
+    rows.select(sorted(df.columns)).write.option("header", True).csv(path)
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
@@ -61,22 +62,28 @@ def describe(cells: DataFrame, grids: DataFrame) -> DataFrame:
     return grids.join(profile(cells), "raster_id", "left")
 
 
-def profile(cells: DataFrame, most_distinct: int = 4096) -> DataFrame:
+def profile(cells: DataFrame, most_distinct: int = 4096, values: bool = False) -> DataFrame:
     """(raster_id, low, high, non_finite, distinct, integer): the distinct count is null above `most_distinct`.
 
-    Distinct values are counted from a grouped table, so no task holds a raster's values.
+    With `values` also the distinct values in order, where there are not too many. Distinct values are
+    counted from a grouped table, so no task holds a raster's values.
     """
     counts = cells.where("value IS NOT NULL").groupBy("raster_id", "value").agg(F.count("*").alias("n"))
     ok = finite("value")
     v = F.when(ok, F.col("value"))
     sums = counts.groupBy("raster_id").agg(F.min(v).alias("low"), F.max(v).alias("high"), F.sum(F.when(ok, 0).otherwise(F.col("n"))).alias("non_finite"), F.count(v).alias("kinds"), F.min((v == F.floor(v)).cast("int")).alias("whole"))
-    return sums.select("raster_id", "low", "high", "non_finite", F.when(F.col("kinds") <= most_distinct, F.col("kinds")).alias("distinct"), (F.col("whole") == 1).alias("integer"))
+    out = sums.select("raster_id", "low", "high", "non_finite", F.when(F.col("kinds") <= most_distinct, F.col("kinds")).alias("distinct"), (F.col("whole") == 1).alias("integer"))
+    if not values:
+        return out
+    few = counts.where(ok).join(out.where("distinct IS NOT NULL").select("raster_id"), "raster_id", "left_semi")
+    return out.join(few.groupBy("raster_id").agg(F.array_sort(F.collect_list(F.col("value").cast("double"))).alias("values")), "raster_id", "left")
 
 
-def parse_points(lines: DataFrame, x: int = 0, y: int = 1, w: int = 2, delimiter: str | None = None, unit: str = "mm", negative_down: bool = True) -> tuple[DataFrame, DataFrame]:
+def parse_points(lines: DataFrame, x: int = 0, y: int = 1, w: int = 2, delimiter: str | None = None, unit: str = "mm", negative_down: bool = True, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(x, y, w, value) of point lines (value), with value the depth in m; and the lines that are no points.
 
     Blank lines and those that begin with #, // or ; are passed over. A depth below 0 is no point.
+    If it is strict, a job that meets a line that is no point fails.
     """
     text = F.trim("value")
     data = lines.where((text != "") & ~text.rlike(r"^(#|//|;)"))
@@ -85,6 +92,9 @@ def parse_points(lines: DataFrame, x: int = 0, y: int = 1, w: int = 2, delimiter
     cast = data.withColumn("parts", parts).select(F.col("value").alias("line"), number(x).alias("x"), number(y).alias("y"), number(w).alias("w"))
     ready = cast.withColumn("value", depth_m("w", unit, negative_down))
     good = F.coalesce(finite("x") & finite("y") & finite("w") & (F.col("value") >= 0), F.lit(False))
+    if strict:
+        checked = F.when(good, F.col("x")).otherwise(F.raise_error(F.concat(F.lit("no point: "), "line")).cast("double"))
+        return ready.select(checked.alias("x"), "y", "w", "value"), ready.where(F.lit(False)).select("line")
     return ready.where(good).drop("line"), ready.where(~good).select("line")
 
 
@@ -92,17 +102,24 @@ def read_points(spark: SparkSession, path: str, **options) -> tuple[DataFrame, D
     return parse_points(spark.read.text(path), **options)
 
 
-GEOMETRY = "struct<type: string, coordinates: array<array<array<double>>>>"
-
-
 def parse_features(texts: DataFrame, value: str = "value") -> DataFrame:
-    """(feature_id, ring, finite) of GeoJSON texts, each a FeatureCollection or one feature with polygons."""
-    feature = f"struct<id: string, properties: map<string, string>, geometry: {GEOMETRY}>"
-    whole = F.from_json(value, f"struct<type: string, id: string, properties: map<string, string>, geometry: {GEOMETRY}, features: array<{feature}>>")
+    """(feature_id, type, ring, rings, finite) of GeoJSON texts, each a FeatureCollection or one feature.
+
+    `rings` holds all rings of a polygon or of all parts of a multi-polygon, `ring` the first one;
+    both are null for other types. Coordinates count as finite if all their numbers are.
+    """
+    geometry = "struct<type: string, coordinates: string>"
+    feature = f"struct<id: string, properties: map<string, string>, geometry: {geometry}>"
+    whole = F.from_json(value, f"struct<type: string, id: string, properties: map<string, string>, geometry: {geometry}, features: array<{feature}>>")
     parsed = texts.select(whole.alias("g"))
     each = parsed.select(F.explode(F.coalesce("g.features", F.array(F.struct(F.col("g.id").alias("id"), F.col("g.properties").alias("properties"), F.col("g.geometry").alias("geometry"))))).alias("f"))
-    ring = F.get("f.geometry.coordinates", F.lit(0))
-    return each.select(F.coalesce("f.id", F.try_element_at("f.properties", F.lit("unit_id"))).alias("feature_id"), F.col("f.geometry.type").alias("type"), ring.alias("ring"), F.coalesce(F.forall(ring, lambda p: F.forall(p, finite)), F.lit(False)).alias("finite"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    one, many = F.from_json(text, "array<array<array<double>>>"), F.flatten(F.from_json(text, "array<array<array<array<double>>>>"))
+    rings = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)
+    point = F.when(kind == "Point", F.from_json(text, "array<double>"))
+    sound = F.forall("rings", lambda r: F.forall(r, lambda p: F.forall(p, finite)))
+    told = each.select(F.coalesce("f.id", F.try_element_at("f.properties", F.lit("unit_id"))).alias("feature_id"), kind.alias("type"), F.get(rings, F.lit(0)).alias("ring"), rings.alias("rings"), F.coalesce(F.forall(point, finite), F.lit(False)).alias("at"))
+    return told.select("feature_id", "type", "ring", "rings", (F.coalesce(sound, F.lit(False)) | F.col("at")).alias("finite"))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -122,13 +139,14 @@ def metrics(reports: DataFrame) -> DataFrame:
     return flat.select("section", "metric", F.col("raw").try_cast("double").alias("value"))
 
 
-def inventory(spark: SparkSession, path: str, stage: str) -> DataFrame:
-    """(path, bytes, sha256, stage) of the files below a path."""
+def inventory(spark: SparkSession, path: str, stage: str, root: str | None = None) -> DataFrame:
+    """(path, bytes, sha256, stage) of the files below a path, but for empty ones; with a root, paths are relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit(stage).alias("stage"))
+    told = F.substring_index("path", root.rstrip("/") + "/", -1) if root else F.col("path")
+    return files.select(told.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit(stage).alias("stage"))
 
 
 def directory_digest(files: DataFrame) -> DataFrame:
-    """One row: files, bytes and a digest over their names and digests in order of name."""
-    name = F.element_at(F.split("path", "/"), -1)
+    """One row: files, bytes and a digest over their paths, which inventory() can give relative, and digests in order of path."""
+    name = F.col("path")
     return files.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name.alias("n"), F.col("sha256").alias("s")))), lambda x: F.concat(x["n"], x["s"])), "\n"), 256).alias("digest"))

@@ -199,3 +199,117 @@ def test_empty_tables(spark):
     assert change.transition_matrix(none, none, 900.0).count() == 0
     assert accuracy.confusion(spark.createDataFrame([], "reference string, prediction string")).count() == 0
     assert carbon.water_volume(none, none, 1.0, 900.0).first().volume_m3 == 0
+
+
+def test_quantile_strata_begin_at_one(spark):
+    df = spark.createDataFrame([(float(k),) for k in range(10)] + [(None,)], "x double")
+    got = {r.x: r.s for r in stats.quantile_strata(df, "x", 4, "s").collect()}
+    edges = np.unique(np.quantile(np.arange(10.0), np.linspace(0, 1, 5)))
+    assert [got[float(k)] for k in range(10)] == [f"Q{min(4, int(np.searchsorted(edges, k, side='right')))}" for k in range(10)] and got[None] is None
+    assert {r.s for r in stats.quantile_strata(df.where("x < 3"), "x", 4, "s").collect()} == {"0.0", "1.0", "2.0"}
+    assert stats.quantile_strata(df.limit(0), "x", 4, "s").count() == 0
+
+
+def test_running_totals_over_ranges(spark):
+    from landmosaic.operators.ordering import numbered, running_total
+
+    df = spark.range(500).selectExpr("id", "id % 3 AS g", "CAST(id * 7919 % 101 AS INT) AS v").repartition(7)
+    got = {(r.g, r.id): r.n for r in numbered(df, ["g"], [F.desc("v"), F.col("id")], "n").collect()}
+    for g in range(3):
+        order = sorted((k for k in range(500) if k % 3 == g), key=lambda k: (-(k * 7919 % 101), k))
+        assert [got[g, k] for k in order] == list(range(1, len(order) + 1))
+    assert running_total(df, [], [F.col("id")], F.col("v"), "t").agg(F.max("t")).first()[0] == sum(k * 7919 % 101 for k in range(500))
+    assert numbered(df.limit(0), [], [F.col("id")], "n").count() == 0
+
+
+def test_neighbours_however_far(spark):
+    """The nearest of a few sources far off; 12 neighbours where a fixed reach has fewer."""
+    rng = np.random.default_rng(3)
+    places = [(int(r), int(c), float(v)) for r, c, v in zip(rng.integers(0, 400, 20), rng.integers(0, 400, 20), rng.random(20), strict=True)]
+    known = spark.createDataFrame(places, "row long, col long, value double")
+    todo = [(0, 0), (5, 399), (200, 200), (399, 1), places[0][:2]]
+    todo_df = spark.createDataFrame([(*c, None) for c in todo], "row long, col long, value double")
+    near = lambda c: sorted(((c[0] - r) ** 2 + (c[1] - k) ** 2, r, k, v) for r, k, v in places)
+    got = {(r.row, r.col): r.distance for r in grid.distance_to_source(todo_df, known, 30.0).collect()}
+    assert got == {c: pytest.approx(near(c)[0][0] ** 0.5 * 30) for c in todo}
+    values = {(r.row, r.col): r.value for r in grid.inverse_distance(known, todo_df).collect()}
+    for c in todo:
+        best = near(c)[:12]
+        assert values[c] == pytest.approx(best[0][3] if best[0][0] == 0 else sum(v / d for d, *_, v in best) / sum(1 / d for d, *_ in best))
+    assert grid.distance_to_source(todo_df, known.limit(0), 30.0).count() == 0
+
+
+def test_holes_and_parts(spark):
+    square = lambda a, b: [[a, a], [a, b], [b, b], [b, a], [a, a]]
+    shapes = spark.createDataFrame([("x", [[[float(v) for v in p] for p in r] for r in (square(0, 9), square(3, 6), square(12, 14))])], "feature_id string, rings array<array<array<double>>>")
+    df = cells(spark, [[1.0] * 20] * 20)
+    got = {(r.row, r.col) for r in grid.in_polygons(df, shapes, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], 4).collect()}
+    inside = lambda r, c, a, b: a <= r < b and a <= c < b
+    assert got == {(r, c) for r in range(20) for c in range(20) if inside(r, c, 0, 9) and not inside(r, c, 3, 6) or inside(r, c, 12, 14)}
+
+
+def test_missing_pools_and_bad_points_stop_the_job(spark):
+    df = cells(spark, [[1.0, 2.0]]).withColumn("scenario", F.lit("ND"))
+    pools = spark.createDataFrame([(1.0, 1.0, 1.0, 1.0, 1.0)], "lucode double, c_above double, c_below double, c_soil double, c_dead double")
+    with pytest.raises(PySparkException):
+        carbon.carbon_stock(df, pools, 900.0).collect()
+    assert [(r.value, r.pixel_count) for r in carbon.missing_pools(df, pools).collect()] == [(2.0, 1)]
+    lines = spark.createDataFrame([("1 2 -3",), ("# note",), ("1 x 2",)], "value string")
+    assert S.parse_points(lines)[0].count() == 1
+    with pytest.raises(PySparkException):
+        S.parse_points(lines, strict=True)[0].collect()
+
+
+def test_all_nodata_zone_counts_nothing(spark):
+    depth = cells(spark, [[1.0, float("nan")], [2.5, None]])
+    zones = spark.createDataFrame([(0, 0, "a"), (1, 0, "a"), (0, 1, "b"), (1, 1, "b")], "row long, col long, zone string")
+    got = {r.zone: tuple(r)[1:] for r in units.zonal_metrics(depth, zones, 900.0).collect()}
+    assert got == {"a": (2, 3.5, pytest.approx(0.18), 3150.0), "b": (0, 0.0, 0.0, 0.0)}
+
+
+def test_inconsistent_judgements(spark):
+    m = np.array([[1, 5, 1 / 4], [1 / 5, 1, 3], [4, 1 / 3, 1]])
+    j = spark.createDataFrame([("p", i, k, float(m[i][k])) for i in range(3) for k in range(3)], "panel_id string, i int, j int, judgement double")
+    r = scoring.ahp(j).first()
+    values, vectors = np.linalg.eig(m)
+    at = int(np.argmax(values.real))
+    w = np.abs(vectors[:, at].real)
+    assert r.weights == pytest.approx(list(w / w.sum())) and r.lambda_max == pytest.approx(values[at].real)
+    assert [x.rule for x in scoring.ahp_violations(j).collect()] == ["inconsistent"]
+
+
+def test_maximum_likelihood_is_the_plain_one(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, k % 2, [float(x) for x in rng.normal(k % 2, 1 + k % 2, 2)]) for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, label long, bands array<double>")
+    got = {r.id: (r["class"], r.score) for r in classify.maximum_likelihood(df, df, ["id"]).collect()}
+    for k, _, x in rows:
+        best = []
+        for label in (0, 1):
+            a = np.array([b for _, y, b in rows if y == label])
+            c = np.cov(a.T)
+            det = c[0, 0] * c[1, 1] - c[0, 1] ** 2
+            d = np.array(x) - a.mean(axis=0)
+            q = (c[1, 1] * d[0] ** 2 - 2 * c[0, 1] * d[0] * d[1] + c[0, 0] * d[1] ** 2) / det
+            best.append((-0.5 * (math.log(det) + q), label))
+        assert got[k] == (max(best)[1], pytest.approx(max(best)[0], abs=1e-6))
+
+
+def test_development_probability_follows_its_driver(spark):
+    df = spark.range(400).selectExpr("id AS row", "0L AS col", "CAST(id % 20 AS DOUBLE) AS near", "CAST(id % 20 < 6 AS DOUBLE) AS label")
+    one, two = ({r.row: r.probability for r in classify.development_probability(df, ["near"]).collect()} for _ in range(2))
+    assert one == two and all((p > 0.5) == (k % 20 < 6) for k, p in one.items())
+
+
+def test_file_digests(spark, tmp_path):
+    import hashlib
+
+    for name, text in (("a/x.txt", b"one"), ("b/x.txt", b"two"), ("c.txt", b"three")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    files = S.inventory(spark, str(tmp_path), "input", str(tmp_path))
+    told = {r.path: (r.bytes, r.sha256) for r in files.collect()}
+    assert told == {n: (len(x), hashlib.sha256(x).hexdigest()) for n, x in (("a/x.txt", b"one"), ("b/x.txt", b"two"), ("c.txt", b"three"))}
+    whole = "\n".join(n + told[n][1] for n in sorted(told))
+    r = S.directory_digest(files).first()
+    assert (r.files, r.bytes, r.digest) == (3, 11, hashlib.sha256(whole.encode()).hexdigest())
