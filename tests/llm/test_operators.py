@@ -442,7 +442,6 @@ def plain_top(vectors, queries, k):
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 3)
-    monkeypatch.setattr(topk, "PROBE", 3)
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.normal(size=12) * (1 + i % 3)]) for i in range(200)] + [(i, [0.5] * 12) for i in range(200, 260)]
     vectors += [(260, None), (261, [None] * 12), (262, [float("nan")] * 12), (263, [float("inf")] + [0.0] * 11), (264, []), (265, [1.0, 2.0])]
@@ -453,6 +452,22 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.where("vec_id < 5"), F.col("vec_id") == 0, 20).count() == 4
 
 
+@pytest.mark.parametrize("dense", [0.1, 1.0])
+def test_max_score_probes_what_can_still_win(monkeypatch, dense):
+    """One shard against plain products: sparse and full postings, ties, the query's own id among repeated ones."""
+    monkeypatch.setattr(topk, "STEP", 3)
+    rng = np.random.default_rng(4)
+    docs = np.round(rng.normal(size=(900, 40)) * np.exp(-np.arange(40) / 6) * 30).astype(np.int64) * (rng.random((900, 40)) < dense)
+    docs[::7] = docs[3]
+    ids = rng.permutation(np.r_[np.arange(890), [5] * 10])
+    shard = topk.Shard(*topk._exact(docs), ids)
+    for n in range(0, 900, 45):
+        near, scores = shard.best(docs[n].astype(shard.docs.dtype), int(ids[n]), 20)
+        want = sorted((-int(docs[m] @ docs[n]), int(ids[m])) for m in range(900) if ids[m] != ids[n])[:20]
+        assert [(-int(s), int(i)) for i, s in zip(near, scores, strict=True)] == want
+    assert len(topk.Shard(docs[:5], np.arange(5)).best(docs[0], 0, 20)[0]) == 4
+
+
 def plain_fingerprint(text):
     import re
 
