@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SHARD_ROWS = 32768
 BLOCK_ROWS = 1024
 #: Terms traversed between looks at what is still competitive.
-STEP = 16
+STEP = 32
 #: Part of the docs that must be out of the race before the rest is probed doc by doc.
 PROBE = 0.25
 
