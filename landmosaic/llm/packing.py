@@ -17,9 +17,9 @@ from .common import cut
 
 CAPACITY = 4096
 END = 2
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: Bytes of text whose words are looked up together.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 3 << 20
 #: Words that the library encodes as one text.
 TOGETHER = 1024
 #: Letters, and signs that are one pre-token by themselves whatever letter stands before them.
@@ -161,6 +161,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
                 n = last - first
                 rows += [(doc_id, at, min(capacity, n - at), zlib.crc32(blob[4 * (first + at) : 4 * (first + min(at + capacity, n))]), n) for at in range(0, n, capacity)]
                 first = last
+            del ids, blob
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -34,9 +34,9 @@ LENGTH = 100
 GRAM = 16
 #: Bytes of text that are hashed together, of a part at least and at most, and of text whose suffixes meet in one merge.
 BLOCK = 1 << 16
-PART, MOST_PART, MERGE = 4 << 20, 32 << 20, 16 << 20
+PART, MOST_PART, MERGE = 4 << 20, 32 << 20, 8 << 20
 #: Suffixes that a part sorts at once.
-BATCH = 1 << 15
+BATCH = 1 << 14
 #: Kinds of runs of an anchor up to which it is taken whole; up to MANY * MANY in ranges of RANGE offsets, then string by string.
 MANY = 1 << 16
 RANGE = 8

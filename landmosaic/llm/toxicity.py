@@ -24,7 +24,7 @@ AFTER = ".,;:?!\"'()[]{}<>#%&*|$@+=/\\~^_-"
 BEFORE = ".,;:?\"'()[]{}<>#%&*=/\\~^_-"
 #: Letter classes of the language model: none, a to z, other letters, other signs.
 CLASSES = 29
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: Letters of the longest pieces that noise in spacing leaves, and codes of words of so many letters a to z.
 PIECE = 3
 PIECES = 27**PIECE
