@@ -63,7 +63,10 @@ def test_sharding(docs, texts, empty):
     for raw in {(t or "").encode() for t in texts}:
         sizes[hashlib.md5(raw).hexdigest()] = sum(len(raw) + 1 for t in texts if (t or "").encode() == raw)
     order = sorted(sizes, key=lambda k: (-sizes[k], k))
-    expected = dict(zip(order, sharding.lpt([sizes[k] for k in order], 4)[0], strict=True))
+    loads, expected = [0] * 4, {}
+    for k in order:
+        expected[k] = min(range(4), key=lambda shard: (loads[shard], shard))
+        loads[expected[k]] += sizes[k]
     assert all(expected[hashlib.md5(raw).hexdigest()] == shard for raw, shard in by_text.items())
     for s in range(4):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
@@ -297,6 +300,65 @@ def test_scorers_learn(spark):
     assert np.mean([r.predicted == int(r.doc_id % 4 != 0) for r in good]) > 0.9
 
 
+def test_learning_is_plain_ftrl():
+    """Weights against updates written out one coordinate at a time."""
+    from math import exp, sqrt
+
+    from landmosaic.llm.ftrl import Ftrl
+
+    rng = random.Random(13)
+    rows = [(sorted(rng.sample(range(30), rng.randrange(0, 9))), rng.randrange(2)) for _ in range(200)]
+    model = Ftrl(30, alpha=0.5, beta=1.0, l1=0.3, l2=0.2)
+    z, n = [0.0] * 31, [0.0] * 31
+
+    def weight(i):
+        l1 = 0.0 if i == 30 else 0.3
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((1.0 + sqrt(n[i])) / 0.5 + 0.2)
+
+    for found, label in rows:
+        value = quality.value(len(found))
+        model.update(np.array(found, np.int64), value, label)
+        x = {**dict.fromkeys(found, value), 30: 1.0}
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + exp(-sum(w[i] * x[i] for i in x)))
+        for i in x:
+            g = (p - label) * x[i]
+            z[i] += g - (sqrt(n[i] + g * g) - sqrt(n[i])) / 0.5 * w[i]
+            n[i] += g * g
+    assert list(model.weights()) == pytest.approx([weight(i) for i in range(31)])
+    text = "One word, one word... two!"
+    weights = np.random.default_rng(2).normal(size=quality.SIZE + 1)
+    found = quality.features(text)
+    assert quality.score(weights, text) == pytest.approx(1 / (1 + exp(-sum(weights[i] for i in found) / sqrt(len(found)) - weights[-1])))
+
+
+@pytest.mark.parametrize("name", ["byte", "word"])
+def test_repeated_rows_get_rows_of_their_own(docs, texts, name):
+    twice = docs.union(docs)
+    if name == "byte":
+        rows = bpe.digests(twice, paths.path("byte_bpe_50k.json")).collect()
+        assert len(rows) == 2 * len(texts) and len({tuple(r) for r in rows}) == len(texts)
+    else:
+        once, both = (packing.pack(x, paths.path("word_bpe_49k.json")).collect() for x in (docs, twice))
+        assert len(both) == 2 * len(once) and len({(r.sequence_id, r.offset) for r in both}) == len(both)
+
+
+def test_packing_ids_of_odd_letters():
+    """Against the library: letters that normalise to marks, case that depends on others, spaces of all kinds, special tokens."""
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    path = paths.path("word_bpe_49k.json")
+    tk, words = tokenizers.Tokenizer.from_file(path), packing.Words(path)
+    odd = ["İ", "İ,", "Σ", "ΑΣ,", "क़,", "ϔ", "Ϋ́", "\x1c", "<|endoftext|>", "<", "'s", "'S,", "don't", "The,", "word.", "a.###", "ﬁ,", "1.5", "日本", "é,", " ", "  ", "\u3000", "\x85", "ß,", "\u1680", '"x"', "!!"]
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.6 else chr(rng.choice([rng.randrange(1, 0x3000), rng.randrange(0xA000, 0xD800)])) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    for at in range(0, len(texts), 500):
+        ids, ends = words.encode(pa.array([*texts[at : at + 500], None], pa.string()))
+        starts = [0, *ends.tolist()]
+        for k, text in enumerate(texts[at : at + 500]):
+            assert ids[starts[k] : starts[k + 1]].tolist() == tk.encode(text, add_special_tokens=False).ids, text
+
+
 def plain_winnow(text, k=winnow.K, w=winnow.W):
     """[(place, hash)] of the kept grams, gram by gram."""
     import re
