@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, sharding, simhash, suffix, topk, toxicity, winnow
+from . import bestfit, bpe, langid, packing, quality, sharding, simhash, suffix, topk, toxicity, winnow
 from .common import held_out, table
 
 
@@ -50,7 +50,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_shard_lpt, op2_language, op3_bpe, op4_suffix_dedup, op5_toxicity, op6_quality, op7_winnowing, op8_packing, op9_topk, op10_simhash)
+def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
+_QUERIES = (op1_shard_lpt, op2_language, op3_bpe, op4_suffix_dedup, op5_toxicity, op6_quality, op7_winnowing, op8_packing, op9_topk, op10_simhash, op13_bestfit)
 
 
 def queries() -> dict:
