@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, bpe, langid, packing, quality, sharding, simhash, suffix, topk, toxicity, winnow
+from . import align, bestfit, bpe, langid, packing, phrases, quality, sharding, simhash, suffix, topk, toxicity, winnow
 from .common import held_out, table
 
 
@@ -50,11 +50,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
-_QUERIES = (op1_shard_lpt, op2_language, op3_bpe, op4_suffix_dedup, op5_toxicity, op6_quality, op7_winnowing, op8_packing, op9_topk, op10_simhash, op13_bestfit)
+_QUERIES = (op1_shard_lpt, op2_language, op3_bpe, op4_suffix_dedup, op5_toxicity, op6_quality, op7_winnowing, op8_packing, op9_topk, op10_simhash, op11_phrases, op12_align, op13_bestfit)
 
 
 def queries() -> dict:
@@ -62,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_topk": topk.ORACLE_SQL}
+    return {"op9_topk": topk.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL}

@@ -17,11 +17,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_query(spark, name):
     df = entry.queries()[name](spark, DATA)
     rows = df.collect()
-    source = {"op2_language": "pages", "op9_topk": None, "op8_packing": None}.get(name, "documents")
+    source = {"op2_language": "pages", "op9_topk": None, "op8_packing": None, "op11_phrases": None, "op13_bestfit": None}.get(name, "documents")
     assert rows and (source is None or len(rows) == table(spark, DATA, source).count())
     if name in entries.oracle_sql():
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
+        for of in ("embeddings", "documents"):
+            con.execute(f"CREATE VIEW {of} AS SELECT * FROM '{DATA}/{of}.parquet'")
         found = con.execute(entries.oracle_sql()[name])
         names = [x[0] for x in found.description]
         assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(found.fetchall())
