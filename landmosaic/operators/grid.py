@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import cell_col, cell_row
+from . import tiles
 from .change import CELL
-from .ordering import cut
+from .distance import distance_to_source
+from .nearest import inverse_distance, nearest_known
+from .polygons import in_polygons
+from .tiles import slope_aspect, smooth
+
+__all__ = ["distance_to_source", "in_polygons", "inverse_distance", "nearest_known", "slope_aspect", "smooth"]
 
 
 def sample(cells: DataFrame, step: int) -> DataFrame:
@@ -54,11 +60,6 @@ def target_grid(cells_extent: tuple[float, float, float, float], cell: float, sp
     return spark.range(height).select(F.col("id").alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).select("row", F.col("col").cast("long").alias("col"))
 
 
-def _cubic(t: Column) -> list[Column]:
-    """Catmull-Rom weights of the four neighbours, by the part t of the way between the middle two."""
-    return [-0.5 * t + t * t - 0.5 * t * t * t, 1.0 - 2.5 * t * t + 1.5 * t * t * t, 0.5 * t + 2.0 * t * t - 1.5 * t * t * t, -0.5 * t * t + 0.5 * t * t * t]
-
-
 def regrid(cells: DataFrame, target: DataFrame, source_transform: list[float], target_transform: list[float], method: str, mask: DataFrame | None = None) -> DataFrame:
     """Values of target cells (row, col) at their centres: nearest, or bilinear or cubic from 4 or 16 neighbours.
 
@@ -79,14 +80,7 @@ def regrid(cells: DataFrame, target: DataFrame, source_transform: list[float], t
     if method == "nearest":
         at = target.select("row", "col", F.floor(fy).alias("sr"), F.floor(fx).alias("sc"))
         return at.join(source, ["sr", "sc"]).select("row", "col", "value")
-    placed = target.select("row", "col", F.floor(fy - 0.5).alias("r0"), F.floor(fx - 0.5).alias("c0"), (fy - 0.5 - F.floor(fy - 0.5)).alias("v"), (fx - 0.5 - F.floor(fx - 0.5)).alias("u"))
-    u, v = F.col("u"), F.col("v")
-    offsets = range(2) if method == "bilinear" else range(-1, 3)
-    wu, wv = ([1 - u, u], [1 - v, v]) if method == "bilinear" else (_cubic(u), _cubic(v))
-    near = F.array(*[F.struct((F.col("r0") + i).alias("sr"), (F.col("c0") + j).alias("sc"), (a * b).alias("w")) for i, a in zip(offsets, wv, strict=True) for j, b in zip(offsets, wu, strict=True)])
-    met = placed.select("row", "col", F.inline(near)).join(source, ["sr", "sc"])
-    sums = met.groupBy(*CELL).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("value")).alias("s"))
-    return sums.where(F.abs("w") > 1e-9).select(*CELL, (F.col("s") / F.col("w")).alias("value"))
+    return tiles.interpolated(source.withColumnsRenamed({"sr": "row", "sc": "col"}), target.select("row", "col", (fy - 0.5).alias("y"), (fx - 0.5).alias("x")), method)
 
 
 def _near(missing: DataFrame, known: DataFrame, reach: int) -> DataFrame:
@@ -113,109 +107,13 @@ def nearest_fill(known: DataFrame, scope: DataFrame, cell: float, max_distance:
     return own.union(filled)
 
 
-def _reach_of_all(cells: DataFrame, known: DataFrame) -> int:
-    """So many cells that nothing lies further apart."""
-    r = cells.select(*CELL).union(known.select(*CELL)).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in CELL for f in (F.min, F.max)]).first()
-    return 1 if r.min_row is None else max(1, r.max_row - r.min_row, r.max_col - r.min_col)
-
-
-def nearest_known(known: DataFrame, cells: DataFrame, k: int, reach: int, most: int | None = None) -> DataFrame:
-    """(row, col, d2, kr, kc, kv): each cell's k nearest known cells, d2 the square of the distance in cells; ties in row order.
-
-    Cells that lack some within the reach are looked at again with twice the reach, until none is left
-    or nothing lies further off: nearest neighbours are found wherever they are, unless `most` bounds
-    the reach. The k best are kept by task before pairs are shuffled.
-    """
-    end = _reach_of_all(cells, known) if most is None else most
-    order = Window.partitionBy(*CELL).orderBy("d2", "kr", "kc")
-    todo, found = cells.select(*CELL), None
-    while True:
-        reach = min(reach, end)
-        close = F.col("d2") <= reach * reach if most is not None or reach < end else F.lit(True)
-        best = cut(_near(todo, known, reach).where(close).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select(*CELL, "d2", "kr", "kc", "kv"))
-        if reach >= end:
-            return best if found is None else found.union(best)
-        full = best.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") == k).select(*CELL)
-        done = best.join(full, CELL, "left_semi")
-        found = done if found is None else found.union(done)
-        todo = cut(todo.join(full, CELL, "left_anti"))
-        if todo.isEmpty():
-            return found
-        reach *= 2
-
-
-def distance_to_source(cells: DataFrame, sources: DataFrame, cell: float, max_distance: float | None = None, reach: int = 4) -> DataFrame:
-    """(row, col, distance) of every cell to the nearest source cell, 0 on a source; with a bound, of cells within it."""
-    known = sources.select(*CELL, F.lit(0.0).alias("value"))
-    most = None if max_distance is None else max(1, math.ceil(max_distance / cell))
-    out = nearest_known(known, cells, 1, reach if most is None else most, most).select(*CELL, (F.sqrt("d2") * cell).alias("distance"))
-    return out if max_distance is None else out.where(F.col("distance") <= max_distance)
-
-
-def inverse_distance(known: DataFrame, cells: DataFrame, power: float = 2.0, neighbours: int = 12, reach: int = 16, most: int | None = None) -> DataFrame:
-    """Values from the nearest known cells, weighed by inverse distance; a known cell keeps its own.
-
-    `reach` is where the search begins, `most` where it ends at the latest if given, both in cells.
-    """
-    w = F.pow(F.sqrt("d2"), F.lit(-power))
-    best = nearest_known(known, cells, neighbours, reach, most)
-    sums = best.groupBy(*CELL).agg(F.max(F.when(F.col("d2") == 0, F.col("kv"))).alias("own"), F.sum(F.when(F.col("d2") > 0, w)).alias("w"), F.sum(F.when(F.col("d2") > 0, w * F.col("kv"))).alias("s"))
-    return sums.select(*CELL, F.coalesce("own", F.col("s") / F.col("w")).alias("value"))
-
-
-def _spread(cells: DataFrame) -> DataFrame:
-    """Each cell sent to its 3 x 3 neighbours: (row, col) there, (i, j) from there to the cell."""
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return cells.select("row", "col", "value", F.inline(around)).select((F.col("row") - F.col("i")).alias("row"), (F.col("col") - F.col("j")).alias("col"), "i", "j", "value")
-
-
-def slope_aspect(dem: DataFrame, cell: float) -> DataFrame:
-    """(row, col, slope, aspect) in degrees by Horn's 3 x 3 gradient; flat cells have aspect -1, cells at an edge none."""
-    i, j, v = F.col("i"), F.col("j"), F.col("value")
-    weight = lambda a, b: a * F.when(b == 0, 2).otherwise(1) * v
-    sums = _spread(dem).groupBy(*CELL).agg(F.count("*").alias("n"), (F.sum(weight(j, i)) / (8.0 * cell)).alias("dx"), (F.sum(weight(i, j)) / (8.0 * cell)).alias("dy")).where("n = 9")
-    dx, dy = F.col("dx"), F.col("dy")
-    turn = F.degrees(F.atan2(dy, -dx))
-    compass = F.when(turn < 0, 90.0 - turn).when(turn > 90, 450.0 - turn).otherwise(90.0 - turn)
-    return sums.select(*CELL, F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"), F.when((dx == 0) & (dy == 0), F.lit(-1.0)).otherwise(compass).alias("aspect"))
-
-
-def smooth(cells: DataFrame) -> DataFrame:
-    """The majority of each valid cell's 3 x 3 neighbourhood; ties go to the lowest class."""
-    counts = _spread(cells).groupBy(*CELL, "value").agg(F.count("*").alias("n"))
-    best = counts.groupBy(*CELL).agg((-F.max(F.struct("n", (-F.col("value")).alias("v")))["v"]).alias("value"))
-    return best.join(cells.select(*CELL), CELL, "left_semi")
-
-
-def in_polygons(cells: DataFrame, polygons: DataFrame, transform: list[float], block: int = 64) -> DataFrame:
-    """(feature_id, row, col) of cells whose centre lies in a polygon (feature_id, rings: arrays of [x, y]).
-
-    A point is inside if a ray from it crosses an odd number of edges of all rings, so rings may be
-    holes or further parts. A polygon goes to the blocks of cells that its bounds touch; only there
-    each edge is tested.
-    """
-    points = F.flatten("rings")
-    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
-    boxes = polygons.select("feature_id", "rings", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    rows = lambda y: F.floor(cell_row(y, transform) / block)
-    cols = lambda x: F.floor(cell_col(x, transform) / block)
-    span = lambda a, b: F.explode(F.sequence(F.least(a, b), F.greatest(a, b)))
-    blocked = boxes.withColumn("br", span(rows("y0"), rows("y1"))).withColumn("bc", span(cols("x0"), cols("x1")))
-    placed = cells.select(*CELL, F.floor(F.col("row") / block).alias("br"), F.floor(F.col("col") / block).alias("bc"), (F.lit(transform[2]) + (F.col("col") + 0.5) * transform[0]).alias("x"), (F.lit(transform[5]) + (F.col("row") + 0.5) * transform[4]).alias("y"))
-    joined = placed.join(blocked, ["br", "bc"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
-    x, y = F.col("x"), F.col("y")
-    crosses = lambda a, b: ((a[1] > y) != (b[1] > y)) & (x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0])
-    edges = lambda ring: F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), crosses)
-    return joined.where(F.size(F.filter(F.flatten(F.transform("rings", edges)), lambda e: e)) % 2 == 1).select("feature_id", *CELL)
-
-
 def tile_starts(length: Column, patch: int, stride: int) -> Column:
     """Starts of overlapping tiles, the last one ending with the row."""
     last = F.greatest(length - patch, F.lit(0))
     return F.array_sort(F.array_union(F.sequence(F.lit(0).cast("int"), last.cast("int"), F.lit(stride)), F.array(last.cast("int"))))
 
 
-def tiles(grids: DataFrame, patch: int, stride: int) -> DataFrame:
+def tile_grid(grids: DataFrame, patch: int, stride: int) -> DataFrame:
     """(raster_id, tile_row, tile_col) of grids (raster_id, width, height)."""
     return grids.select("raster_id", F.col("width"), F.explode(tile_starts(F.col("height"), patch, stride)).alias("tile_row")).select("raster_id", "tile_row", F.explode(tile_starts(F.col("width"), patch, stride)).alias("tile_col"))
 

@@ -250,7 +250,7 @@ def _(t):
 
 @query("w9_tiles", "WITH r AS (SELECT p_size + 40 AS len, p_partkey AS raster_id FROM part), s AS (SELECT raster_id, len, unnest(list_sort(list_distinct(list_append(range(0, greatest(len - 32, 0) + 1, 24), greatest(len - 32, 0))))) AS tile_row FROM r) SELECT raster_id, CAST(tile_row AS INTEGER) AS tile_row, CAST(unnest(list_sort(list_distinct(list_append(range(0, greatest(len - 32, 0) + 1, 24), greatest(len - 32, 0))))) AS INTEGER) AS tile_col FROM s")
 def _(t):
-    return grid.tiles(t("part").select(F.col("p_partkey").alias("raster_id"), (F.col("p_size") + 40).alias("width"), (F.col("p_size") + 40).alias("height")), 32, 24)
+    return grid.tile_grid(t("part").select(F.col("p_partkey").alias("raster_id"), (F.col("p_size") + 40).alias("width"), (F.col("p_size") + 40).alias("height")), 32, 24)
 
 
 TILE = "p AS (SELECT (row // 16) * 12 AS tr, (col // 16) * 12 AS tc, row % 16 AS dy, col % 16 AS dx, t0, k % 13 <> 0 AS ok FROM g), w AS (SELECT tr + dy AS row, tc + dx AS col, t0, CASE WHEN ok THEN greatest((0.5 - 0.5 * cos(2 * pi() * dy / 15)) * (0.5 - 0.5 * cos(2 * pi() * dx / 15)), 0.05) ELSE 0 END AS w FROM p)"

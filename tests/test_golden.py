@@ -243,7 +243,7 @@ def test_holes_and_parts(spark):
     square = lambda a, b: [[a, a], [a, b], [b, b], [b, a], [a, a]]
     shapes = spark.createDataFrame([("x", [[[float(v) for v in p] for p in r] for r in (square(0, 9), square(3, 6), square(12, 14))])], "feature_id string, rings array<array<array<double>>>")
     df = cells(spark, [[1.0] * 20] * 20)
-    got = {(r.row, r.col) for r in grid.in_polygons(df, shapes, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], 4).collect()}
+    got = {(r.row, r.col) for r in grid.in_polygons(df, shapes, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]).collect()}
     inside = lambda r, c, a, b: a <= r < b and a <= c < b
     assert got == {(r, c) for r in range(20) for c in range(20) if inside(r, c, 0, 9) and not inside(r, c, 3, 6) or inside(r, c, 12, 14)}
 
