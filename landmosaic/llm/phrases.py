@@ -1,15 +1,16 @@
 """Phrases that stand together, mined as by Toivonen: a sample proposes, full passes decide.
 
 A sample of the documents proposes phrases of 1 to LONGEST words. A pass over all documents counts
-exactly what was proposed and its border: phrases both of whose parts without an end word were
-proposed (a word's parts are empty and always are). A frequent phrase of the border that wasn't
-proposed is a failure of the sample; failures join the proposal, and a further pass counts the
-phrases that thereby came into the border, until a pass fails no more. A frequent phrase has frequent
-parts only, so none can then be missing.
-
-Tasks hold the proposal as a bitmap of hashed phrases, of bounded size. A phrase that shares its bit
-with a proposed one counts as proposed, which costs a count and loses nothing: counts go by the
-phrases themselves.
+what was proposed and its negative border: phrases both of whose parts without an end word were
+proposed (a word's parts are empty and always are). It counts hashes, so its counts are those of the
+phrases or more, and tells which phrases may be frequent. Frequent phrases of the border that weren't
+proposed are failures of the sample: phrases that hold them may be frequent and weren't counted. The
+second pass expands: besides the phrases that may be frequent it counts those that weren't counted
+and both of whose parts it counts itself, so it is closed whatever the sample failed to propose, and
+it counts the phrases themselves, so its counts are exact.
+
+Tasks hold the proposal and the hashes that may be frequent as bitmaps of bounded size. A phrase that
+shares its bit with another costs a count and loses nothing.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ SALTS = 32
 NO_LANG = "und"
 _TEXT_BYTES = 4 << 20
 _LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
-_FIELDS = "lang string, phrase string, size int, h long, n long"
+_FIELDS = "lang string, phrase string, size int, n long"
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
@@ -61,7 +62,7 @@ def _mixed(before: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 class Proposal:
-    """The bits of hashed phrases; a worker gets it as bytes."""
+    """The bits of hashed phrases."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -71,10 +72,12 @@ class Proposal:
         return self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
-def occurrences(langs: pa.Array, texts: pa.Array, proposal: Proposal | None, earlier: Proposal | None, longest: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, size, h, n) of a part's phrases by size; n words of a language as a phrase of no words.
+def occurrences(langs: pa.Array, texts: pa.Array, longest: int, proposal: Proposal | None = None, frequent: Proposal | None = None) -> Iterator[pa.RecordBatch]:
+    """Counts of a part's phrases by size.
 
-    Without a proposal all phrases, by hash alone. With `earlier`, only those that weren't in its border.
+    Without a proposal (h, n) of all phrases. With one, of the phrases whose parts it holds. With the
+    bits of what may be `frequent` as well, (lang, phrase, size, n) of those and of what wasn't counted
+    by the proposal though both its parts are told here; n words of a language as a phrase of no words.
     """
     ranked = langs.dictionary_encode()
     names = ranked.dictionary
@@ -90,119 +93,92 @@ def occurrences(langs: pa.Array, texts: pa.Array, proposal: Proposal | None, ear
     code, doc = code[word], doc[word]
     if not len(code):
         return
-    size_1 = max(1, len(words))
-    at, kinds = pd.factorize(ranked.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc] * size_1 + code)
-    of_lang, last = kinds // size_1, words.take(pa.array(kinds % size_1))
+    at, kinds = pd.factorize(ranked.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc] * len(words) + code)
+    lang, last = kinds // len(words), words.take(pa.array(kinds % len(words)))
     tags = [x.encode() + b"\0" for x in names.to_pylist()]
-    word_h = np.fromiter((xxh64_intdigest(tags[k] + w) for k, w in zip(of_lang.tolist(), pc.cast(last, pa.binary()).to_pylist(), strict=True)), np.uint64, len(kinds))
-
-    def rows(lang: np.ndarray, phrase: pa.Array | None, size: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        if proposal is None:
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-        return pa.RecordBatch.from_arrays([names.take(pa.array(lang)), phrase, pa.array(np.full(len(n), size, "<i4")), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "phrase", "size", "h", "n"])
-
-    count_1 = np.bincount(at, minlength=len(kinds))
-    if earlier is None:
-        if proposal is not None:
-            by_lang = np.bincount(of_lang, count_1, len(names)).astype(np.int64)
-            yield rows(np.arange(len(names)), pa.array([""] * len(names)), 0, np.zeros(len(names), np.uint64), by_lang)
-        yield rows(of_lang, last, 1, word_h, count_1)
-    first, phrase, h, lang = at, last, word_h, of_lang
+    word_h = np.fromiter((xxh64_intdigest(tags[k] + w) for k, w in zip(lang.tolist(), pc.cast(last, pa.binary()).to_pylist(), strict=True)), np.uint64, len(kinds))
+
+    def rows(size: int, n: np.ndarray, told: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if frequent is None:
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+        elif told.any():
+            chosen = pa.array(np.flatnonzero(told))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[told])), phrase.take(chosen), pa.array(np.full(len(chosen), size, "<i4")), pa.array(n[told])], ["lang", "phrase", "size", "n"])
+
+    n = np.bincount(at, minlength=len(kinds))
+    if frequent is not None:
+        by_lang = np.bincount(lang, n, len(names)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(names)), pa.array(np.zeros(len(names), "<i4")), pa.array(by_lang)], ["lang", "phrase", "size", "n"])
+    first, phrase, h = at, last, word_h
+    every = np.ones(len(kinds), bool)
+    # `counted` by the proposal, and `told`: what a longer phrase may be made of.
+    counted, told = every, every if proposal is None else proposal.holds(h) if frequent is None else frequent.holds(h)
+    yield from rows(1, n, told)
     for size in range(2, longest + 1):
-        # `first` numbers the phrase of size - 1 words that begins at a word, -1 where none is counted.
+        # `first` numbers the phrase of size - 1 words that begins at a word, -1 where there is none.
         near = np.flatnonzero(piece[: 1 - size] == piece[size - 1 :]) if len(piece) >= size else np.zeros(0, np.int64)
         near = near[(first[near] >= 0) & (first[near + 1] >= 0)]
-        if proposal is not None:
-            known = proposal.holds(h)
-            near = near[known[first[near]] & known[first[near + 1]]]
+        near = near[told[first[near]] & told[first[near + 1]]]
         if not len(near):
             return
         found, pairs = pd.factorize(first[near] * len(kinds) + at[near + size - 1])
-        count = np.bincount(found, minlength=len(pairs))
+        n = np.bincount(found, minlength=len(pairs))
         before, end = pairs // len(kinds), pairs % len(kinds)
-        one = np.zeros(len(pairs), np.int64)
-        one[found] = near
-        rest = first[one + 1]
-        fresh = np.ones(len(pairs), bool)
-        if earlier is not None:
-            told = earlier.holds(h)
-            fresh = ~(told[before] & told[rest])
-        h, lang = _mixed(h[before], word_h[end]), lang[before]
-        if proposal is not None:
+        place = np.zeros(len(pairs), np.int64)
+        place[found] = near
+        rest = first[place + 1]
+        if frequent is not None:
+            known = counted & proposal.holds(h)
+            counted = known[before] & known[rest]
             phrase = pc.binary_join_element_wise(phrase.take(pa.array(before)), last.take(pa.array(end)), " ")
-        now = np.full(len(piece), -1, np.int64)
-        now[near] = found
-        first = now
-        if fresh.all():
-            yield rows(lang, phrase, size, h, count)
-        elif fresh.any():
-            yield rows(lang[fresh], phrase.filter(pa.array(fresh)), size, h[fresh], count[fresh])
+            lang = lang[before]
+        h = _mixed(h[before], word_h[end])
+        told = np.ones(len(pairs), bool) if proposal is None else proposal.holds(h) if frequent is None else ~counted | frequent.holds(h)
+        yield from rows(size, n, told)
+        first = np.full(len(piece), -1, np.int64)
+        first[near] = found
 
 
-def _pass(docs: DataFrame, proposal: np.ndarray | None, earlier: np.ndarray | None, longest: int) -> DataFrame:
+def _pass(docs: DataFrame, longest: int, *held: np.ndarray) -> DataFrame:
     """Counts of each part of the documents (lang, text), to be summed up."""
-    context = docs.sparkSession.sparkContext
-    sent = [None if x is None else context.broadcast(x) for x in (proposal, earlier)]
+    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in held]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [None if x is None else Proposal(x.value) for x in sent]
+        bits = [Proposal(x.value) for x in sent]
         for part in by_bytes(batches, 1, _TEXT_BYTES):
-            yield from occurrences(part.column(0), part.column(1), *held, longest)
+            yield from occurrences(part.column(0), part.column(1), longest, *bits)
 
-    return docs.mapInArrow(run, "h long, n long" if proposal is None else _FIELDS)
+    return docs.mapInArrow(run, _FIELDS if len(held) == 2 else "h long, n long")
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The bits (a power of 2) of a column h, put together where its rows are: blocks of 4 KB, `bits` in all, reach the driver."""
+def _bitmap(counts: DataFrame, least: int) -> np.ndarray:
+    """The bits of hashes (h, n) that are counted `least` times, put together where their rows are; blocks of 4 KB reach the driver, MOST_BITS at most."""
+    kept = stored(counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"))
+    many, bits = kept.count(), LEAST_BITS
+    while bits < min(16 * many, MOST_BITS):
+        bits *= 2
     at = F.col("h").bitwiseAND(F.lit(bits - 1)) + 1
-    blocks = hashes.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    blocks = kept.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
-    for r in blocks.collect():
+    for r in blocks.toLocalIterator():
         out[(r.block - 1) * 4096 : r.block * 4096] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def propose(docs: DataFrame, sample: int = SAMPLE, support: int = SAMPLE_SUPPORT, longest: int = LONGEST, id_col: str = "doc_id") -> np.ndarray:
-    """The bitmap of phrases that occur `support` times in the documents (lang, text, id) whose hashed id falls into the sample."""
-    drawn = docs.where(F.pmod(F.xxhash64(id_col), F.lit(sample)) == 0).select("lang", "text")
-    kept = stored(_pass(drawn, None, None, longest).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("h"))
-    bits = LEAST_BITS
-    most = 16 * kept.count()
-    while bits < min(most, MOST_BITS):
-        bits *= 2
-    return _bitmap(kept, bits)
-
-
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, sample: int = SAMPLE, sample_support: int = SAMPLE_SUPPORT) -> DataFrame:
     """(lang, phrase, size, n): every phrase of up to `longest` words with `support` occurrences, and each language's words as size 0.
 
-    `docs` has lang, text and doc_id. What a sample fails to propose costs a further pass, at most one
-    for each length: after the k-th pass over all documents no frequent phrase of k words is missing.
+    `docs` has lang, text and doc_id; documents whose hashed id falls into one of `sample` parts are the
+    sample, in which a phrase must occur `sample_support` times to be proposed. Both numbers only change
+    how much is counted: a frequent phrase has frequent parts, so it is counted in the first pass, or in
+    the second because its parts are.
     """
-    proposal = propose(docs, sample, sample_support, longest)
     texts = docs.select("lang", "text")
-    found, earlier = None, None
-    while True:
-        sums = _pass(texts, proposal, earlier, longest).groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.first("h").alias("h"), F.sum("n").alias("n"))
-        counted = stored(sums.where((F.col("n") >= support) | (F.col("size") == 0)))
-        found = counted if found is None else found.union(counted)
-        failures = _failures(counted.where(F.col("size").between(1, longest - 1)).select("h"), proposal)
-        added = _bitmap(failures, 8 * len(proposal))
-        if not added.any():
-            return found.select("lang", "phrase", "size", "n")
-        proposal, earlier = proposal | added, proposal
-
-
-def _failures(hashes: DataFrame, proposal: np.ndarray) -> DataFrame:
-    """Those that the proposal doesn't hold."""
-    sent = hashes.sparkSession.sparkContext.broadcast(proposal)
-
-    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h[~Proposal(sent.value).holds(h.view(np.uint64))])], ["h"])
-
-    return hashes.mapInArrow(missing, "h long")
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0).select("lang", "text")
+    proposal = _bitmap(_pass(drawn, longest), sample_support)
+    frequent = _bitmap(_pass(texts, longest, proposal), support)
+    sums = _pass(texts, longest, proposal, frequent).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    return stored(sums.where((F.col("n") >= support) | (F.col("size") == 0)))
 
 
 def _joined(words: str, start: Column, length: Column) -> Column:
@@ -256,7 +232,7 @@ f AS (SELECT lang, size, array_to_string(w[s : s + size - 1], ' ') AS phrase, co
 total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
 c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND n >= {SUPPORT}),
 cut AS (SELECT c.lang, c.phrase, c.a, k, l.n AS l, r.n AS r, CAST(2000000 AS HUGEINT) * c.a // (l.n + r.n) AS score
-  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : size], ' ')),
+  FROM (SELECT *, unnest(range(1, c.size)) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : c.size], ' ')),
 low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 held AS (SELECT lang, array_to_string(w[s : s + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, size - m + 2)) AS s FROM c, range(2, {LONGEST}) z(m) WHERE m < size) GROUP BY ALL),
 kept AS (SELECT low.* FROM low LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < {COVER} * a)

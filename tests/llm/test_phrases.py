@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from landmosaic.llm import phrases
@@ -68,17 +69,32 @@ def test_is_counting(spark, seed, top):
 
 @pytest.mark.parametrize(("sample", "support"), [(1, 1), (1000, 2), (3, 40)])
 def test_any_sample_will_do(spark, monkeypatch, sample, support):
-    """A sample of all documents, of hardly any, and one that proposes too little: the passes close it."""
+    """A sample of all documents, of hardly any, and one that proposes too little; bitmaps of any size: the second pass closes it."""
     rows = made(3)
-    passes = []
-    plain = phrases._pass
-    monkeypatch.setattr(phrases, "_pass", lambda *a: passes.append(1) or plain(*a))
+    monkeypatch.setattr(phrases, "LEAST_BITS", 1 << 15)
+    monkeypatch.setattr(phrases, "MOST_BITS", 1 << 15)
     docs = tabled(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "coalesce(text, '') AS text", "doc_id")
     got = phrases.frequent_phrases(docs, 12, 4, sample, support).collect()
     f, n = counted(rows, 4)
     assert {(r.lang, r.phrase): r.n for r in got if r["size"]} == {(lang, " ".join(w)): a for (lang, w), a in f.items() if a >= 12}
     assert {r.lang: r.n for r in got if not r["size"] and r.n} == {k: v for k, v in n.items() if v}
-    assert len(got) == len({(r.lang, r.phrase) for r in got}) and 2 <= len(passes) <= 5
+    assert len(got) == len({(r.lang, r.phrase) for r in got})
+
+
+def test_passes_count_less_than_all():
+    """What the proposal leaves out isn't counted, what the sample failed to propose is; by one part of documents."""
+    langs, texts = pa.array(["en"] * 3), pa.array(["a b c d", "a b c d x", "a b y"])
+    every = {}
+    for batch in phrases.occurrences(langs, texts, 4):
+        every |= dict(zip(batch["h"].to_pylist(), batch["n"].to_pylist(), strict=True))
+    assert sorted(every.values()) == [1] * 7 + [2] * 7 + [3] * 3
+    none, whole = (phrases.Proposal(np.full(1 << 17, x, np.uint8)) for x in (0, 255))
+    sizes = lambda *bits: [(b.num_rows, sum(b["n"].to_pylist())) for b in phrases.occurrences(langs, texts, 4, *bits)]
+    assert sizes(none) == [(6, 12)] and len(sizes(whole)) == 4
+    # Nothing may be frequent: only the words of each language are told.
+    assert sizes(whole, none) == [(1, 12)]
+    # Nothing was proposed: all longer phrases of words that may be frequent are told.
+    assert sizes(none, whole) == [(1, 12), (6, 12), (5, 9), (4, 6), (2, 3)]
 
 
 def test_long_counts_are_exact(spark):
