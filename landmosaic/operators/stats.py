@@ -7,7 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import md5_below, md5_order
+from ..functions.expressions import md5_below
+from ..functions.shuffle import placed, replicated
 from .ordering import cut, numbered, running_total
 
 
@@ -82,16 +83,17 @@ def spearman(table: DataFrame, fields: list[str], unit: str) -> DataFrame:
 def permutation_p(table: DataFrame, fields: list[str], unit: str, permutations: int, seed: int) -> DataFrame:
     """(service_a, service_b, p): two-sided, of the correlation of ranks under shuffled units.
 
-    A replicate orders the units by a hash, the same for all pairs. Means and variances don't change,
-    so a replicate is one sum of products. Places are numbered by ranges of hashes.
+    A replicate is a keyed permutation of the units' places, told by a formula; so a unit meets the one
+    that it is paired with by one join. Means and variances don't change, so a replicate is one sum of
+    products for each pair. Units are numbered once.
     """
     ranks = cut(_ranked(table, fields, unit))
-    reps = numbered(ranks, [], [F.col(unit)], "i").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("shuffle", md5_order(seed, "rep", unit))
-    order = numbered(reps, ["rep"], [F.col("shuffle"), F.col(unit)], "j").select("rep", *fields, "i", "j")
-    shuffled = order.select(F.col("rep").alias("rep2"), F.col("j").alias("i2"), *[F.col(f).alias(f"y_{f}") for f in fields])
-    joined = order.join(shuffled, (F.col("rep") == F.col("rep2")) & (F.col("i") == F.col("i2")))
-    rows = F.inline(F.array(*[F.struct(F.lit(a).alias("service_a"), F.lit(b).alias("service_b"), F.col(a).alias("x"), F.col(f"y_{b}").alias("y")) for a, b in pairs_of(fields)]))
-    sums = joined.select("rep", rows).groupBy("service_a", "service_b", "rep").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    base = cut(placed(ranks, numbered(ranks, [], [F.col(unit)], "i")).select("i", "n", *fields))
+    other = base.select(F.col("i").alias("at"), *[F.col(f).alias(f"y_{f}") for f in fields])
+    pairs = pairs_of(fields)
+    joined = replicated(base, range(1, permutations + 1), seed).join(other, F.col("j") == F.col("at"))
+    by_rep = joined.groupBy("rep").agg(*[F.sum(F.col(a) * F.col(f"y_{b}")).alias(f"xy_{k}") for k, (a, b) in enumerate(pairs)])
+    sums = by_rep.select(F.inline(F.array(*[F.struct(F.lit(a).alias("service_a"), F.lit(b).alias("service_b"), F.col(f"xy_{k}").alias("xy")) for k, (a, b) in enumerate(pairs)])))
     # Ranks are halves and their products exact, so equal correlations compare equal.
     seen = ranks.select(_pair_rows(fields)).groupBy("service_a", "service_b").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("y")).alias("xy0"), (F.sum("x") * F.sum("y") / F.count("*")).alias("centre"), pearson("x", "y").alias("rho"))
     met = sums.join(F.broadcast(seen), ["service_a", "service_b"])
@@ -180,15 +182,15 @@ def factor_interactions(samples: DataFrame, target: str, factors: list[str]) ->
 def factor_permutation_p(samples: DataFrame, target: str, factors: list[str], unit: str, permutations: int, seed: int) -> DataFrame:
     """(factor, p): one-sided, of q under shuffled targets.
 
-    The whole variance stays, so a replicate is one sum by stratum. Targets are taken in cents, as
-    whole numbers, so equal q compare equal.
+    The whole variance stays, so a replicate is one sum by stratum, of the targets that a keyed
+    permutation of the places brings there. Targets are taken in cents, as whole numbers, so equal q
+    compare equal.
     """
     y = F.round(F.col(target) * 100).cast("long")
-    reps = numbered(samples.select(unit, y.alias("y"), *factors), [], [F.col(unit)], "i").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    shuffle = F.when(F.col("rep") == 0, F.lit("")).otherwise(md5_order(seed, "rep", unit))
-    placed = numbered(reps.withColumn("shuffle", shuffle), ["rep"], [F.col("shuffle"), F.col(unit)], "j")
-    targets = placed.select(F.col("rep").alias("rep2"), F.col("j").alias("i2"), F.col("y").alias("y2"))
-    joined = placed.join(targets, (F.col("rep") == F.col("rep2")) & (F.col("i") == F.col("i2")))
+    chosen = samples.select(unit, y.alias("y"), *factors)
+    base = cut(placed(chosen, numbered(chosen, [], [F.col(unit)], "i")).drop(unit))
+    targets = base.select(F.col("i").alias("at"), F.col("y").alias("y2"))
+    joined = replicated(base.select("i", "n", *factors), range(permutations + 1), seed).join(targets, F.col("j") == F.col("at"))
     rows = F.inline(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("stratum")) for f in factors]))
     strata = joined.select("rep", "y2", rows).groupBy("factor", "rep", "stratum").agg(F.sum("y2").alias("s"), F.count("*").alias("n"))
     between = strata.groupBy("factor", "rep").agg(F.round(F.sum(F.col("s").cast("double") * F.col("s") / F.col("n")), 0).alias("b"))

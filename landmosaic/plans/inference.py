@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import shuffle
 from ..operators import stats
 from .registry import query
 
 SERVICES = ["spend", "peak", "mean"]
 SEED = 20260713
 #: Replicates in the registered queries; operators take any number.
-REPLICATES = 99
+REPLICATES = 999
 RANKS = """u AS (SELECT l_suppkey AS unit_id, sum(l_quantity) AS spend, max(l_extendedprice) AS peak, CAST(count(*) AS DOUBLE) AS mean FROM lineitem GROUP BY ALL),
 r AS (SELECT unit_id, spend, peak, mean, rank() OVER (ORDER BY spend) + (count(*) OVER (PARTITION BY spend) - 1) / 2.0 AS rs, rank() OVER (ORDER BY peak) + (count(*) OVER (PARTITION BY peak) - 1) / 2.0 AS rp, rank() OVER (ORDER BY mean) + (count(*) OVER (PARTITION BY mean) - 1) / 2.0 AS rm FROM u),
 pr AS (SELECT unit_id, 'spend' AS service_a, 'peak' AS service_b, rs AS x, rp AS y FROM r UNION ALL SELECT unit_id, 'spend', 'mean', rs, rm FROM r UNION ALL SELECT unit_id, 'peak', 'mean', rp, rm FROM r)"""
@@ -35,9 +36,15 @@ def _(t):
     return stats.spearman(_suppliers(t), SERVICES, "unit_id")
 
 
-SHUFFLED = f"""{RANKS}, rep AS (SELECT r.x AS rep FROM range(1, {REPLICATES + 1}) r(x)),
-o AS (SELECT rep, r.*, row_number() OVER (PARTITION BY rep ORDER BY unit_id) AS i, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', '{SEED}', rep, unit_id)), unit_id) AS j FROM r, rep),
-s AS (SELECT a.rep, a.rs, a.rp, a.rm, b.rp AS yp, b.rm AS ym FROM o a JOIN o b ON a.rep = b.rep AND a.i = b.j),
+def _walked(rows: str, replicates: str) -> str:
+    """w: (rep, i, v) of rows with a place i and their number n, v the place that i goes to."""
+    return f"""go AS (SELECT rep.x AS rep, i, n, i AS v, 0 AS step FROM {rows}, {replicates} rep(x) UNION ALL SELECT rep, i, n, {shuffle.sql("v", "n", "rep", SEED)}, 1 FROM go WHERE rep > 0 AND (step = 0 OR v >= n)),
+w AS (SELECT rep, i, v FROM go WHERE rep = 0 OR step = 1 AND v < n)"""
+
+
+SHUFFLED = f"""{RANKS}, o AS (SELECT r.*, row_number() OVER (ORDER BY unit_id) - 1 AS i, count(*) OVER () AS n FROM r),
+{_walked("o", f"range(1, {REPLICATES + 1})")},
+s AS (SELECT w.rep, a.rs, a.rp, a.rm, b.rp AS yp, b.rm AS ym FROM w JOIN o a ON a.i = w.i JOIN o b ON b.i = w.v),
 xy AS (SELECT 'spend' AS service_a, 'peak' AS service_b, rep, sum(rs * yp) AS xy FROM s GROUP BY rep UNION ALL SELECT 'spend', 'mean', rep, sum(rs * ym) FROM s GROUP BY rep UNION ALL SELECT 'peak', 'mean', rep, sum(rp * ym) FROM s GROUP BY rep),
 ob AS (SELECT service_a, service_b, sum(x * y) AS xy0, sum(x) * sum(y) / count(*) AS centre FROM pr GROUP BY ALL),
 pv AS (SELECT service_a, service_b, (count(*) FILTER (abs(xy - centre) >= abs(xy0 - centre)) + 1) / (count(*) + 1) AS p FROM xy JOIN ob USING (service_a, service_b) GROUP BY ALL)"""
@@ -49,7 +56,7 @@ def _(t):
     return pairs.groupBy("service_a", "service_b").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("y")).alias("xy"))
 
 
-@query("a28_permutation_p", f"WITH {SHUFFLED} SELECT * FROM pv", "p")
+@query("a28_permutation_p", f"WITH RECURSIVE {SHUFFLED} SELECT * FROM pv", "p")
 def _(t):
     return stats.permutation_p(_suppliers(t), SERVICES, "unit_id", REPLICATES, SEED)
 
@@ -66,7 +73,7 @@ def _(t):
     return stats.bootstrap_ci(_suppliers(t), SERVICES, "unit_id", REPLICATES, SEED)
 
 
-@query("w3_benjamini_hochberg", f"WITH {SHUFFLED}, k AS (SELECT *, row_number() OVER (ORDER BY p, service_a, service_b) AS rn, count(*) OVER () AS m FROM pv) SELECT service_a, service_b, p, least(1, min(p * m / rn) OVER (ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM k", "p fdr")
+@query("w3_benjamini_hochberg", f"WITH RECURSIVE {SHUFFLED}, k AS (SELECT *, row_number() OVER (ORDER BY p, service_a, service_b) AS rn, count(*) OVER () AS m FROM pv) SELECT service_a, service_b, p, least(1, min(p * m / rn) OVER (ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM k", "p fdr")
 def _(t):
     return stats.benjamini_hochberg(stats.permutation_p(_suppliers(t), SERVICES, "unit_id", REPLICATES, SEED), tie=["service_a", "service_b"])
 
@@ -107,9 +114,10 @@ def _(t):
     return stats.factor_interactions(_samples(t), "y", FACTORS)
 
 
-@query("a33_factor_permutation_p", f"""WITH s AS (SELECT s_suppkey AS id, CAST(round(s_acctbal * 100) AS BIGINT) AS y, CAST(s_nationkey % 5 AS VARCHAR) AS zone, CAST(s_suppkey % 3 AS VARCHAR) AS belt FROM supplier),
-n AS (SELECT rep.x AS rep, s.*, row_number() OVER (PARTITION BY rep.x ORDER BY id) AS i, row_number() OVER (PARTITION BY rep.x ORDER BY CASE WHEN rep.x = 0 THEN '' ELSE md5(concat_ws('|', '{SEED}', rep.x, id)) END, id) AS j FROM s, range(0, {REPLICATES + 1}) rep(x)),
-m AS (SELECT a.rep, a.zone, a.belt, b.y FROM n a JOIN n b ON a.rep = b.rep AND a.i = b.j),
+@query("a33_factor_permutation_p", f"""WITH RECURSIVE s AS (SELECT s_suppkey AS id, CAST(round(s_acctbal * 100) AS BIGINT) AS y, CAST(s_nationkey % 5 AS VARCHAR) AS zone, CAST(s_suppkey % 3 AS VARCHAR) AS belt FROM supplier),
+n AS (SELECT s.*, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM s),
+{_walked("n", f"range(0, {REPLICATES + 1})")},
+m AS (SELECT w.rep, a.zone, a.belt, b.y FROM w JOIN n a ON a.i = w.i JOIN n b ON b.i = w.v),
 t AS (SELECT 'zone' AS factor, rep, zone AS stratum, sum(y) AS sy, count(*) AS c FROM m GROUP BY ALL UNION ALL SELECT 'belt', rep, belt, sum(y), count(*) FROM m GROUP BY ALL),
 b AS (SELECT factor, rep, round(sum(CAST(sy AS DOUBLE) * sy / c), 0) AS b FROM t GROUP BY ALL)
 SELECT b.factor, (count(*) FILTER (b.b >= o.b) + 1) / (count(*) + 1) AS p FROM b JOIN b o ON o.factor = b.factor AND o.rep = 0 WHERE b.rep > 0 GROUP BY b.factor""", "p")

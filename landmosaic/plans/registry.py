@@ -93,7 +93,8 @@ def query(name: str, sql: str | None = None, measures: str = "", places: int = P
         _QUERIES[name] = run
         if sql:
             body = sql.strip()
-            body = f"WITH {GRID_SQL}, {body[5:]}" if body.startswith("WITH ") else f"WITH {GRID_SQL} {body}"
+            told = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.startswith(w)), "")
+            body = f"{told}{GRID_SQL}, {body[len(told) :]}" if told else f"WITH {GRID_SQL} {body}"
             changed = ", ".join(f"round(CAST({c} AS DOUBLE), {places}) + CAST(0 AS DOUBLE) AS {c}" for c in measures.split())
             _SQL[name] = f"SELECT * REPLACE ({changed}) FROM ({body})" if measures else body
         return make
