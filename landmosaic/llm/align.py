@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import stored
 from .tokens import Stretches, by_bytes, byte_level, sentence_pieces
 
-#: Tokens of one text whose ends are Python numbers at the same time; more if no ends meet among them.
+#: Tokens whose ends are Python numbers at the same time; more if no ends meet among them.
 WINDOW = 1 << 16
+_TEXT_BYTES = 1 << 20
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -80,83 +81,100 @@ def _windows(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, int, int]
         i, j = int(p), int(q)
 
 
-class Aligned:
-    """One text's groups: their number, the digest of their ids, and the last tokens of each."""
-
-    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, names_a: list[str], names_b: list[str]):
-        digest, first = hashlib.sha256(), True
-        lasts_a, lasts_b = [], []
-        for i0, i1, j0, j1 in _windows(ends_a, ends_b):
-            found = diagonal_runs(ends_a[i0:i1].tolist(), ends_b[j0:j1].tolist())
-            a = list(map(names_a.__getitem__, ids_a[i0:i1].tolist()))
-            b = list(map(names_b.__getitem__, ids_b[j0:j1].tolist()))
-            told: list[str] = []
-            for i, j, n, p, q in found:
-                if n:
-                    told += map("|".join, zip(a[i : i + n], b[j : j + n], strict=True))
-                    i += n
-                    j += n
-                if p:
-                    told.append(",".join(a[i : i + p]) + "|" + ",".join(b[j : j + q]))
-            if not first:
-                digest.update(b";")
-            digest.update(";".join(told).encode())
-            first = False
-            i, j, n, p, q = np.array(found, np.int64).T
-            many = n + (p > 0)
-            entry = np.repeat(np.arange(len(n)), many)
-            nth = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
-            over = nth >= n[entry]
-            lasts_a.append(i0 + i[entry] + np.where(over, n[entry] + p[entry] - 1, nth))
-            lasts_b.append(j0 + j[entry] + np.where(over, n[entry] + q[entry] - 1, nth))
-        self.sha256 = digest.hexdigest()
-        self.last_a = ids_a[np.concatenate(lasts_a)]
-        self.last_b = ids_b[np.concatenate(lasts_b)]
-
-
-def _sound(encoder: Stretches, ids: np.ndarray, ends: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Which texts are what their tokens' bytes make when they are joined."""
-    sizes = np.r_[0, np.cumsum(encoder.size_of[ids])][np.r_[0, ends]]
-    if (np.diff(sizes) == np.fromiter(map(len, texts), np.int64, len(texts))).all() and b"".join(map(encoder.bytes_of.__getitem__, ids.tolist())) == b"".join(texts):
-        return np.ones(len(texts), bool)
-    bounds = [0, *ends.tolist()]
-    return np.array([b"".join(map(encoder.bytes_of.__getitem__, ids[s:e].tolist())) == t for s, e, t in zip(bounds, bounds[1:], texts, strict=False)], bool)
-
-
-def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
+class Numbers:
+    """Decimal numbers below a bound, each with a comma after it, as one row of bytes."""
+
+    def __init__(self, bound: int):
+        told = [b"%d," % k for k in range(bound)]
+        self.bytes = np.frombuffer(b"".join(told), np.uint8)
+        self.length = np.fromiter(map(len, told), np.int64, bound)
+        self.start = np.cumsum(self.length) - self.length
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """The stretches of `source` one after the other."""
+    ends = np.cumsum(lengths)
+    return source[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def aligned(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, numbers: Numbers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By windows, for each group: places of its last tokens on either side, and the text of all groups with where each one's ends.
+
+    A group's text is its ids of A joined by commas, a bar, those of B, and a semicolon.
+    """
+    for i0, i1, j0, j1 in _windows(ends_a, ends_b):
+        i, j, n, p, q = np.array(diagonal_runs(ends_a[i0:i1].tolist(), ends_b[j0:j1].tolist()), np.int64).T
+        many = n + (p > 0)
+        entry = np.repeat(np.arange(len(n)), many)
+        nth = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
+        over = nth >= n[entry]
+        last_a = i[entry] + np.where(over, n[entry] + p[entry] - 1, nth)
+        last_b = j[entry] + np.where(over, n[entry] + q[entry] - 1, nth)
+        size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        # A group's tokens of A come before those of B, after both of all groups before.
+        at_a = np.arange(i1 - i0) + np.repeat(np.cumsum(size_b) - size_b, size_a)
+        at_b = np.arange(j1 - j0) + np.repeat(np.cumsum(size_a), size_b)
+        ids = np.empty(i1 - i0 + j1 - j0, np.int64)
+        ids[at_a], ids[at_b] = ids_a[i0:i1], ids_b[j0:j1]
+        text = _spread(numbers.start[ids], numbers.length[ids], numbers.bytes)
+        ends = np.cumsum(numbers.length[ids])
+        text[ends[at_a[last_a]] - 1] = ord("|")
+        text[ends[at_b[last_b]] - 1] = ord(";")
+        yield i0 + last_a, j0 + last_b, text, ends[at_b[last_b]]
+
+
+def _sound(encoder: Stretches, ids: np.ndarray, ends: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which texts, whose bytes `raw` are one after the other, are what their tokens' bytes make when they are joined."""
+    whole = np.r_[0, np.cumsum(encoder.size_of[ids])][np.r_[0, ends]]
+    sound = np.diff(whole) == sizes
+    if sound.all() and (_spread(encoder.starts[ids], encoder.size_of[ids], encoder.pool) == raw).all():
+        return sound
+    bounds, at = [0, *ends.tolist()], np.r_[0, np.cumsum(sizes)]
+    return np.array([b"".join(map(encoder.bytes_of.__getitem__, ids[s:e].tolist())) == raw[x:y].tobytes() for s, e, x, y in zip(bounds, bounds[1:], at, at[1:], strict=False)], bool)
+
+
+def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links) of every row.
 
     A text is encoded with a space before it: by the byte-level vocabulary `path_a`, special tokens'
     strings as plain text, and by the pieces of `path_b`. `links` holds a number for each pair of tokens
     that end together, made of both ids: id of A times B's number of ids plus id of B. Tokens have a
     byte at least, so that is one link a group. Texts that are null or empty, or whose tokens' bytes
-    aren't the text's, have no tokens: zeros, an empty string and no links. Documents move nowhere.
+    aren't the text's, have no tokens: zeros, an empty string and no links. Documents move nowhere. A
+    batch of texts is aligned as one: where a text ends both sides' tokens do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_level(path_a, True), sentence_pieces(path_b)
-        names_a, names_b = ([str(k) for k in range(len(x.bytes_of))] for x in (a, b))
-        for part in by_bytes(batches):
+        n_ids_b = len(b.bytes_of)
+        numbers = Numbers(max(len(a.bytes_of), n_ids_b))
+        for part in by_bytes(batches, 1, _TEXT_BYTES):
             texts = part.column(1).fill_null("")
-            ids_a, to_a = a.encode(texts, True)
-            ids_b, to_b = b.encode(texts, True)
-            raw = [b" " + t if t else b"" for t in pc.cast(texts, pa.binary()).to_pylist()]
-            sound = _sound(a, ids_a, to_a, raw) & _sound(b, ids_b, to_b, raw)
-            ends_a, ends_b = np.cumsum(a.size_of[ids_a]), np.cumsum(b.size_of[ids_b])
-            rows, links, many = [], [], [0]
-            for k, (i0, i1, j0, j1) in enumerate(zip([0, *to_a.tolist()], to_a.tolist(), [0, *to_b.tolist()], to_b.tolist(), strict=False)):
-                if not sound[k] or i0 == i1:
-                    rows.append((0, 0, 0, ""))
-                    many.append(0)
-                    continue
-                before_a, before_b = (ends_a[i0 - 1] if i0 else 0), (ends_b[j0 - 1] if j0 else 0)
-                found = Aligned(ids_a[i0:i1], ids_b[j0:j1], ends_a[i0:i1] - before_a, ends_b[j0:j1] - before_b, names_a, names_b)
-                rows.append((i1 - i0, j1 - j0, len(found.last_a), found.sha256))
-                links.append(found.last_a.astype(np.int64) * len(names_b) + found.last_b)
-                many.append(len(found.last_a))
-            n_a, n_b, n_groups, told = zip(*rows, strict=True)
-            kept = pa.ListArray.from_arrays(pa.array(np.cumsum(many), pa.int32()), pa.array(np.concatenate([*links, np.zeros(0, np.int64)])))
-            columns = [part.column(0), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_groups)), pa.array(told, pa.string()), kept]
+            sides = [(x, *x.encode(texts, True)) for x in (a, b)]
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes += sizes > 0
+            raw = np.frombuffer(b"".join([b" " + t for t in pc.cast(texts, pa.binary()).to_pylist() if t]), np.uint8)
+            sound = np.logical_and.reduce([_sound(x, ids, to, raw, sizes) for x, ids, to in sides])
+            counts = [np.where(sound, np.diff(to, prepend=0), 0) for _, _, to in sides]
+            if not sound.all():
+                sides = [(x, ids[np.repeat(sound, np.diff(to, prepend=0))], to) for x, ids, to in sides]
+            (_, ids_a, _), (_, ids_b, _) = sides
+            to_a = np.cumsum(counts[0])
+            links, groups = [np.zeros(0, np.int64)], np.zeros(len(sizes), np.int64)
+            digests = [hashlib.sha256() for _ in range(len(sizes))]
+            for last_a, last_b, text, ends in aligned(ids_a, ids_b, np.cumsum(a.size_of[ids_a]), np.cumsum(b.size_of[ids_b]), numbers):
+                links.append(ids_a[last_a].astype(np.int64) * n_ids_b + ids_b[last_b])
+                doc = np.searchsorted(to_a, last_a, side="right")
+                groups += np.bincount(doc, minlength=len(sizes))
+                final = np.flatnonzero(np.diff(doc, append=-1))
+                view, at = memoryview(text), 0
+                for d, end, whole in zip(doc[final].tolist(), ends[final].tolist(), (last_a[final] == to_a[doc[final]] - 1).tolist(), strict=True):
+                    digests[d].update(view[at : end - whole])
+                    at = end
+            told = [x.hexdigest() if n else "" for x, n in zip(digests, groups.tolist(), strict=True)]
+            kept = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(groups)].astype("<i4")), pa.array(np.concatenate(links)))
+            columns = [part.column(0), *map(pa.array, (*counts, groups, groups)), pa.array(told, pa.string()), kept]
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *_COUNTS, "groups_sha256", "links"])
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

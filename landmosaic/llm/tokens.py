@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,13 @@ class Stretches:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def keep_bytes(self, bytes_of: list[bytes]) -> None:
+        """Each id's bytes: as a list, and as stretches of one row."""
+        self.bytes_of = bytes_of
+        self.size_of = np.fromiter(map(len, bytes_of), np.int64, len(bytes_of))
+        self.pool = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.starts = np.cumsum(self.size_of) - self.size_of
+
     def whole(self, text: str) -> np.ndarray:
         """Ids of a text by itself."""
         raise NotImplementedError
@@ -58,18 +65,25 @@ class Stretches:
 
     def of(self, words: list[str]) -> list[bytes]:
         """As together(), of distinct words, most of which were met before."""
-        known, old = self.known, self.old
-        if len(known) >= MEMO_WORDS:
-            self.old = old = known
-            self.known = known = {}
-        known.update((w, old[w]) for w in words if w in old and w not in known)
-        new = [w for w in words if w not in known]
-        found: dict[str, bytes] = {}
+        if len(self.known) >= MEMO_WORDS:
+            self.known, self.old = {}, self.known
+        known = self.known
+        out = list(map(known.get, words))
+        lost = [k for k, x in enumerate(out) if x is None]
+        new = []
+        for k in lost:
+            w = words[k]
+            if (x := self.old.get(w)) is None:
+                new.append(k)
+            else:
+                out[k] = known[w] = x
         for at in range(0, len(new), TOGETHER):
             part = new[at : at + TOGETHER]
-            found.update(zip(part, self.together(part), strict=True))
-        known.update((w, x) for w, x in found.items() if len(w) <= LONGEST_KEPT)
-        return [known[w] if w in known else found[w] for w in words]
+            for k, x in zip(part, self.together([words[k] for k in part]), strict=True):
+                out[k] = x
+                if len(words[k]) <= LONGEST_KEPT:
+                    known[words[k]] = x
+        return out
 
     def uneven(self, texts: pa.Array) -> np.ndarray:
         """Which texts can't be cut at their spaces."""
@@ -116,26 +130,31 @@ class ByteLevel(Stretches):
 
     def __init__(self, path: str, plain: bool = False):
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = plain
+        self.path, self.plain = path, plain
         letters = byte_letters()
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         special = {x["content"]: x["id"] for x in told["added_tokens"]}
         vocab = {i: bytes(letters[c] for c in token) for token, i in told["model"]["vocab"].items() if token not in special}
         vocab |= {i: x.encode() for x, i in special.items()}
-        self.bytes_of = [vocab.get(i, b"") for i in range(max(vocab) + 1)]
-        self.size_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.keep_bytes([vocab.get(i, b"") for i in range(max(vocab) + 1)])
         if special and not plain:
             self.special = "|".join(map(_literal, special))
         # The same merges by the faster of the two public libraries, for words that hold nothing special.
         ranks = {b: i for i, b in vocab.items() if b not in {x.encode() for x in special}}
         self.merges = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own, for texts that can't be cut at spaces; not made before one comes."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        out.encode_special_tokens = self.plain
+        return out
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -163,8 +182,7 @@ class Pieces(Stretches):
         self.processor = SentencePieceProcessor(model_file=path)
         names = [self.processor.id_to_piece(i) for i in range(self.processor.vocab_size())]
         byte = [self.processor.is_byte(i) for i in range(len(names))]
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if b else p.replace(BLANK, " ").encode() for p, b in zip(names, byte, strict=True)]
-        self.size_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.keep_bytes([bytes([int(p[3:5], 16)]) if b else p.replace(BLANK, " ").encode() for p, b in zip(names, byte, strict=True)])
         self.opens = np.array([p.startswith(BLANK) and not b for p, b in zip(names, byte, strict=True)])
 
     def whole(self, text: str) -> np.ndarray:
