@@ -2,109 +2,133 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.expressions import array_sum, hann_weight
+from ..functions.expressions import hann_weight
 from .change import CELL
+from .moments import matrix, moments
+from .ordering import cut
 
 #: Added to each variance before a covariance matrix is inverted.
 RIDGE = 1e-9
+#: Bytes of classes that are compared with the pixels in one pass.
+BLOCK_BYTES = 8 << 20
 
 
 def signatures(pixels: DataFrame, label: str = "label", bands: str = "bands") -> DataFrame:
-    """(label, band, n, mean, stddev) of training pixels."""
-    long = pixels.select(label, F.posexplode(F.col(bands)).alias("band", "x"))
-    return long.groupBy(label, "band").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"))
+    """(label, band, n, mean, stddev) of training pixels; no stddev of a single one."""
+    found = moments(pixels, label, bands).select(label, "n", "scatter", F.size("mean").alias("d"), F.posexplode("mean").alias("band", "mean"))
+    variance = F.get("scatter", F.col("band") * (F.col("d") + 1)) / F.nullif(F.col("n") - 1, F.lit(0))
+    return found.select(label, "band", "n", "mean", F.sqrt(variance).alias("stddev"))
 
 
 def covariances(pixels: DataFrame, label: str = "label", bands: str = "bands") -> DataFrame:
-    """(label, band_a, band_b, covariance) for band_a <= band_b."""
-    pair = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size(bands) - 1), lambda i: F.transform(F.sequence(i, F.size(bands) - 1), lambda j: F.struct(i.alias("a"), j.alias("b"), F.get(bands, i).alias("x"), F.get(bands, j).alias("y"))))))
-    long = pixels.select(label, pair.alias("p")).select(label, F.col("p.a").alias("band_a"), F.col("p.b").alias("band_b"), F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
-    return long.groupBy(label, "band_a", "band_b").agg(F.covar_samp("x", "y").alias("covariance"))
+    """(label, band_a, band_b, covariance) for band_a <= band_b; null for a class of one pixel."""
+    found = moments(pixels, label, bands).select(label, "n", F.size("mean").alias("d"), F.posexplode("scatter").alias("at", "s"))
+    one = found.select(label, F.floor(F.col("at") / F.col("d")).cast("int").alias("band_a"), (F.col("at") % F.col("d")).alias("band_b"), (F.col("s") / F.nullif(F.col("n") - 1, F.lit(0))).alias("covariance"))
+    return one.where("band_a <= band_b")
 
 
 def class_means(pixels: DataFrame, label: str = "label", bands: str = "bands") -> DataFrame:
     """(label, means): one row for each class."""
-    rows = signatures(pixels, label, bands).groupBy(label).agg(F.array_sort(F.collect_list(F.struct("band", "mean"))).alias("m"))
-    return rows.select(label, F.transform("m", lambda x: x["mean"]).alias("means"))
+    return moments(pixels, label, bands).select(label, F.col("mean").alias("means"))
 
 
-def minimum_distance(pixels: DataFrame, means: DataFrame, key: list[str], label: str = "label", bands: str = "bands") -> DataFrame:
-    """key, class, distance2: the class with the nearest mean; ties to the smaller label.
+def _best(pixels: DataFrame, key: list[str], bands: str, classes: DataFrame, label: str, score: Callable, name: str, low: bool) -> DataFrame:
+    """key, class and `name`: the class with the best score; of equal ones the smaller label if low is best, else the larger.
 
-    The means are one row for each class and go to every task as one array, all of them: classes that
-    don't fit a task's memory are an error.
+    Classes (label and columns for `score`) come to the pixels in blocks of some BLOCK_BYTES, in order of
+    their labels; each block is one pass over the pixels that keeps the best so far, so no task and no
+    driver holds more than a block. A pixel with a missing band, or of another number of bands than a
+    class, has none of it.
     """
-    classes = means.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "means"))).alias("classes"))
-    far = lambda c: array_sum(F.zip_with(bands, c["means"], lambda a, b: (a - b) * (a - b)))
-    best = F.array_min(F.transform("classes", lambda c: F.struct(far(c).alias("d"), c["label"].alias("label"))))
-    return pixels.crossJoin(F.broadcast(classes)).select(*key, best.alias("b")).select(*key, F.col("b.label").alias("class"), F.col("b.d").alias("distance2"))
+    spark = pixels.sparkSession
+    kind = classes.schema[label].dataType
+    of_label = to_arrow_type(kind)
+    chosen = pixels.select(*key, F.col(bands).cast("array<double>").alias("bands"), F.lit(None).cast(kind).alias("class"), F.lit(None).cast("double").alias(name))
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
+    at_bands = len(key)
+
+    def compared(df: DataFrame, block: list[tuple]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                known = part.column(at_bands + 2)
+                best = known.fill_null(np.inf if low else -np.inf).to_numpy(zero_copy_only=False).copy()
+                some = known.is_valid().to_numpy(zero_copy_only=False).copy()
+                which = np.full(part.num_rows, -1)
+                at, x = matrix(part.column(at_bands))
+                for k, (_, *told) in enumerate(sent.value):
+                    if len(told[0]) != x.shape[1]:
+                        continue
+                    found = score(x, *told)
+                    wins = at[(found < best[at] if low else found >= best[at]) | ~some[at]]
+                    best[wins], which[wins], some[wins] = found[np.searchsorted(at, wins)], k, True
+                told = pa.array([None if w < 0 else sent.value[w][0] for w in which.tolist()], of_label)
+                label = pc.if_else(pa.array(which < 0), part.column(at_bands + 1), told)
+                yield pa.RecordBatch.from_arrays([*part.columns[: at_bands + 1], label, pa.array(best, pa.float64(), mask=~some)], [*key, "bands", "class", name])
+
+        return df.mapInArrow(run, given)
+
+    block, size, out, passes = [], 0, chosen, 0
+    for r in classes.orderBy(label).toLocalIterator():
+        told = tuple(np.array(x) if isinstance(x, list) else x for x in r)
+        block.append(told)
+        size += sum(x.nbytes for x in told if isinstance(x, np.ndarray))
+        if size >= BLOCK_BYTES:
+            out, block, size, passes = compared(cut(out) if passes else out, block), [], 0, passes + 1
+    if block:
+        out = compared(cut(out) if passes else out, block)
+    return out.select(*key, "class", name)
+
+
+def minimum_distance(pixels: DataFrame, means: DataFrame, key: list[str], label: str = "label", bands: str = "bands") -> DataFrame:
+    """key, class, distance2: the class with the nearest mean; ties to the smaller label; any number of classes, in blocks."""
+
+    def far(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        return ((x - mean) ** 2).sum(axis=1)
+
+    return _best(pixels, key, bands, means.select(label, "means"), label, far, "distance2", True)
 
 
 def _gaussians(training: DataFrame, label: str, bands: str) -> DataFrame:
-    """(label, logdet, means, whiten) of each class: |(x - means) whiten| is the Mahalanobis distance of x; whiten is row by row."""
+    """(label, means, whiten, logdet) of each class: |(x - means) whiten| is the Mahalanobis distance of x; whiten is row by row."""
     kind = training.schema[label].dataType.simpleString()
-    means = signatures(training, label, bands).select(label, F.col("band").alias("i"), F.lit(-1).alias("j"), F.col("mean").alias("x"))
-    pairs = covariances(training, label, bands).select(label, F.col("band_a").alias("i"), F.col("band_b").alias("j"), F.col("covariance").alias("x"))
 
-    def fitted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j, x = (rows[c].to_numpy() for c in "ijx")
-        own = j < 0
-        n = int(own.sum())
-        m, c = np.zeros(n), np.zeros((n, n))
-        m[i[own]] = x[own]
-        c[i[~own], j[~own]] = c[j[~own], i[~own]] = np.nan_to_num(x[~own].astype(float))
-        variances, axes = np.linalg.eigh(c)
-        variances = np.maximum(variances, 0.0) + RIDGE
-        return pd.DataFrame({label: [key[0]], "logdet": [float(np.log(variances).sum())], "means": [m], "whiten": [(axes / np.sqrt(variances)).ravel()]})
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told, logs = [], []
+            for n, mean, scatter in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                variances, axes = np.linalg.eigh(np.array(scatter).reshape(len(mean), len(mean)) / max(1, n - 1))
+                variances = np.maximum(variances, 0.0) + RIDGE
+                logs.append(float(np.log(variances).sum()))
+                told.append((axes / np.sqrt(variances)).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(told, pa.list_(pa.float64())), pa.array(logs, pa.float64())], [label, "means", "whiten", "logdet"])
 
-    return means.union(pairs).groupBy(label).applyInPandas(fitted, f"`{label}` {kind}, logdet double, means array<double>, whiten array<double>")
+    return moments(training, label, bands).mapInArrow(fitted, f"`{label}` {kind}, means array<double>, whiten array<double>, logdet double")
 
 
 def maximum_likelihood(pixels: DataFrame, training: DataFrame, key: list[str], label: str = "label", bands: str = "bands") -> DataFrame:
     """key, class, score: the Gaussian class of the highest log density over all bands; ties to the larger label.
 
-    Means and covariances are aggregated over all training pixels, and each class's matrix is inverted
-    in a task, with RIDGE added to the diagonal. The classes go to every task, all of them: classes
-    that don't fit its memory are an error. A pixel with a missing band has no class and no score.
+    Means and scatter are added up over all training pixels, and each class's matrix is inverted in a
+    task, with RIDGE added to the diagonal. Any number of classes, in blocks. A pixel with a missing band
+    has no class and no score.
     """
-    classes = []
-    for r in _gaussians(training, label, bands).toLocalIterator():
-        m = np.array(r.means)
-        classes.append((r[label], r.logdet, m, np.array(r.whiten).reshape(len(m), len(m))))
-    sent = pixels.sparkSession.sparkContext.broadcast(sorted(classes, key=lambda c: c[0]))
-    chosen = pixels.select(*key, F.col(bands).cast("array<double>").alias("bands"))
-    of_label = to_arrow_type(training.schema[label].dataType)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([c[0] for c in sent.value], dtype=object)
-        for part in batches:
-            column = part.column(len(key))
-            sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-            best, which = np.full(part.num_rows, -np.inf), np.full(part.num_rows, -1)
-            for size in np.unique(sizes[sizes > 0]).tolist():
-                at = np.flatnonzero(sizes == size)
-                x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                for k, (_, logdet, means, whiten) in enumerate(sent.value):
-                    if len(means) == size:
-                        z = (x - means) @ whiten
-                        score = -0.5 * (logdet + (z * z).sum(axis=1))
-                        wins = score >= best[at]
-                        best[at[wins]], which[at[wins]] = score[wins], k
-            none = which < 0
-            told = [None if w < 0 else names[w] for w in which.tolist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(key)], pa.array(told, of_label), pa.array(best, pa.float64(), mask=none)], [*key, "class", "score"])
-
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{given}, class {training.schema[label].dataType.simpleString()}, score double")
+
+    def density(x: np.ndarray, means: np.ndarray, whiten: np.ndarray, logdet: float) -> np.ndarray:
+        z = (x - means) @ whiten.reshape(len(means), len(means))
+        return -0.5 * (logdet + (z * z).sum(axis=1))
+
+    return _best(pixels, key, bands, _gaussians(training, label, bands), label, density, "score", False)
 
 
 def accept_patches(tiles: DataFrame, share: float = 0.5) -> DataFrame:

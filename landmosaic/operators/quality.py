@@ -25,7 +25,7 @@ def raster_rules(
 ) -> DataFrame:
     """Of described rasters (grid metadata and profile), by what the caller expects of them.
 
-    Columns band_count, band_names (array), tags (map) and values (array of the profile) are read by the rules on them only.
+    Columns band_count, band_names (array), tags (map) and outside (of a profile by the same codes) are read by the rules on them only.
     """
     t = F.col("transform")
     rules = {
@@ -47,7 +47,7 @@ def raster_rules(
         near = lambda k: F.abs(F.abs(F.get(t, F.lit(k))) - cell_m) <= max(1e-8, 1e-8 * cell_m)
         rules["cell_size_differs"] = ~F.coalesce(near(0) & near(4), F.lit(False))
     if codes is not None:
-        rules["unknown_codes"] = F.coalesce(F.size(F.array_except("values", F.array(*[F.lit(float(c)) for c in codes]))) > 0, F.lit(False))
+        rules["unknown_codes"] = F.col("outside") > 0
         rules["nodata_is_a_code"] = F.col("nodata").isin([float(c) for c in codes])
     count = F.coalesce("band_count", F.lit(0)) if bands is not None or least_bands is not None else None
     if bands is not None:
@@ -67,7 +67,9 @@ def raster_rules(
 
 
 def vector_rules(features: DataFrame, types: tuple[str, ...] = ("Polygon",)) -> DataFrame:
-    return violations(features, F.col("feature_id"), {"not_finite": ~F.col("finite"), "type_not_allowed": ~F.col("type").isin(*types), "ring_open": F.get("ring", F.lit(0)) != F.element_at("ring", -1), "too_few_points": F.size("ring") < 4})
+    """Of features of parse_features(): every ring of every part must be closed and have four points or more."""
+    rings = F.col("rings")
+    return violations(features, F.col("feature_id"), {"not_finite": ~F.col("finite"), "type_not_allowed": ~F.col("type").isin(*types), "ring_open": F.exists(rings, lambda r: F.get(r, F.lit(0)) != F.element_at(r, -1)), "too_few_points": F.exists(rings, lambda r: F.size(r) < 4)})
 
 
 def pool_rules(pools: DataFrame, columns: tuple[str, ...] = ("c_above", "c_below", "c_soil", "c_dead")) -> DataFrame:

@@ -283,8 +283,7 @@ def _(t):
 
 @query("p4_normalise_bands", "SELECT vec_id, CAST(band AS INTEGER) AS band, (x * 2 + 0.5 - band % 4 / 4.0) / (0.5 + band % 3) AS value FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS band, unnest(embedding)::DOUBLE AS x FROM embeddings)", "value")
 def _(t):
-    first = t("embeddings").select(F.size("embedding")).first()
-    n = first[0] if first else 0
+    n = t("embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
     normed = t("embeddings").select("vec_id", E.normalise_bands(F.transform("embedding", lambda x: x.cast("double")), 2.0, 0.5, [k % 4 / 4 for k in range(n)], [0.5 + k % 3 for k in range(n)]).alias("n"))
     return normed.select("vec_id", F.posexplode("n").alias("band", "value"))
 
@@ -322,11 +321,6 @@ def _(t):
     return classify.covariances(_pixels(t))
 
 
-@query("a35_covariances_all_bands", f"WITH {LONG} SELECT a.label, CAST(a.band AS INTEGER) AS band_a, CAST(b.band AS INTEGER) AS band_b, covar_samp(a.x, b.x) AS covariance FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.band <= b.band GROUP BY ALL", "covariance")
-def _(t):
-    return classify.covariances(_pixels(t))
-
-
 @query("m4_minimum_distance", f"WITH {LONG}, m AS (SELECT label AS class, band, avg(x) AS m FROM l GROUP BY ALL), d AS (SELECT vec_id, class, sum((x - m) * (x - m)) AS distance2 FROM l JOIN m USING (band) GROUP BY ALL) SELECT vec_id, class, distance2 FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance2, class) = 1", "distance2")
 def _(t):
     return classify.minimum_distance(_pixels(t), classify.class_means(_pixels(t)), ["vec_id"])

@@ -51,7 +51,7 @@ UNION ALL SELECT 'too_few_bands', entity FROM b WHERE n < 2 UNION ALL SELECT 'ba
 def _(t):
     k = F.col("p_partkey")
     more = t("part").select(k.cast("string").alias("id"), (k % 5).alias("band_count"), F.when(k % 5 == 2, F.array(F.lit("Blue"), F.lit("nir"))).otherwise(F.array(F.lit("RED"), F.lit(""), F.lit("nir"))).alias("band_names"), F.when(k % 6 == 1, F.create_map(F.lit("platform"), F.lit("GF-1"))).when(k % 6 == 2, F.create_map(F.lit("sensor"), F.lit("landsat-8"))).otherwise(F.create_map(F.lit("other"), F.lit("x"))).alias("tags"))
-    described = _grids(t).join(S.profile(_part_cells(t), values=True), "raster_id", "left").join(more, F.col("raster_id") == F.col("id"))
+    described = _grids(t).join(S.profile(_part_cells(t), codes=list(range(45))), "raster_id", "left").join(more, F.col("raster_id") == F.col("id"))
     found = quality.raster_rules(described, cell_m=30.0, codes=list(range(45)), bands=3, least_bands=2, band_names=["red", "nir"], sensor="Landsat-8", depth=True)
     return found.where(~F.col("rule").isin("crs_missing", "empty_grid", "not_projected_metres", "nodata_missing", "cell_not_square", "non_finite_values", "no_valid_cells"))
 
@@ -126,7 +126,9 @@ def _(t):
     point = lambda x, y: F.array(F.lit(float(x)), y if not isinstance(y, (int, float)) else F.lit(float(y)))
     ring = F.array(point(0, 0), point(1, 0), point(1, F.when(k % 7 == 0, F.lit(float("nan"))).otherwise(F.lit(1.0))), point(0, F.when(k % 5 == 0, F.lit(0.5)).otherwise(F.lit(0.0))))
     features = t("supplier").select(k.alias("feature_id"), F.when(k % 3 == 0, "Point").otherwise("Polygon").alias("type"), ring.alias("ring"))
-    return quality.vector_rules(features.withColumn("finite", F.forall("ring", lambda p: F.forall(p, E.finite))))
+    # The first ring is sound, what may be wrong is the second one.
+    square = F.expr("array(array(0.0D, 0.0D), array(9.0D, 0.0D), array(9.0D, 9.0D), array(0.0D, 0.0D))")
+    return quality.vector_rules(features.withColumn("finite", F.forall("ring", lambda p: F.forall(p, E.finite))).withColumn("rings", F.array(square, F.col("ring"))))
 
 
 @query("q3_pool_rules", "WITH p AS (SELECT s_suppkey AS k, s_nationkey AS lucode FROM supplier) SELECT 'lucode_repeated' AS rule, CAST(lucode AS VARCHAR) AS entity FROM p WHERE lucode IN (SELECT lucode FROM p GROUP BY lucode HAVING count(*) > 1) UNION ALL SELECT 'c_above_blank', CAST(lucode AS VARCHAR) FROM p WHERE k % 5 = 0 UNION ALL SELECT 'c_below_not_a_number', CAST(lucode AS VARCHAR) FROM p WHERE k % 7 = 0 UNION ALL SELECT 'c_soil_negative', CAST(lucode AS VARCHAR) FROM p WHERE k % 11 = 0")

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import depth_m, finite
 from ..schemas import require
+from .profiles import profile
+
+__all__ = ["profile"]
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None = None) -> DataFrame:
@@ -62,23 +65,6 @@ def describe(cells: DataFrame, grids: DataFrame) -> DataFrame:
     return grids.join(profile(cells), "raster_id", "left")
 
 
-def profile(cells: DataFrame, most_distinct: int = 4096, values: bool = False) -> DataFrame:
-    """(raster_id, low, high, non_finite, distinct, integer): the distinct count is null above `most_distinct`.
-
-    With `values` also the distinct values in order, where there are not too many. Distinct values are
-    counted from a grouped table, so no task holds a raster's values.
-    """
-    counts = cells.where("value IS NOT NULL").groupBy("raster_id", "value").agg(F.count("*").alias("n"))
-    ok = finite("value")
-    v = F.when(ok, F.col("value"))
-    sums = counts.groupBy("raster_id").agg(F.min(v).alias("low"), F.max(v).alias("high"), F.sum(F.when(ok, 0).otherwise(F.col("n"))).alias("non_finite"), F.count(v).alias("kinds"), F.min((v == F.floor(v)).cast("int")).alias("whole"))
-    out = sums.select("raster_id", "low", "high", "non_finite", F.when(F.col("kinds") <= most_distinct, F.col("kinds")).alias("distinct"), (F.col("whole") == 1).alias("integer"))
-    if not values:
-        return out
-    few = counts.where(ok).join(out.where("distinct IS NOT NULL").select("raster_id"), "raster_id", "left_semi")
-    return out.join(few.groupBy("raster_id").agg(F.array_sort(F.collect_list(F.col("value").cast("double"))).alias("values")), "raster_id", "left")
-
-
 def parse_points(lines: DataFrame, x: int = 0, y: int = 1, w: int = 2, delimiter: str | None = None, unit: str = "mm", negative_down: bool = True, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(x, y, w, value) of point lines (value), with value the depth in m; and the lines that are no points.
 

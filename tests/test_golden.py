@@ -174,7 +174,7 @@ def test_all_bands_count(spark, tmp_path):
         scores.append(-0.5 * (np.linalg.slogdet(c)[1] + np.einsum("ni,ij,nj->n", d, np.linalg.inv(c), d)))
     assert {r.vec_id: r["class"] for r in got} == dict(enumerate(label.tolist()))
     assert [r.score for r in sorted(got)] == pytest.approx(np.max(scores, axis=0).tolist())
-    cov = {(r.label, r.band_a, r.band_b): r.covariance for r in registry.queries()["a35_covariances_all_bands"](spark, str(tmp_path)).collect()}
+    cov = {(r.label, r.band_a, r.band_b): r.covariance for r in registry.queries()["a35_covariances"](spark, str(tmp_path)).collect()}
     assert len(cov) == 2 * 12 * 13 // 2 and cov[1, 3, 11] == pytest.approx(np.cov(x[label == 1].T)[3, 11], abs=1e-6)
 
 
