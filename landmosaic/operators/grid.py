@@ -118,6 +118,34 @@ def tile_grid(grids: DataFrame, patch: int, stride: int) -> DataFrame:
     return grids.select("raster_id", F.col("width"), F.explode(tile_starts(F.col("height"), patch, stride)).alias("tile_row")).select("raster_id", "tile_row", F.explode(tile_starts(F.col("width"), patch, stride)).alias("tile_col"))
 
 
+def centred_tiles(grids: DataFrame, patch: int, stride: int) -> DataFrame:
+    """(raster_id, out_row, out_col, tile_row, tile_col) of grids (raster_id, width, height): a patch for each stride x stride block, the block in its middle.
+
+    Patches reach (patch - stride) / 2 cells over the block on all sides, and over the raster's edge at
+    its border; tile_row and tile_col are then below 0, in halves if the difference is odd.
+    """
+    starts = lambda length: F.when(F.col(length) > 0, F.sequence(F.lit(0), (F.col(length) - 1).cast("int"), F.lit(stride)))
+    each = grids.select("raster_id", "width", F.explode(starts("height")).alias("r")).select("raster_id", "r", F.explode(starts("width")).alias("c"))
+    over = (patch - stride) / 2
+    return each.select("raster_id", (F.col("r") / stride).cast("int").alias("out_row"), (F.col("c") / stride).cast("int").alias("out_col"), (F.col("r") - over).alias("tile_row"), (F.col("c") - over).alias("tile_col"))
+
+
+def centred_patches(cells: DataFrame, patch: int, stride: int, share: float = 0.5) -> DataFrame:
+    """(raster_id, out_row, out_col, valid_cells, mean, accepted) of the patch in whose middle each block of a raster (raster_id, row, col, value) lies.
+
+    Cells beyond the edge count as NoData. Each cell goes to the patches that hold it, (patch / stride)
+    squared of them; sums are put together by task. The difference of patch and stride must be even.
+    Only patches in whose reach some valid cell lies have a row.
+    """
+    if (patch - stride) % 2:
+        raise ValueError("patch and stride must differ by an even number")
+    over = (patch - stride) // 2
+    blocks = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(c) + over - patch + 1) / stride)), F.floor((F.col(c) + over) / stride)))
+    valid = cells.where("value IS NOT NULL")
+    sums = valid.withColumn("out_row", blocks("row")).withColumn("out_col", blocks("col")).groupBy("raster_id", "out_row", "out_col").agg(F.count("*").alias("valid_cells"), F.avg("value").alias("mean"))
+    return sums.withColumn("accepted", F.col("valid_cells") / (patch * patch) >= share)
+
+
 def over_years(cells: DataFrame, how: str = "mean") -> DataFrame:
     """(row, col, year, value): several layers of a year (…, year, value) to one by mean or sum."""
     f = {"sum": F.sum, "mean": F.avg}[how]

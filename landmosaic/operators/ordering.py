@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, so on one machine."""
+    """The folder that driver and executors share; a local one only where the session names none and runs on one machine."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="spark-shared-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -47,3 +49,16 @@ def running_total(df: DataFrame, by: list[str], order: list[Column], amount: Col
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """Adds the row's number, from 1, among those of the same `by`."""
     return running_total(df, by, order, F.lit(1).cast("long"), name)
+
+
+def preceding(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds the next lower `value` among the rows of the same `by`, null for the lowest; values must be distinct there.
+
+    Rows are dealt to ranges of (by, value); the lowest row of a range takes the highest of the range before.
+    """
+    ranged = cut(df.repartitionByRange(*[F.col(c) for c in by], F.col(value)).withColumn("_range", F.spark_partition_id()))
+    ends = ranged.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_range").alias("_of_range")).agg(F.max(value).alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*[f"_of_{c}" for c in by]).orderBy("_of_range"))).drop("_end")
+    on = [F.col("_range") == F.col("_of_range"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]]
+    within = F.lag(value).over(Window.partitionBy("_range", *by).orderBy(value))
+    return ranged.withColumn(name, within).join(before, on).withColumn(name, F.coalesce(name, "_before")).select(*df.columns, name)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import driver_kind, finite, method_allowed
+from .ordering import preceding
 
 
 def violations(df: DataFrame, entity: Column, rules: dict[str, Column]) -> DataFrame:
@@ -265,9 +266,20 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def point_grid_audit(points: DataFrame) -> DataFrame:
-    """One row for points (x, y): their number, repeated ones, rows, columns, whether the grid is full, spacings, and the widest step."""
+def point_grid_audit(points: DataFrame, apart: int = 2) -> DataFrame:
+    """One row for points (x, y, w): their number, repeated ones, rows, columns, whether the grid is full, spacings, the widest step, and what is odd about w.
+
+    `missing` counts values that aren't finite numbers, `odd_magnitude` those whose power of ten is
+    `apart` or more from the median power of all that aren't 0. Steps along a row are found by ranges of
+    (y, x), so no task holds a row; powers of ten are a few numbers.
+    """
     kinds = points.groupBy("x", "y").agg(F.count("*").alias("n"))
-    steps = kinds.withColumn("step", F.col("x") - F.lag("x").over(Window.partitionBy("y").orderBy("x")))
+    steps = preceding(kinds, ["y"], "x", "before").withColumn("step", F.col("x") - F.col("before"))
     s = steps.agg(F.sum("n").alias("points"), F.count_if(F.col("n") > 1).alias("repeated"), F.countDistinct("y").alias("rows"), F.countDistinct("x").alias("columns"), F.countDistinct("step").alias("spacings"), F.max("step").alias("widest"), F.count("*").alias("places"))
-    return s.select("points", "repeated", "rows", "columns", (F.col("places") == F.col("rows") * F.col("columns")).alias("full"), "spacings", "widest")
+    w = F.col("w").cast("double")
+    sound = F.coalesce(finite(w), F.lit(False))
+    powers = points.groupBy(sound.alias("sound"), F.when(sound & (w != 0), F.floor(F.log10(F.abs(w)))).alias("power")).agg(F.count("*").alias("n"))
+    upto = powers.where("power IS NOT NULL").withColumns({"upto": F.sum("n").over(Window.orderBy("power")), "all": F.sum("n").over(Window.partitionBy())})
+    median = upto.agg(F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("power"))).alias("median"))
+    odd = powers.crossJoin(F.broadcast(median)).agg(F.coalesce(F.sum(F.when(~F.col("sound"), F.col("n"))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.when(F.abs(F.col("power") - F.col("median")) >= apart, F.col("n"))), F.lit(0)).alias("odd_magnitude"))
+    return s.crossJoin(F.broadcast(odd)).select("points", "repeated", "rows", "columns", (F.col("places") == F.col("rows") * F.col("columns")).alias("full"), "spacings", "widest", "missing", "odd_magnitude")

@@ -60,15 +60,11 @@ def score_metadata(table: DataFrame, criteria: list[Criterion]) -> DataFrame:
     return stats.select(F.inline(rows))
 
 
-def sensitivity(table: DataFrame, criteria: list[Criterion], delta: float, order: str) -> DataFrame:
-    """How scores and ranks move if one weight is a part `delta` smaller or larger and all are brought to sum 1.
-
-    Ranks go by falling score, ties by `order`. They are exact over the whole table, and numbered by ranges of scores.
-    """
+def _variants(table: DataFrame, criteria: list[Criterion], delta: float, order: str) -> tuple[DataFrame, Column]:
+    """Scores of all rows, and an array of (criterion, direction, perturbed_weight, changed) of each row."""
     if not 0 < delta < 1:
         raise ValueError("delta must lie between 0 and 1")
     base = normalised_weights(criteria)
-    scored = numbered(score(table, criteria, [order]), [], [F.desc("score"), F.col(order)], "r0")
     variants = []
     for k, c in enumerate(criteria):
         for direction, factor in (("decrease", 1 - delta), ("increase", 1 + delta)):
@@ -77,10 +73,30 @@ def sensitivity(table: DataFrame, criteria: list[Criterion], delta: float, order
             variants.append((c.field, direction, [w / s for w in changed], changed[k] / s))
     score_of = lambda ws: total([F.col(f"norm_{c.field}") * w for c, w in zip(criteria, ws, strict=True)])
     rows = F.array(*[F.struct(F.lit(f).alias("criterion"), F.lit(d).alias("direction"), F.lit(p).alias("perturbed_weight"), score_of(ws).alias("changed")) for f, d, ws, p in variants])
-    long = scored.select(order, "score", "r0", F.inline(rows))
-    ranked = numbered(long, ["criterion", "direction"], [F.desc("changed"), F.col(order)], "r1")
-    moved, shift = F.abs(F.col("changed") - F.col("score")), F.abs(F.col("r1") - F.col("r0"))
-    return ranked.groupBy("criterion", "direction").agg(F.max("perturbed_weight").alias("perturbed_weight"), F.avg(moved).alias("mean_change"), F.max(moved).alias("max_change"), F.count_if(shift > 0).alias("rank_changes"), F.max(shift).cast("long").alias("max_rank_shift"))
+    return score(table, criteria, [order]), rows
+
+
+def _changes() -> list[Column]:
+    moved = F.abs(F.col("changed") - F.col("score"))
+    return [F.max("perturbed_weight").alias("perturbed_weight"), F.avg(moved).alias("mean_change"), F.max(moved).alias("max_change")]
+
+
+def score_changes(table: DataFrame, criteria: list[Criterion], delta: float, order: str) -> DataFrame:
+    """(criterion, direction, perturbed_weight, mean_change, max_change) as of sensitivity(), in one pass without ranks."""
+    scored, rows = _variants(table, criteria, delta, order)
+    return scored.select("score", F.inline(rows)).groupBy("criterion", "direction").agg(*_changes())
+
+
+def sensitivity(table: DataFrame, criteria: list[Criterion], delta: float, order: str) -> DataFrame:
+    """How scores and ranks move if one weight is a part `delta` smaller or larger and all are brought to sum 1.
+
+    Ranks go by falling score, ties by `order`. They are exact over the whole table, and numbered by ranges of scores.
+    """
+    scored, rows = _variants(table, criteria, delta, order)
+    first = numbered(scored, [], [F.desc("score"), F.col(order)], "r0")
+    ranked = numbered(first.select(order, "score", "r0", F.inline(rows)), ["criterion", "direction"], [F.desc("changed"), F.col(order)], "r1")
+    shift = F.abs(F.col("r1") - F.col("r0"))
+    return ranked.groupBy("criterion", "direction").agg(*_changes(), F.count_if(shift > 0).alias("rank_changes"), F.max(shift).cast("long").alias("max_rank_shift"))
 
 
 def judgement_rows(judgements: DataFrame) -> DataFrame:

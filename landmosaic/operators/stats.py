@@ -200,10 +200,16 @@ def factor_permutation_p(samples: DataFrame, target: str, factors: list[str], un
 
 
 def best_candidate(candidates: DataFrame, modelled: str, observed: float, by: list[str], ordinal: str) -> DataFrame:
-    """Adds absolute_error, relative_error and selected: the candidate closest to the observation; ties by ordinal."""
+    """Adds absolute_error, relative_error and selected: the candidate closest to the observation; ties by ordinal, which tells candidates apart.
+
+    A candidate without a value is never selected. The best of each group is a minimum, put together by task, and is joined back.
+    """
     error = F.abs(F.col(modelled) - observed)
-    order = Window.partitionBy(*by).orderBy("absolute_error", ordinal)
-    return candidates.withColumn("absolute_error", error).withColumn("relative_error", error / abs(observed)).withColumn("selected", F.row_number().over(order) == 1)
+    scored = candidates.withColumn("absolute_error", error).withColumn("relative_error", error / abs(observed))
+    best = scored.where("absolute_error IS NOT NULL").groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.min(F.struct("absolute_error", ordinal)).alias("_best"))
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    mine = F.coalesce((F.col("absolute_error") == F.col("_best.absolute_error")) & F.col(ordinal).eqNullSafe(F.col(f"_best.{ordinal}")), F.lit(False))
+    return scored.join(best, on, "left").withColumn("selected", mine).select(*scored.columns, "selected")
 
 
 def driver_diagnostics(table: DataFrame, drivers: list[str]) -> DataFrame:

@@ -253,6 +253,16 @@ def _(t):
     return grid.tile_grid(t("part").select(F.col("p_partkey").alias("raster_id"), (F.col("p_size") + 40).alias("width"), (F.col("p_size") + 40).alias("height")), 32, 24)
 
 
+@query("w9_centred_tiles", "WITH r AS (SELECT p_partkey AS raster_id, p_size AS h, p_size + 7 AS w FROM part) SELECT raster_id, CAST(y.x AS INTEGER) AS out_row, CAST(z.x AS INTEGER) AS out_col, y.x * 4 - 6.0 AS tile_row, z.x * 4 - 6.0 AS tile_col FROM r, range(100) y(x), range(100) z(x) WHERE y.x * 4 < h AND z.x * 4 < w", "tile_row tile_col")
+def _(t):
+    return grid.centred_tiles(t("part").select(F.col("p_partkey").alias("raster_id"), (F.col("p_size") + 7).alias("width"), F.col("p_size").alias("height")), 16, 4)
+
+
+@query("w9_centred_patches", "WITH b AS (SELECT DISTINCT row // 4 AS y, col // 4 AS x FROM (SELECT o_orderkey // 100 AS row, o_orderkey % 100 AS col FROM orders)), r AS (SELECT max(row) // 4 AS h FROM g), a AS (SELECT y.x AS y, x.x AS x FROM r, range(1000000) y(x), range(27) x(x) WHERE y.x <= h + 1) SELECT 't1' AS raster_id, a.y AS out_row, a.x AS out_col, count(*) AS valid_cells, avg(t1) AS mean, count(*) / 100.0 >= 0.5 AS accepted FROM a JOIN g ON g.row BETWEEN a.y * 4 - 3 AND a.y * 4 + 6 AND g.col BETWEEN a.x * 4 - 3 AND a.x * 4 + 6 GROUP BY ALL", "mean")
+def _(t):
+    return grid.centred_patches(t.g.select(F.lit("t1").alias("raster_id"), "row", "col", F.col("t1").alias("value")), 10, 4)
+
+
 TILE = "p AS (SELECT (row // 16) * 12 AS tr, (col // 16) * 12 AS tc, row % 16 AS dy, col % 16 AS dx, t0, k % 13 <> 0 AS ok FROM g), w AS (SELECT tr + dy AS row, tc + dx AS col, t0, CASE WHEN ok THEN greatest((0.5 - 0.5 * cos(2 * pi() * dy / 15)) * (0.5 - 0.5 * cos(2 * pi() * dx / 15)), 0.05) ELSE 0 END AS w FROM p)"
 
 

@@ -247,9 +247,17 @@ def _(t):
     return quality.aggregation_advice(t("supplier").select(F.col("s_name").alias("field"), F.element_at(F.array(*map(F.lit, ("mm", "Index", "t"))), (k % 3 + 1).cast("int")).alias("unit"), F.when(k % 2 == 0, "sum").otherwise("mean").alias("aggregation")))
 
 
-@query("q19_point_grid_audit", "WITH p AS (SELECT CAST(l_suppkey AS DOUBLE) AS x, CAST(l_linenumber AS DOUBLE) AS y FROM lineitem), k AS (SELECT x, y, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT *, x - lag(x) OVER (PARTITION BY y ORDER BY x) AS step FROM k) SELECT CAST(sum(n) AS BIGINT) AS points, count(*) FILTER (n > 1) AS repeated, count(DISTINCT y) AS rows, count(DISTINCT x) AS columns, count(*) = count(DISTINCT x) * count(DISTINCT y) AS full, count(DISTINCT step) AS spacings, max(step) AS widest FROM s")
+W = "CASE WHEN l_orderkey % 41 = 0 THEN NULL WHEN l_orderkey % 43 = 0 THEN 'NaN'::DOUBLE WHEN l_orderkey % 47 = 0 THEN l_quantity * 1000 WHEN l_orderkey % 53 = 0 THEN 0 ELSE -l_quantity END"
+
+
+@query("q19_point_grid_audit", f"""WITH p AS (SELECT CAST(l_suppkey AS DOUBLE) AS x, CAST(l_linenumber AS DOUBLE) AS y, {W} AS w FROM lineitem), k AS (SELECT x, y, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT *, x - lag(x) OVER (PARTITION BY y ORDER BY x) AS step FROM k),
+m AS (SELECT floor(log10(abs(w))) AS power FROM p WHERE w <> 0 AND NOT isnan(w)), o AS (SELECT quantile_disc(power, 0.5) AS median FROM m)
+SELECT CAST(sum(n) AS BIGINT) AS points, count(*) FILTER (n > 1) AS repeated, count(DISTINCT y) AS rows, count(DISTINCT x) AS columns, count(*) = count(DISTINCT x) * count(DISTINCT y) AS full, count(DISTINCT step) AS spacings, max(step) AS widest,
+  (SELECT count(*) FROM p WHERE w IS NULL OR isnan(w)) AS missing, (SELECT count(*) FROM m, o WHERE abs(power - median) >= 2) AS odd_magnitude FROM s""")
 def _(t):
-    return quality.point_grid_audit(t("lineitem").select(F.col("l_suppkey").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y")))
+    k, q = F.col("l_orderkey"), F.col("l_quantity").cast("double")
+    w = F.when(k % 41 == 0, None).when(k % 43 == 0, F.lit(float("nan"))).when(k % 47 == 0, q * 1000).when(k % 53 == 0, F.lit(0.0)).otherwise(-q)
+    return quality.point_grid_audit(t("lineitem").select(F.col("l_suppkey").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"), w.alias("w")))
 
 
 @query("o3_year_rules", "WITH y AS (SELECT n_nationkey AS ordinal, n_name AS raster_id, CAST(1890 + n_nationkey * 20 % 220 AS INTEGER) AS year FROM nation), m AS (SELECT *, count(*) OVER (PARTITION BY year) AS n, lag(year) OVER (ORDER BY ordinal) AS b FROM y) SELECT 'year_out_of_range' AS rule, raster_id AS entity FROM m WHERE NOT year BETWEEN 1900 AND 2200 UNION ALL SELECT 'year_repeated', raster_id FROM m WHERE n > 1 UNION ALL SELECT 'not_chronological', raster_id FROM m WHERE year < b")

@@ -1,9 +1,9 @@
 """Queries of scoring."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import scoring, stats
+from ..operators.ordering import numbered
 from ..operators.scoring import Criterion
 from .registry import query
 
@@ -40,7 +40,7 @@ s AS (SELECT criterion, direction, unit_id, CASE criterion WHEN 'spend' THEN ws
 
 @query("a34_weight_sensitivity", f"WITH {SENSITIVITY} SELECT criterion, direction, max(w) AS perturbed_weight, avg(abs(changed - score)) AS mean_change, max(abs(changed - score)) AS max_change FROM s GROUP BY ALL", "perturbed_weight mean_change max_change")
 def _(t):
-    return scoring.sensitivity(t.units, CRITERIA, 0.1, "unit_id").drop("rank_changes", "max_rank_shift")
+    return scoring.score_changes(t.units, CRITERIA, 0.1, "unit_id")
 
 
 @query("w2_rank_shifts", f"WITH {SENSITIVITY}, r AS (SELECT criterion, direction, row_number() OVER (PARTITION BY criterion, direction ORDER BY score DESC, unit_id) AS r0, row_number() OVER (PARTITION BY criterion, direction ORDER BY changed DESC, unit_id) AS r1 FROM s) SELECT criterion, direction, count(*) FILTER (r0 <> r1) AS rank_changes, max(abs(r1 - r0)) AS max_rank_shift FROM r GROUP BY ALL")
@@ -48,9 +48,9 @@ def _(t):
     return scoring.sensitivity(t.units, CRITERIA, 0.1, "unit_id").select("criterion", "direction", "rank_changes", "max_rank_shift")
 
 
-@query("w2_ordinal_rank", "SELECT scenario, unit_id, CAST(row_number() OVER (PARTITION BY scenario ORDER BY orders DESC, unit_id) AS INTEGER) AS rank FROM units")
+@query("w2_ordinal_rank", "SELECT scenario, unit_id, row_number() OVER (PARTITION BY scenario ORDER BY orders DESC, unit_id) AS rank FROM units")
 def _(t):
-    return t.units.select("scenario", "unit_id", F.row_number().over(Window.partitionBy("scenario").orderBy(F.desc("orders"), "unit_id")).alias("rank"))
+    return numbered(t.units.select("scenario", "unit_id", "orders"), ["scenario"], [F.desc("orders"), F.col("unit_id")], "rank").drop("orders")
 
 
 def _judgements(t):
