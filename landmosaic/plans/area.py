@@ -1,11 +1,15 @@
 """Queries of change, accuracy and carbon."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions.expressions import non_negative
 from ..operators import accuracy, carbon, change
+from ..operators.ordering import shared_dir
 from ..operators.stats import melt
 from ..schemas import class_scheme
+from ..sources import rasters
 from .registry import CELL_M2, query
 
 HA = "pixel_count * 0.09 AS area_ha"
@@ -33,6 +37,18 @@ def _(t):
     return change.pair(t.cells("t0", "k").where("k % 7 <> 0"), t.cells("t1", "k").where("k % 11 <> 0"))
 
 
+@query("j1_bucketed_transitions", "SELECT t0 AS source, t1 AS target, count(*) AS pixel_count, count(*) * 0.09 AS area_ha FROM g GROUP BY ALL", "area_ha")
+def _(t):
+    """Two rasters stored in buckets by cell: their join shuffles neither."""
+    told = []
+    for layer in ("t0", "t1"):
+        name = f"raster_{uuid4().hex}"
+        path = f"{shared_dir(t.spark)}/{name}"
+        rasters.write_raster(t.cells(layer), name, path, 8)
+        told.append(rasters.read_raster(t.spark, name, path, "bigint", 8))
+    return change.transition_matrix(*told, CELL_M2)
+
+
 @query("p2_in_scheme", "SELECT row, col, t0 AS source, t1 AS target FROM g WHERE t0 <> 6 AND t1 <> 6")
 def _(t):
     return change.in_scheme(change.pair(t.cells("t0"), t.cells("t1")), class_scheme(t.spark).where("code <> 6"))

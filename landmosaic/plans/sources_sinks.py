@@ -120,6 +120,19 @@ def _(t):
     return features.select("feature_id", "type", "finite", F.size("ring").alias("points"), F.element_at(F.element_at("ring", 1), 1).alias("x0"))
 
 
+@query("s4_collection_by_ranges", f"WITH {POLYGONS} SELECT printf('r%05d_c%05d', ur, uc) AS feature_id, 'Polygon' AS type, true AS finite, 500000.0 + uc * 15 * 30 AS x0, 3700000.0 - ur * 15 * 30 AS y0 FROM u", "x0 y0")
+def _(t):
+    """One file that is a collection of all features, read by ranges of 4 KB."""
+    path = _place(t.spark)
+    lines = S.to_geojson(_polygons(t)).select(F.concat(F.lit(","), "value").alias("value"))
+    head = t.spark.createDataFrame([('{"type": "FeatureCollection", "features": [{"type": "Note", "says": "}]{\\""}',)], "value string")
+    # Written in order by one task: the file is one text.
+    head.union(lines).union(t.spark.createDataFrame([("]}",)], "value string")).coalesce(1).write.text(path)
+    features = S.read_features(t.spark, path, 4096)
+    corner = F.element_at(F.element_at("rings", 1), 1)
+    return features.select("feature_id", "type", "finite", corner[0].alias("x0"), corner[1].alias("y0"))
+
+
 @query("s4_multi_polygons", "SELECT CAST(s_suppkey AS VARCHAR) AS feature_id, CASE WHEN s_suppkey % 3 = 0 THEN 'MultiPolygon' WHEN s_suppkey % 3 = 1 THEN 'Polygon' ELSE 'Point' END AS type, CASE WHEN s_suppkey % 3 < 2 THEN 2 END AS rings, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 0.5 WHEN s_suppkey % 3 = 1 THEN 0.25 END AS last_x, true AS finite FROM supplier", "last_x")
 def _(t):
     k = F.col("s_suppkey")
@@ -142,7 +155,7 @@ def _(t):
 @query("s10_file_inventory")
 def _(t):
     files = S.inventory(t.spark, f"{t.dir}/supplier.parquet", "input").union(S.inventory(t.spark, f"{t.dir}/orders.parquet", "input"))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256", "stage")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "type", "bytes", "sha256", "stage")
 
 
 @query("s10_directory_digest")

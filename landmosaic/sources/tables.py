@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import depth_m, finite
+from ..operators.ordering import cut
 from ..schemas import require
 from .profiles import profile
+from .ranges import RANGE_BYTES, digests, feature_texts, files, known_store, named
 
 __all__ = ["profile"]
 
@@ -108,9 +114,9 @@ def parse_features(texts: DataFrame, value: str = "value") -> DataFrame:
     return told.select("feature_id", "type", "ring", "rings", (F.coalesce(sound, F.lit(False)) | F.col("at")).alias("finite"))
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Features of whole files, each read as one text."""
-    return parse_features(spark.read.option("wholetext", True).text(path))
+def read_features(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Features of the GeoJSON files below a path, read by ranges of bytes."""
+    return parse_features(feature_texts(spark, path, range_bytes))
 
 
 def to_geojson(polygons: DataFrame) -> DataFrame:
@@ -126,13 +132,39 @@ def metrics(reports: DataFrame) -> DataFrame:
 
 
 def inventory(spark: SparkSession, path: str, stage: str, root: str | None = None) -> DataFrame:
-    """(path, bytes, sha256, stage) of the files below a path, but for empty ones; with a root, paths are relative to it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    told = F.substring_index("path", root.rstrip("/") + "/", -1) if root else F.col("path")
-    return files.select(told.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit(stage).alias("stage"))
+    """(path, type, bytes, sha256, stage) of the files below a path, of any size; with a root, paths are relative to it.
+
+    The type is the name's ending in lower case, or `file`. Tasks read files as streams; in a store that
+    Arrow doesn't know, Spark reads them whole, which ends at 2 GB.
+    """
+    listed = files(spark, path, empty=True)
+    first = listed.first()
+    if first is None or known_store(first.uri):
+        found = digests(listed.repartition(F.col("uri")))
+    else:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        some = read.select(named(F.col("_metadata.file_path")).alias("uri"), F.sha2("content", 256).alias("sha256"))
+        found = listed.join(some, "uri", "left").withColumn("sha256", F.coalesce("sha256", F.sha2(F.lit(b""), 256)))
+    plain = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    name = F.substring_index(plain, "/", -1)
+    ending = F.lower(F.regexp_extract(name, r"^.+\.([^.]+)$", 1))
+    told = F.substring_index(plain, root.rstrip("/") + "/", -1) if root else plain
+    return found.select(told.alias("path"), F.when(ending != "", ending).otherwise("file").alias("type"), F.col("length").alias("bytes"), "sha256", F.lit(stage).alias("stage"))
 
 
 def directory_digest(files: DataFrame) -> DataFrame:
-    """One row: files, bytes and a digest over their paths, which inventory() can give relative, and digests in order of path."""
-    name = F.col("path")
-    return files.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name.alias("n"), F.col("sha256").alias("s")))), lambda x: F.concat(x["n"], x["s"])), "\n"), 256).alias("digest"))
+    """(files, bytes, digest) of inventory() rows with relative paths: one SHA-256 over each path and digest, in order of the paths' parts.
+
+    The rows are sorted by ranges, and one task goes through them as a stream, as such a digest must.
+    """
+    ranged = cut(files.select(F.split("path", "/").alias("parts"), "path", "bytes", "sha256").orderBy("parts").select("path", "bytes", "sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, many, size = hashlib.sha256(), 0, 0
+        for b in batches:
+            for name, n, sha in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                digest.update(name.encode() + sha.encode())
+                many, size = many + 1, size + n
+        yield pa.RecordBatch.from_arrays([pa.array([many], pa.int64()), pa.array([size], pa.int64()), pa.array([digest.hexdigest()])], ["files", "bytes", "digest"])
+
+    return ranged.coalesce(1).mapInArrow(run, "files long, bytes long, digest string")

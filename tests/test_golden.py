@@ -299,17 +299,3 @@ def test_development_probability_follows_its_driver(spark):
     df = spark.range(400).selectExpr("id AS row", "0L AS col", "CAST(id % 20 AS DOUBLE) AS near", "CAST(id % 20 < 6 AS DOUBLE) AS label")
     one, two = ({r.row: r.probability for r in classify.development_probability(df, ["near"]).collect()} for _ in range(2))
     assert one == two and all((p > 0.5) == (k % 20 < 6) for k, p in one.items())
-
-
-def test_file_digests(spark, tmp_path):
-    import hashlib
-
-    for name, text in (("a/x.txt", b"one"), ("b/x.txt", b"two"), ("c.txt", b"three")):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_bytes(text)
-    files = S.inventory(spark, str(tmp_path), "input", str(tmp_path))
-    told = {r.path: (r.bytes, r.sha256) for r in files.collect()}
-    assert told == {n: (len(x), hashlib.sha256(x).hexdigest()) for n, x in (("a/x.txt", b"one"), ("b/x.txt", b"two"), ("c.txt", b"three"))}
-    whole = "\n".join(n + told[n][1] for n in sorted(told))
-    r = S.directory_digest(files).first()
-    assert (r.files, r.bytes, r.digest) == (3, 11, hashlib.sha256(whole.encode()).hexdigest())
