@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .tokens import Stretches, by_bytes, byte_level, sentence_pieces
 
 #: Tokens whose ends are Python numbers at the same time; more if no ends meet among them.
@@ -206,7 +206,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     n_ids_b = len(sentence_pieces(path_b).bytes_of)
-    aligned = stored(alignments(docs, path_a, path_b, id_col, text_col))
+    with small_batches(spark):
+        aligned = stored(alignments(docs, path_a, path_b, id_col, text_col))
     pairs = pair_counts(aligned, n_ids_b).toArrow().sort_by("pair")
     sent = spark.sparkContext.broadcast(tuple(pairs[c].to_numpy() for c in ("pair", "n", "best")))
 

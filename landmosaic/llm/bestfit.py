@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .tokens import by_bytes, byte_level
 
 CAPACITY = 2048
@@ -175,7 +175,8 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end: int = END,
     pieces it doesn't matter which goes where.
     """
     spark = docs.sparkSession
-    made = cut(pieces(docs, path, limits.tokens, end, id_col, text_col))
+    with small_batches(spark):
+        made = cut(pieces(docs, path, limits.tokens, end, id_col, text_col))
     sizes = cut(made.groupBy("length", "part").count())
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

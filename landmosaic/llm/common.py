@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents whose texts are Python strings at the same time, within one Arrow batch.
-SLICE = 256
-
+from ..operators.ordering import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told
-    made = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+__all__ = ["SLICE", "cut", "held_out", "shared_dir", "slices", "small_batches", "stored", "table"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+#: Documents whose texts are Python strings at the same time, within one Arrow batch.
+SLICE = 256
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -40,6 +26,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run inside send so many rows at once to Python workers, so that neither side holds many texts; then as before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

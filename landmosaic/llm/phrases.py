@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import stored
+from .common import small_batches, stored
 from .tokens import by_bytes
 
 LONGEST = 4
@@ -41,7 +41,7 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Parts into which a language's candidates are dealt before the best of them are ranked together.
 SALTS = 32
 NO_LANG = "und"
-_TEXT_BYTES = 4 << 20
+_TEXT_BYTES = 2 << 20
 _LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 _FIELDS = "lang string, phrase string, size int, n long"
 
@@ -175,10 +175,11 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     """
     texts = docs.select("lang", "text")
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0).select("lang", "text")
-    proposal = _bitmap(_pass(drawn, longest), sample_support)
-    frequent = _bitmap(_pass(texts, longest, proposal), support)
-    sums = _pass(texts, longest, proposal, frequent).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-    return stored(sums.where((F.col("n") >= support) | (F.col("size") == 0)))
+    with small_batches(docs.sparkSession):
+        proposal = _bitmap(_pass(drawn, longest), sample_support)
+        frequent = _bitmap(_pass(texts, longest, proposal), support)
+        sums = _pass(texts, longest, proposal, frequent).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+        return stored(sums.where((F.col("n") >= support) | (F.col("size") == 0)))
 
 
 def _joined(words: str, start: Column, length: Column) -> Column:

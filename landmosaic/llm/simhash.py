@@ -23,15 +23,30 @@ _CHUNK = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: str | None, words: int = WORDS, rounds: int = 1) -> list[int]:
+def shingles(text: str | None, words: int) -> list[bytes]:
+    """Runs of so many lower-case words, in order; of fewer words the whole sequence, of none nothing."""
+    found = (text or "").encode().lower().split()
+    if len(found) < words:
+        return [b" ".join(found)] if found else []
+    return found if words == 1 else list(map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False)))
+
+
+def likeness(a: str | None, b: str | None, words: int) -> float:
+    """The part that two texts' distinct shingles have in common, of all that either has."""
+    x, y = set(shingles(a, words)), set(shingles(b, words))
+    return len(x & y) / max(1, len(x | y))
+
+
+def fingerprint(text: str | None, words: int = WORDS, rounds: int = 1, once: bool = False) -> list[int]:
     """For each round a fingerprint: a bit is 1 if it is set in over half of the shingles' hashes; no word: 0.
 
-    The first round's hashes are XXH64; those of later rounds are mixed from them and are as good as independent.
+    With `once`, equal shingles count once. The first round's hashes are XXH64; those of later rounds are mixed from them and are as good as independent.
     """
-    found = (text or "").encode().lower().split()
-    if not found:
+    grams = shingles(text, words)
+    if not grams:
         return [0] * rounds
-    grams = [b" ".join(found)] if len(found) < words else list(map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False)))
+    if once:
+        grams = list(set(grams))
     ones = np.zeros((rounds, 64), np.int64)
     for at in range(0, len(grams), _CHUNK):
         part = grams[at : at + _CHUNK]
@@ -47,12 +62,12 @@ def fingerprint(text: str | None, words: int = WORDS, rounds: int = 1) -> list[i
     return packed.view("<i8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rounds: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rounds: int = 1, once: bool = False) -> DataFrame:
     """(doc_id, fps) of every row, a fingerprint for each round; words end at ASCII white space, A-Z are lower-cased."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fps = [fingerprint(t, words, rounds) for t in part.column(1).to_pylist()]
+            fps = [fingerprint(t, words, rounds, once) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
@@ -100,17 +115,17 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def linked(fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, by breadth-first search."""
+    """A spanning forest of the links among distinct fingerprints, by search from one to those near it."""
     out = []
     rest = fps.copy()
     while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        frontier = [root]
+        frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
-            near = np.bitwise_count((rest ^ frontier.pop()).view(np.uint64)) <= DISTANCE
+            here = frontier.pop()
+            near = np.bitwise_count((rest ^ here).view(np.uint64)) <= DISTANCE
             if near.any():
                 found = rest[near]
-                out += [(int(root), int(x)) for x in found]
+                out += [(int(here), int(x)) for x in found]
                 frontier += list(found)
                 rest = rest[~near]
     return out
@@ -206,18 +221,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(_components(fps), F.col("fp") == F.col("fp_of"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def groups(docs: DataFrame, id_col: str, text_col: str, words: int, rounds: int) -> DataFrame:
-    """(id, group): rows by id, which must not be null, with the smallest id of those they are linked to in any round.
+def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: float = 0.8, rounds: int = 6) -> DataFrame:
+    """(id, group): rows by id, which must be one for each text and not null, with the smallest id of those they are linked to.
 
-    A pair links if its fingerprints of one round differ in DISTANCE bits or fewer. A pair of likeness
-    J differs in 64 acos(2 J / (1 + J)) / pi bits on average, so rounds catch pairs that one by chance
-    does not. Texts without words aren't linked to others. Repeated ids are one.
+    Fingerprints of a text's distinct words, one for each round, find pairs; texts link whose likeness
+    by shingles of `words` words is `least` or more, which is told from the texts themselves. A pair of
+    likeness 0.8 by five words has some 0.96 of its words in common, so that words find it by few bits
+    where shingles differ in many. Of each anchor's fingerprints a spanning forest of pairs is looked at,
+    and of texts of one fingerprint each with the first; a pair that lies near meets at many anchors in
+    every round, each with its own forest. Texts without words aren't linked to others.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, words, rounds).distinct())
-    stars = None
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    fps = cut(fingerprints(texts, "id", "text", 1, rounds, True))
+    pairs = None
     for k in range(rounds):
         one = fps.select("doc_id", F.col("fps")[k].alias("fp")).where("fp <> 0")
-        star = one.join(_components(one), F.col("fp") == F.col("fp_of")).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-        stars = star if stars is None else stars.union(star)
-    found = components(cut(stars))
+        first = cut(one.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        same = one.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+        end = lambda side: first.select(F.col("fp").alias(f"of_{side}"), F.col("first").alias(f"id_{side}"))  # noqa: E731, B023
+        near = links(first).join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        both = same.union(near)
+        pairs = both if pairs is None else pairs.union(both)
+    asked = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            kept = [likeness(x, y, words) >= least for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    side = lambda name: texts.select(F.col("id").alias(f"id_{name}"), F.col("text").alias(f"text_{name}"))
+    read = asked.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
+    found = components(cut(read.mapInArrow(alike, "a long, b long")))
     return fps.select(F.col("doc_id").alias("id")).join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))

@@ -554,19 +554,40 @@ def test_simhash(docs, texts, empty):
     assert len(nulls) == len(texts) and all(r.component_id is None for r in nulls)
 
 
-def test_groups_over_rounds(spark):
-    """Near copies in each round's links, against all pairs; copies with one edit in some 300 words are found."""
+def edited(rng, text, least):
+    """The text with words replaced one by one, as long as its likeness by five words is `least` or more."""
+    words = text.split(" ")
+    places = list(range(len(words)))
+    rng.shuffle(places)
+    for k in places:
+        changed = [*words[:k], f"new{rng.randrange(10**6)}", *words[k + 1 :]]
+        if simhash.likeness(text, " ".join(changed), 5) < least:
+            break
+        words = changed
+    return " ".join(words)
+
+
+def test_near_copies_are_found_and_no_others(spark):
+    """Of copies of likeness 0.8 to 0.95 at least nine in ten are found; texts under 0.8 stay apart; against all pairs."""
     rng = random.Random(21)
-    made = [prose(rng, 300) for _ in range(30)]
-    rows = list(enumerate(made)) + [(100 + k, t.replace(" the ", " one ", 1)) for k, t in enumerate(made)] + [(200, ""), (201, None), (3, made[3])]
-    df = spark.createDataFrame(rows, "key long, text string").withColumn("group", F.lit(1)).repartition(3)
-    got = {r.id: r.group for r in simhash.groups(df, "key", "text", 5, 4).collect()}
-    fps = {k: [x & (1 << 64) - 1 for x in simhash.fingerprint(t, 5, 4)] for k, t in rows}
+    made = [prose(rng, rng.randint(60, 400)) for _ in range(80)]
     assert [simhash.fingerprint(t)[0] & (1 << 64) - 1 for t in made[:5]] == [plain_fingerprint(t) for t in made[:5]]
-    least = {k: k for k in fps}
-    for _ in range(4):
-        least = {k: min(least[j] for j in fps if j == k or any(x and y and bin(x ^ y).count("1") <= 3 for x, y in zip(fps[k], fps[j], strict=True))) for k in fps}
-    assert got == least and sum(got[100 + k] == k for k in range(30)) > 26
+    rows = list(enumerate(made))
+    rows += [(1000 * (k % 4 + 1) + k, edited(rng, t, (0.8, 0.85, 0.9, 0.95)[k % 4])) for k, t in enumerate(made)]
+    rows += [(9000 + k, edited(rng, t, 0.55)) for k, t in enumerate(made[:20])] + [(9900, ""), (9901, None), (9902, "one two"), (9903, "one  TWO"), (9904, "one two three")]
+    df = spark.createDataFrame(rows, "key long, text string").withColumn("group", F.lit(1)).repartition(3)
+    got = {r.id: r.group for r in simhash.groups(df, "key", "text").collect()}
+    texts = dict(rows)
+    linked = {(a, b) for a in texts for b in texts if a < b and simhash.likeness(texts[a], texts[b], 5) >= 0.8}
+    root = {k: k for k in texts}
+    for _ in range(5):
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got.keys() == texts.keys() and all(root[k] == root[g] for k, g in got.items())
+    found = sum(got[a] == got[b] for a, b in linked)
+    assert len(linked) > 80 and found >= 0.9 * len(linked)
+    assert got[9900] == 9900 and got[9901] == 9901 and got[9903] == 9902 and got[9904] == 9904
+    assert sum(1 for k in range(9000, 9020) if got[k] == k) == 20
 
 
 @pytest.mark.parametrize("block", [simhash.BLOCK, 8])
