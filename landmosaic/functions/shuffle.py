@@ -1,7 +1,7 @@
 """Keyed permutations of 0 to n - 1 as a formula: where a place goes in a replicate is told without sorting or numbering.
 
 A place is a pair of digits to the bases a and b, the smallest whole numbers from the square root of n
-on whose product is n or more. Six half-rounds of a Feistel network each add to one digit a number made
+on whose product is n or more. Eight half-rounds of a Feistel network each add to one digit a number made
 of the other one, of the replicate and of the seed; that is one-to-one on all a times b pairs. What falls
 on a pair beyond n goes on from there until it falls below n, so it is one-to-one on 0 to n - 1.
 All numbers stay below 2^63, so any engine with whole numbers of 64 bits gives the same.
@@ -17,15 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _P = 2_147_483_647
-HALF_ROUNDS = 6
+HALF_ROUNDS = 8
 #: Rows of one batch that a task makes.
 _ROWS = 1 << 18
 
 
-def _number(digit, key, k: int):
-    """What a half-round adds, before it is taken to its base."""
-    x = (digit * 7919 + key + k * 1_299_709) % _P * 48_271 % _P
-    return (x + x // 32_768) % _P * 69_621 % _P
+def _number(digit: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """What a half-round adds, before it is taken to its base: two squarings make it depend on all in no plain way."""
+    x = (digit * 7919 + key + k * 1_299_709) % _P
+    y = (x * x + key) % _P
+    return (y * y + x) % _P // 8
 
 
 def permuted(place: np.ndarray, n: int, replicate: np.ndarray, seed: int) -> np.ndarray:
@@ -47,23 +48,15 @@ def permuted(place: np.ndarray, n: int, replicate: np.ndarray, seed: int) -> np.
     return out
 
 
-def sql(place: str, n: str, replicate: str, seed: int) -> str:
-    """One go through the network as a SQL expression; what is n or more goes through again. `//` divides whole numbers."""
-    a = f"CAST(ceil(sqrt({n})) AS BIGINT)"
-    b = f"(({n} + {a} - 1) // {a})"
-    key = f"(({replicate} * 7368787 + {seed}) % {_P})"
-
-    def number(digit: str, k: int) -> str:
-        x = f"(({digit} * 7919 + {key} + {k * 1_299_709}) % {_P} * 48271 % {_P})"
-        return f"(({x} + {x} // 32768) % {_P} * 69621 % {_P})"
-
-    left, right = f"({place} // {b})", f"({place} % {b})"
+def sql(rows: str, seed: int) -> str:
+    """One go through the network as SQL: a SELECT of (rep, i, n, v) from such `rows`, v taken to where it goes; what is n or more goes again."""
+    out = f"SELECT rep, i, n, v // b AS l, v % b AS r, a, b, (rep * 7368787 + {seed}) % {_P} AS key FROM (SELECT *, (n + a - 1) // a AS b FROM (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM {rows}))"
     for k in range(HALF_ROUNDS):
-        if k % 2 == 0:
-            left = f"(({left} + {number(right, k)}) % {a})"
-        else:
-            right = f"(({right} + {number(left, k)}) % {b})"
-    return f"{left} * {b} + {right}"
+        side, other, base = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        out = f"SELECT *, ({other} * 7919 + key + {k * 1_299_709}) % {_P} AS x FROM ({out})"
+        out = f"SELECT *, (x * x + key) % {_P} AS y FROM ({out})"
+        out = f"SELECT * EXCLUDE (x, y) REPLACE (({side} + (y * y + x) % {_P} // 8) % {base} AS {side}) FROM ({out})"
+    return f"SELECT rep, i, n, l * b + r AS v FROM ({out})"
 
 
 def replicated(rows: DataFrame, replicates: range, seed: int) -> DataFrame:

@@ -38,7 +38,8 @@ def _(t):
 
 def _walked(rows: str, replicates: str) -> str:
     """w: (rep, i, v) of rows with a place i and their number n, v the place that i goes to."""
-    return f"""go AS (SELECT rep.x AS rep, i, n, i AS v, 0 AS step FROM {rows}, {replicates} rep(x) UNION ALL SELECT rep, i, n, {shuffle.sql("v", "n", "rep", SEED)}, 1 FROM go WHERE rep > 0 AND (step = 0 OR v >= n)),
+    again = shuffle.sql("(SELECT rep, i, n, v FROM go WHERE rep > 0 AND (step = 0 OR v >= n))", SEED)
+    return f"""go AS (SELECT rep.x AS rep, i, n, i AS v, 0 AS step FROM {rows}, {replicates} rep(x) UNION ALL SELECT rep, i, n, v, 1 FROM ({again})),
 w AS (SELECT rep, i, v FROM go WHERE rep = 0 OR step = 1 AND v < n)"""
 
 
