@@ -66,10 +66,12 @@ def fit(
 ) -> np.ndarray:
     """Weights, bias last. Rows with a null id, text or label, and held-out ones, are not learned from.
 
+    An id that has several labels has the greatest of them.
+
     The sample has `rows` rows at most, about, whatever the input; so one task can go through it in a
     fixed order, and what comes to the driver is the weights.
     """
-    known = labels.select(F.col("doc_id").alias("of"), F.col(label).cast("int").alias("label")).where("of IS NOT NULL AND label IS NOT NULL").dropDuplicates(["of"])
+    known = labels.select(F.col("doc_id").alias("of"), F.col(label).cast("int").alias("label")).where("of IS NOT NULL AND label IS NOT NULL").groupBy("of").agg(F.max("label").alias("label"))
     share = min(1.0, rows / max(1, labels.count()))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     chosen = docs.where(~held_out & drawn & F.col("text").isNotNull()).select("doc_id", "text")

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 #: Rows of a shard, and queries that travel together.
 SHARD_ROWS = 32768
 BLOCK_ROWS = 1024
-#: Terms traversed between looks at what is still competitive.
-STEP = 32
-#: Part of the docs that must be out of the race before the rest is probed doc by doc.
-PROBE = 0.25
+#: Terms traversed between looks at what is still competitive, and the part of a query's square that may be left at the first look.
+STEP = 8
+LOOK = 0.4
+#: Part of the docs that may still be in the race when the rest is probed doc by doc.
+PROBE = 0.4
 
 
 def integer_vector(vector: str, scale: float = 64.0) -> Column:
@@ -34,40 +35,56 @@ class Shard:
             at = np.flatnonzero(column)
             # A posting of most docs is kept as a column, without places.
             self.postings.append((None, np.ascontiguousarray(column)) if 2 * len(at) > len(column) else (at, np.ascontiguousarray(column[at])))
+        self.squares = (self.docs.astype(float) ** 2).sum(axis=1)
+        #: Postings read so far, traversed or probed.
+        self.read = 0
         self.low, self.high = (f(self.docs, axis=0, initial=0) for f in (np.min, np.max)) if len(docs) else (np.zeros(docs.shape[1]),) * 2
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best docs for one query, but for those of its own id; ties to smaller ids.
 
         A term is a component with a weight in the query, its bound the most that any doc can gain by
-        it. Terms are taken in falling order of their bounds. Those before the point from which the
-        bounds of all others can't lift a doc to the k-th best score known are essential: their
-        postings are traversed. The others are only probed for docs that can still reach that score.
+        it. Terms are taken in falling order of their bounds. Those before the point from which all
+        others can't lift a doc to the k-th best score known are essential: their postings are
+        traversed. The others are only probed for docs that can still reach that score. What all
+        others can lift a doc by is bounded twice: by the sum of their bounds, and for each doc by
+        the product of the lengths of what is left of the query and of the doc.
         """
         gain = np.maximum(query * self.low, query * self.high)
         terms = np.argsort(-gain, kind="stable")
         terms = terms[query[terms] != 0]
         bound = gain[terms].sum() - np.cumsum(gain[terms])
+        whole_square = left_square = float((query.astype(float) ** 2).sum())
+        left = self.squares.copy()
         score = np.zeros(len(self.docs), self.docs.dtype)
         out = slice(*np.searchsorted(self.ids, [own, own + 1]))
         score[out] = none = -np.inf if score.dtype.kind == "f" else np.iinfo(score.dtype).min // 4
         known = none
         for n, t in enumerate(terms.tolist()):
             at, values = self.postings[t]
+            weight = query[t]
+            left_square -= float(weight) ** 2
+            self.read += len(values)
+            square = np.square(values if values.dtype.kind == "f" else values.astype(float))
             if at is None:
-                score += query[t] * values
+                score += weight * values
+                left -= square
             else:
-                score[at] += query[t] * values
+                score[at] += weight * values
+                left[at] -= square
             score[out] = none
-            if (n + 1) % STEP or n + 1 == len(terms) or len(score) <= k:
+            if (n + 1) % STEP or n + 1 == len(terms) or len(score) <= k or left_square > LOOK * whole_square:
                 continue
             # The docs that lead now, scored whole, give a score to reach.
             lead = np.argpartition(score, len(score) - k)[len(score) - k :]
             whole = np.where(score[lead] > none, self.docs[lead] @ query, none)
             known = max(known, whole.min())
-            alive = np.flatnonzero(score >= known - bound[n])
+            # What rounding may have lost of the squares is added.
+            reach = np.sqrt(max(left_square, 0.0) * (np.maximum(left, 0.0) + 1e-6 * self.squares)) * (1 + 1e-9)
+            alive = np.flatnonzero(score >= known - np.minimum(reach, float(bound[n])))
             if len(alive) <= max(k, PROBE * len(score)):
                 rest = terms[n + 1 :]
+                self.read += len(alive) * len(rest)
                 found = score[alive] + self.docs[np.ix_(alive, rest)] @ query[rest]
                 return self._first(alive, found, none, k)
         return self._first(np.arange(len(score)), score, none, k)

@@ -1,6 +1,7 @@
 """Each operator against a plain form on small tables with nulls, ties, repeats and long texts."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -590,6 +591,27 @@ def test_near_copies_are_found_and_no_others(spark):
     assert sum(1 for k in range(9000, 9020) if got[k] == k) == 20
 
 
+def test_topk_leaves_postings_unread():
+    """On the given vectors: the same answers as by all products, though a part of the postings is never read."""
+    import duckdb
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    ids, vectors = zip(*duckdb.sql(f"SELECT vec_id, embedding FROM '{path}' ORDER BY vec_id").fetchall(), strict=True)
+    docs = np.floor(64 * np.array(vectors, float)).astype(np.int64)
+    (x,) = topk._exact(docs)
+    shard = topk.Shard(x, np.array(ids))
+    asked = range(0, len(ids), 20)
+    for q in asked:
+        names, scores = shard.best(x[q], ids[q], 20)
+        whole = docs @ docs[q]
+        want = sorted((-int(whole[j]), ids[j]) for j in range(len(ids)) if j != q)[:20]
+        assert [(-int(s), n) for s, n in zip(scores, names.tolist(), strict=True)] == want
+    share = shard.read / (len(asked) * np.count_nonzero(docs))
+    assert share < 0.8
+
+
 @pytest.mark.parametrize("block", [simhash.BLOCK, 8])
 def test_links_keep_components(spark, monkeypatch, block):
     """Balls of fingerprints, in anchors taken whole and in pairs of blocks."""
