@@ -115,19 +115,25 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def linked(fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, by search from one to those near it."""
+    """A spanning forest of the links among distinct fingerprints.
+
+    Trees grow from the fingerprints nearest to the majority of all bits, breadth first, so that copies
+    of one text hang on it in the forests of all anchors at which they meet, and few pairs differ.
+    """
     out = []
-    rest = fps.copy()
+    ones = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    centre = np.packbits(2 * ones > len(fps), bitorder="little").view(fps.dtype)[0]
+    rest = fps[np.argsort(np.bitwise_count((fps ^ centre).view(np.uint64)), kind="stable")]
     while len(rest) > 1:
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and len(rest):
-            here = frontier.pop()
-            near = np.bitwise_count((rest ^ here).view(np.uint64)) <= DISTANCE
+        tree, rest, at = [rest[0]], rest[1:], 0
+        while at < len(tree) and len(rest):
+            near = np.bitwise_count((rest ^ tree[at]).view(np.uint64)) <= DISTANCE
             if near.any():
                 found = rest[near]
-                out += [(int(here), int(x)) for x in found]
-                frontier += list(found)
+                out += [(int(tree[at]), int(x)) for x in found]
+                tree += list(found)
                 rest = rest[~near]
+            at += 1
     return out
 
 
@@ -229,27 +235,32 @@ def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: f
     likeness 0.8 by five words has some 0.96 of its words in common, so that words find it by few bits
     where shingles differ in many. Of each anchor's fingerprints a spanning forest of pairs is looked at,
     and of texts of one fingerprint each with the first; a pair that lies near meets at many anchors in
-    every round, each with its own forest. Texts without words aren't linked to others.
+    every round, each with its own forest. Rounds follow one another: what earlier ones linked isn't looked at
+    again. Texts without words aren't linked to others.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     fps = cut(fingerprints(texts, "id", "text", 1, rounds, True))
-    pairs = None
-    for k in range(rounds):
-        one = fps.select("doc_id", F.col("fps")[k].alias("fp")).where("fp <> 0")
-        first = cut(one.groupBy("fp").agg(F.min("doc_id").alias("first")))
-        same = one.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-        end = lambda side: first.select(F.col("fp").alias(f"of_{side}"), F.col("first").alias(f"id_{side}"))  # noqa: E731, B023
-        near = links(first).join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        both = same.union(near)
-        pairs = both if pairs is None else pairs.union(both)
-    asked = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    side = lambda name: texts.select(F.col("id").alias(f"id_{name}"), F.col("text").alias(f"text_{name}"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             kept = [likeness(x, y, words) >= least for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    side = lambda name: texts.select(F.col("id").alias(f"id_{name}"), F.col("text").alias(f"text_{name}"))
-    read = asked.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
-    found = components(cut(read.mapInArrow(alike, "a long, b long")))
-    return fps.select(F.col("doc_id").alias("id")).join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
+    stars = None
+    for k in range(rounds):
+        one = fps.select("doc_id", F.col("fps")[k].alias("fp")).where("fp <> 0")
+        first = cut(one.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        same = one.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+        end = lambda side: first.select(F.col("fp").alias(f"of_{side}"), F.col("first").alias(f"id_{side}"))  # noqa: E731, B023
+        near = links(first).join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        asked = same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if stars is not None:
+            # What is linked already needs no look.
+            root = lambda side: stars.select(F.col("node").alias(f"of_{side}"), F.col("root").alias(f"root_{side}"))  # noqa: E731, B023
+            rooted = asked.join(root("a"), F.col("a") == F.col("of_a"), "left").join(root("b"), F.col("b") == F.col("of_b"), "left")
+            asked = rooted.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        read = asked.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
+        found = read.mapInArrow(alike, "a long, b long")
+        stars = components(cut(found if stars is None else found.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b")))))
+    return fps.select(F.col("doc_id").alias("id")).join(stars, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
