@@ -175,7 +175,7 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end: int = END,
     pieces it doesn't matter which goes where.
     """
     spark = docs.sparkSession
-    with small_batches(spark):
+    with small_batches(spark, 4000):
         made = cut(pieces(docs, path, limits.tokens, end, id_col, text_col))
     sizes = cut(made.groupBy("length", "part").count())
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}

@@ -27,7 +27,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Jobs run inside send so many rows at once to Python workers, so that neither side holds many texts; then as before."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)

@@ -17,7 +17,7 @@ from .common import cut, small_batches
 
 CAPACITY = 4096
 END = 2
-MEMO_WORDS = 120_000
+MEMO_WORDS = 200_000
 #: Bytes of text whose words are looked up together.
 TEXT_BYTES = 3 << 20
 #: Words that the library encodes as one text.
@@ -239,7 +239,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, i
     summed up, and only one run's pieces are numbered together.
     """
     spark = docs.sparkSession
-    with small_batches(spark):
+    with small_batches(spark, 4000):
         cuts = cut(pieces(docs, path, capacity, end, id_col, text_col))
     counts = {r.length: r["count"] for r in cuts.groupBy("length").count().collect()}
     runs = max(64, min(MOST_RUNS, -(-sum(counts.values()) // RUN_ROWS)))
