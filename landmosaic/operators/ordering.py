@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="spark-shared-")
     spark.conf.set("spark.checkpoint.dir", made)
