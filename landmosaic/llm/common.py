@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import cut, shared_dir
 
-__all__ = ["SLICE", "cut", "held_out", "shared_dir", "slices", "small_batches", "stored", "table"]
+__all__ = ["SLICE", "bucketed", "cut", "held_out", "shared_dir", "slices", "small_batches", "stored", "table"]
 
 #: Documents whose texts are Python strings at the same time, within one Arrow batch.
 SLICE = 256
@@ -26,6 +26,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As stored(), as a table in buckets by `key`: joins by it move the other side only."""
+    spark = df.sparkSession
+    name, many = f"bucketed_{uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(many, key).write.format("parquet").bucketBy(many, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Jobs run inside send so many rows at once to Python workers, so that neither side holds many texts; then as before."""

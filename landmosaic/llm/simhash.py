@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, slices
+from .common import bucketed, cut, slices
 from .components import components
 
 SEED = 42
@@ -238,7 +238,7 @@ def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: f
     every round, each with its own forest. Rounds follow one another: what earlier ones linked isn't looked at
     again. Texts without words aren't linked to others.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = bucketed(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id")
     fps = cut(fingerprints(texts, "id", "text", 1, rounds, True))
     side = lambda name: texts.select(F.col("id").alias(f"id_{name}"), F.col("text").alias(f"text_{name}"))
 
@@ -247,20 +247,28 @@ def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: f
             kept = [likeness(x, y, words) >= least for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    stars = None
+    pairs = None
     for k in range(rounds):
         one = fps.select("doc_id", F.col("fps")[k].alias("fp")).where("fp <> 0")
         first = cut(one.groupBy("fp").agg(F.min("doc_id").alias("first")))
         same = one.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
         end = lambda side: first.select(F.col("fp").alias(f"of_{side}"), F.col("first").alias(f"id_{side}"))  # noqa: E731, B023
         near = links(first).join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        asked = same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = same.union(near).withColumn("round", F.lit(k))
+        pairs = both if pairs is None else pairs.union(both)
+    pairs = cut(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("round").alias("round")))
+    stars = None
+    for k in range(rounds):
+        asked = pairs.where(F.col("round") == k).select("a", "b")
         if stars is not None:
             # What is linked already needs no look.
             root = lambda side: stars.select(F.col("node").alias(f"of_{side}"), F.col("root").alias(f"root_{side}"))  # noqa: E731, B023
             rooted = asked.join(root("a"), F.col("a") == F.col("of_a"), "left").join(root("b"), F.col("b") == F.col("of_b"), "left")
             asked = rooted.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
         read = asked.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
-        found = read.mapInArrow(alike, "a long, b long")
-        stars = components(cut(found if stars is None else found.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b")))))
+        found = cut(read.mapInArrow(alike, "a long, b long"))
+        if stars is None:
+            stars = components(found)
+        elif not found.isEmpty():
+            stars = components(found.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     return fps.select(F.col("doc_id").alias("id")).join(stars, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
