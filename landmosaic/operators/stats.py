@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import md5_below
+from ..functions.expressions import col, md5_below
 from ..functions.shuffle import placed, replicated
 from .ordering import cut, numbered, running_total
 
@@ -50,8 +50,14 @@ def average_ranks(long: DataFrame, by: list[str], value: str = "value") -> DataF
 
 
 def pearson(x: Column | str, y: Column | str) -> Column:
-    """An aggregate; null for fewer than two rows or no variance."""
-    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    """An aggregate; null for fewer than two rows or no variance.
+
+    Whether there is variance is told by the extremes: partial means put together are off in the last
+    place, so that a constant may get a deviation of 1e-16.
+    """
+    x, y = col(x), col(y)
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def pairs_of(fields: list[str]) -> list[tuple[str, str]]:

@@ -299,3 +299,12 @@ def test_development_probability_follows_its_driver(spark):
     df = spark.range(400).selectExpr("id AS row", "0L AS col", "CAST(id % 20 AS DOUBLE) AS near", "CAST(id % 20 < 6 AS DOUBLE) AS label")
     one, two = ({r.row: r.probability for r in classify.development_probability(df, ["near"]).collect()} for _ in range(2))
     assert one == two and all((p > 0.5) == (k % 20 < 6) for k, p in one.items())
+
+
+def test_a_constant_has_no_correlation(spark):
+    """However its rows are dealt to tasks: means of 49 or 98 rows put together are not exactly the constant."""
+    for tasks, each in ((7, 49), (3, 98), (7, 161), (3, 196)):
+        df = spark.range(tasks * each).select((F.col("id") % 13).cast("double").alias("x"), (F.col("id") % 2).alias("z")).repartition(tasks)
+        r = df.agg(stats.pearson("x", F.lit(1.0)).alias("flat"), stats.pearson(F.lit(1.0), "x").alias("turned"), stats.pearson("x", F.col("x") * 2 + 1).alias("line")).first()
+        assert r.flat is None and r.turned is None and r.line == pytest.approx(1)
+    assert spark.range(1).agg(stats.pearson("id", "id").alias("r")).first().r is None
