@@ -34,6 +34,42 @@ def test_profile(spark, monkeypatch, waiting):
     assert profiles.profile(df.limit(0), values=True).count() == 0
 
 
+@pytest.mark.parametrize(("names", "held", "piece"), [(1, 1 << 20, 256), (50_000, 8, 3), (3, 50, 7)])
+def test_profile_in_parts(spark, monkeypatch, names, held, piece):
+    """Tasks that hold few rasters or values, and rows of few values, give the same; counts are counted once."""
+    for name, value in (("_NAMES", names), ("_HELD", held), ("_PIECE", piece)):
+        monkeypatch.setattr(profiles, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rng = np.random.default_rng(6)
+        rasters = {f"r{k}": (rng.integers(0, 8 + 9 * (k % 4), 60) / 2).tolist() + [math.nan] * (k % 3) for k in range(12)} | {None: [1.0, 1.0, math.inf], "none": [math.nan]}
+        rows = [(name, v) for name, vs in rasters.items() for v in vs]
+        df = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "raster_id string, value double").repartition(5)
+        codes = [float(k) for k in range(10)]
+        got = profiles.profile(df, 20, True, codes).collect()
+        assert len(got) == len(rasters) and {r.raster_id: tuple(r)[1:] for r in got} == {name: plain(vs, 20, codes) for name, vs in rasters.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_what_a_task_holds_is_bounded():
+    """Of ten times the rasters a task holds and sends no more at once, and loses none."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    for many in (500, 5000):
+        ids = rng.permutation(np.repeat(np.arange(many), 4))
+        values = rng.integers(0, 3, len(ids)).astype(float)
+        batches = [pa.RecordBatch.from_arrays([pa.array(map(str, ids[k : k + 100].tolist())), pa.array(values[k : k + 100])], ["raster_id", "value"]) for k in range(0, len(ids), 100)]
+        parts = list(profiles.in_parts(batches, 20, None, pa.string(), (300, 1 << 20), 256))
+        assert len(parts) > 1 and max(b.num_rows for b in parts) <= 400
+        ordered = pa.Table.from_batches(parts).sort_by("raster_id").combine_chunks().to_batches(max_chunksize=100)
+        done = list(profiles.together(ordered, 20, pa.string(), (300, 1 << 20), 0))
+        assert max(b.num_rows for b in done) <= 400
+        got = {n: k for b in done for n, k in zip(b["raster_id"].to_pylist(), b["kinds"].to_pylist(), strict=True)}
+        assert sum(b.num_rows for b in done) == many and got == {str(k): sorted(set(values[ids == k])) for k in range(many)}
+
+
 def test_a_task_sends_no_more_than_the_bound():
     import pyarrow as pa
 
