@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bucketed, cut, slices
+from .common import bucketed, cut, slices, stored
 from .components import components
 
 SEED = 42
@@ -19,6 +20,10 @@ WORDS = 3
 DISTANCE = 3
 #: Members of an anchor that one comparison takes at once; larger anchors go in pairs of blocks.
 BLOCK = 8192
+#: Texts that share a first shingle and meet in one comparison; longer lists go in pairs of blocks.
+LIST = 2048
+#: Texts from which the order of shingles is told, and frequent shingles kept of them.
+SAMPLE, FREQUENT = 8192, 1 << 16
 _CHUNK = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -227,19 +232,144 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(_components(fps), F.col("fp") == F.col("fp_of"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: float = 0.8, rounds: int = 6) -> DataFrame:
+def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that repeat in a sample of some SAMPLE texts, in order, and how often: at most FREQUENT of them.
+
+    They only tell in which order shingles are taken, so that the frequent ones come last; whatever the sample, no pair is lost.
+    """
+    step = max(1, texts.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            hashes = [hashed(t, words) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *hashes]))], ["token"])
+
+    tokens = texts.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("text").mapInArrow(run, "token long")
+    found = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
+    known = np.array(sorted((r.token, r.n) for r in found), np.int64).reshape(-1, 2)
+    return known[:, 0].copy(), known[:, 1].copy()
+
+
+def hashed(text: str | None, words: int) -> np.ndarray:
+    """A hash of each distinct shingle; of two with one hash both are there."""
+    grams = set(shingles(text, words))
+    return np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)).view(np.int64)
+
+
+def prefix(hashes: np.ndarray, least: float, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles by the order of frequent(): two sets of likeness `least` have one of these in common."""
+    weight = np.zeros(len(hashes), np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+        weight = np.where(tokens[at] == hashes, counts[at], 0)
+    many = len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1
+    return hashes[np.lexsort((hashes, weight))[:many]] if len(hashes) else hashes
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """1,024 bits, each the parity of the hashes that fall on it: sets differ in at least as many members as these do in bits."""
+    return np.packbits(np.bincount(hashes & 1023, minlength=1024).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
+def _meetings(ids: np.ndarray, sizes: np.ndarray, roots: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a list that are not linked yet and whose sizes allow the likeness."""
+    out = []
+    for k in range(len(ids) - 1):
+        low, high = np.minimum(sizes[k], sizes[k + 1 :]), np.maximum(sizes[k], sizes[k + 1 :])
+        met = k + 1 + np.flatnonzero((roots[k + 1 :] != roots[k]) & (low >= least * high - 1e-9))
+        out.append((np.minimum(ids[k], ids[met]), np.maximum(ids[k], ids[met])))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
+    return a, b
+
+
+def _by_token(batches: Iterator[pa.RecordBatch], least: float, longest: int) -> Iterator[pa.RecordBatch]:
+    """Rows (token, id, size, root) sorted by token to pairs (a, b; token null), or the members of long lists as they are."""
+    key, parts, size = None, [], 0
+    names = ["token", "a", "b", "size", "root"]
+
+    def row(token, a, b, sizes, roots):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (token, a, b, sizes, roots)], names)
+
+    def done():
+        if size < 2 or size > longest:
+            return
+        ids, sizes, roots = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if (roots != roots[0]).any():
+            a, b = _meetings(ids, sizes, roots, least)
+            if len(a):
+                yield row([None] * len(a), a, b, [None] * len(a), [None] * len(a))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, ids, sizes, roots = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        ends = np.r_[starts[1:], len(at)]
+        alone = ends - starts < 2
+        alone[0] = alone[-1] = False
+        for s, e in zip(starts[~alone].tolist(), ends[~alone].tolist(), strict=True):
+            if at[s] != key:
+                yield from done()
+                key, parts, size = at[s], [], 0
+            parts.append((ids[s:e], sizes[s:e], roots[s:e]))
+            size += e - s
+            if size > longest:
+                for i, z, r in parts:
+                    yield row(np.full(len(i), key), i, i, z, r)
+                parts = []
+    yield from done()
+
+
+def left_out(signs: DataFrame, stars: DataFrame, least: float) -> DataFrame:
+    """(a, b): of (doc_id, size, mark, tokens) all pairs not linked by `stars` that may be of likeness `least`; none that is gets lost.
+
+    Such pairs have one of their first shingles in common (prefix filter), and their parities differ in few bits.
+    Long lists go in pairs of blocks.
+    """
+    rooted = signs.join(stars.select(F.col("node").alias("of"), "root"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "size", F.coalesce("root", "doc_id").alias("root"), "tokens")
+    lists = rooted.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("id"), F.col("size").cast("long").alias("size"), "root")
+    longest = LIST
+    found = cut(lists.repartition("token").sortWithinPartitions("token").mapInArrow(lambda batches: _by_token(batches, least, longest), "token long, a long, b long, size long, root long"))
+    members = found.where("token IS NOT NULL").select("token", F.col("a").alias("id"), "size", "root")
+    blocks = members.groupBy("token").agg(F.ceil(F.count("*") / F.lit(longest // 2)).cast("int").alias("blocks"), (F.min("root") < F.max("root")).alias("unlike")).where("unlike")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = members.join(blocks, "token").withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "size", "root")
+
+    def meet(pdf):
+        a, b = _meetings(*(pdf[c].to_numpy() for c in ("id", "size", "root")), least)
+        return type(pdf)({"a": a, "b": b})
+
+    over = dealt.groupBy("token", "i", "j").applyInPandas(meet, "a long, b long")
+    pairs = found.where("token IS NULL").select("a", "b").union(over).where("a <> b").distinct()
+    end = lambda x: signs.select(F.col("doc_id").alias(f"of_{x}"), F.col("size").alias(f"size_{x}"), F.col("mark").alias(f"mark_{x}"))
+    both = pairs.join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b"))
+    differ = F.aggregate(F.zip_with("mark_a", "mark_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    return both.where(differ <= (F.col("size_a") + F.col("size_b")) * F.lit((1 - least) / (1 + least)) + 1e-6).select("a", "b")
+
+
+def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: float = 0.8, rounds: int = 2) -> DataFrame:
     """(id, group): rows by id, which must be one for each text and not null, with the smallest id of those they are linked to.
 
-    Fingerprints of a text's distinct words, one for each round, find pairs; texts link whose likeness
-    by shingles of `words` words is `least` or more, which is told from the texts themselves. A pair of
-    likeness 0.8 by five words has some 0.96 of its words in common, so that words find it by few bits
-    where shingles differ in many. Of each anchor's fingerprints a spanning forest of pairs is looked at,
-    and of texts of one fingerprint each with the first; a pair that lies near meets at many anchors in
-    every round, each with its own forest. Rounds follow one another: what earlier ones linked isn't looked at
-    again. Texts without words aren't linked to others.
+    Texts link whose likeness by distinct shingles of `words` words is `least` or more; no such link is lost.
+    Most are found by fingerprints of a text's distinct words, one for each round: of each anchor's fingerprints a
+    spanning forest of pairs is looked at, and of texts of one fingerprint each with the first. Then all other pairs
+    that may link (left_out) are looked at, unless both ends are linked by then: few of two groups first, as one link
+    joins them. Likeness is told from the texts themselves. Texts without words aren't linked to others.
     """
     texts = bucketed(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id")
-    fps = cut(fingerprints(texts, "id", "text", 1, rounds, True))
+    tokens, counts = frequent(texts, words)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            said = part.column(1).to_pylist()
+            hashes = [hashed(t, words) for t in said]
+            columns = [[fingerprint(t, 1, rounds, True) for t in said], [len(h) for h in hashes], [parities(h) for h in hashes], [prefix(h, least, tokens, counts) for h in hashes]]
+            kinds = [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "fps", "size", "mark", "tokens"])
+
+    signs = stored(texts.select("id", "text").mapInArrow(sign, "doc_id long, fps array<long>, size long, mark array<long>, tokens array<long>"))
+    fps = signs.select("doc_id", "fps")
     side = lambda name: texts.select(F.col("id").alias(f"id_{name}"), F.col("text").alias(f"text_{name}"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +377,20 @@ def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: f
             kept = [likeness(x, y, words) >= least for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
+    def unlinked(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+        """Pairs whose ends are not linked yet, with their roots."""
+        root = lambda side: stars.select(F.col("node").alias(f"of_{side}"), F.col("root").alias(f"root_{side}"))
+        rooted = pairs.join(root("a"), F.col("a") == F.col("of_a"), "left").join(root("b"), F.col("b") == F.col("of_b"), "left")
+        ends = rooted.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+        return ends.where("root_a <> root_b")
+
+    def looked_at(asked: DataFrame, stars: DataFrame | None) -> DataFrame:
+        read = asked.select("a", "b").join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
+        found = cut(read.mapInArrow(alike, "a long, b long"))
+        if stars is None:
+            return components(found)
+        return stars if found.isEmpty() else components(found.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+
     pairs = None
     for k in range(rounds):
         one = fps.select("doc_id", F.col("fps")[k].alias("fp")).where("fp <> 0")
@@ -254,21 +398,14 @@ def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: f
         same = one.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
         end = lambda side: first.select(F.col("fp").alias(f"of_{side}"), F.col("first").alias(f"id_{side}"))  # noqa: E731, B023
         near = links(first).join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        both = same.union(near).withColumn("round", F.lit(k))
+        both = same.union(near)
         pairs = both if pairs is None else pairs.union(both)
-    pairs = cut(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("round").alias("round")))
-    stars = None
-    for k in range(rounds):
-        asked = pairs.where(F.col("round") == k).select("a", "b")
-        if stars is not None:
-            # What is linked already needs no look.
-            root = lambda side: stars.select(F.col("node").alias(f"of_{side}"), F.col("root").alias(f"root_{side}"))  # noqa: E731, B023
-            rooted = asked.join(root("a"), F.col("a") == F.col("of_a"), "left").join(root("b"), F.col("b") == F.col("of_b"), "left")
-            asked = rooted.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        read = asked.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
-        found = cut(read.mapInArrow(alike, "a long, b long"))
-        if stars is None:
-            stars = components(found)
-        elif not found.isEmpty():
-            stars = components(found.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    stars = looked_at(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), None)
+    rest = cut(left_out(signs, stars, least))
+    for many in (4, 64, None):
+        asked = unlinked(rest, stars)
+        if many is not None:
+            among = Window.partitionBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).orderBy("a", "b")
+            asked = asked.withColumn("nth", F.row_number().over(among)).where(F.col("nth") <= many)
+        stars = looked_at(asked, stars)
     return fps.select(F.col("doc_id").alias("id")).join(stars, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))

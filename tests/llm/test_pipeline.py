@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from landmosaic.llm import suffix
+from landmosaic.llm import simhash, suffix
 
 WORDS = "the of and to in is that it for was on are as with his they at be this from have or by one had not but what all were".split()
 
@@ -69,3 +69,40 @@ def test_rows_of_one_id_are_told_apart(spark, sf):
 def test_run(spark, sf):
     out = P.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
+
+
+def alike_groups(texts, words=5, least=0.8):
+    """Components of all pairs of likeness `least` or more, by brute force."""
+    root = list(range(len(texts)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if texts[a] != texts[b] and simhash.likeness(texts[a], texts[b], words) >= least:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {k: top(k) for k in range(len(texts))}
+
+
+@pytest.mark.parametrize(("rounds", "longest"), [(1, 2048), (2, 8)])
+def test_no_link_is_left_out(spark, monkeypatch, rounds, longest):
+    """Likeness at and about 0.8, long and short texts, shared lines: the components are those of all pairs."""
+    monkeypatch.setattr(simhash, "LIST", longest)
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
+    line, texts = words(12), ["a b", "A  b", "a b c", "", "x"]
+    for n in (9, 20, 60, 200):
+        base = words(n)
+        for k in range(24):
+            text = list(base)
+            for _ in range(k % max(2, n // 25) + 1):
+                text[rng.randrange(len(text))] = rng.choice(words(1))
+            texts.append(" ".join(text + (line if k % 5 == 0 else [])))
+    texts += [" ".join(words(6) + line) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.group for r in simhash.groups(df, "id", "text", 5, 0.8, rounds).collect()}
+    assert got == alike_groups(texts)
