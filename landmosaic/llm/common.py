@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordering import cut, shared_dir
+from ..operators.ordering import cut, shared_dir, stored
 
 __all__ = ["SLICE", "bucketed", "cut", "held_out", "shared_dir", "slices", "small_batches", "stored", "table"]
 
@@ -18,14 +18,6 @@ __all__ = ["SLICE", "bucketed", "cut", "held_out", "shared_dir", "slices", "smal
 SLICE = 256
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As cut(), as a Parquet table in the shared folder; for wide rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """As stored(), as a table in buckets by `key`: joins by it move the other side only."""
     spark = df.sparkSession

@@ -7,8 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import col, md5_below
+from ..functions.expressions import col
 from ..functions.shuffle import placed, replicated
+from . import bootstrap
 from .ordering import cut, numbered, running_total
 
 
@@ -110,15 +111,11 @@ def permutation_p(table: DataFrame, fields: list[str], unit: str, permutations:
 def bootstrap_ci(table: DataFrame, fields: list[str], unit: str, replicates: int, seed: int) -> DataFrame:
     """(service_a, service_b, replicates, low, high): 95 % interval of rho from units drawn with replacement.
 
-    Draws are hashes of replicate and place; every replicate is ranked anew.
+    Draws are hashes of replicate and place; every replicate is ranked anew, from how often each unit is drawn.
     """
     units = cut(numbered(table.select(unit, *fields), [], [F.col(unit)], "i").withColumn("i", F.col("i") - 1))
-    n = units.agg(F.count("*").alias("n"))
-    places = units.select("i").crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    draws = places.select("rep", F.col("i").alias("place"), md5_below(F.col("n"), seed, "rep", "i").alias("draw"))
-    drawn = draws.join(units, F.col("draw") == F.col("i")).select("rep", "place", *fields)
-    ranks = average_ranks(melt(drawn, ["rep", "place"], fields), ["rep", "field"]).groupBy("rep", "place").pivot("field", fields).agg(F.first("rank"))
-    rhos = ranks.select("rep", _pair_rows(fields)).groupBy("service_a", "service_b", "rep").agg(F.round(pearson("x", "y"), 9).alias("rho")).where("rho IS NOT NULL")
+    found = bootstrap.rhos(table.sparkSession, _ranked(units, fields, "i"), units.count(), fields, replicates, seed)
+    rhos = found.withColumn("rho", F.round("rho", 9)).where("rho IS NOT NULL")
     sorted_rhos = rhos.groupBy("service_a", "service_b").agg(F.array_sort(F.collect_list("rho")).alias("s"), F.count("*").alias("replicates"))
     at = lambda q: F.element_at("s", (F.floor(F.lit(q) * (F.col("replicates") - 1)) + 1).cast("int"))
     return sorted_rhos.select("service_a", "service_b", "replicates", at(0.025).alias("low"), at(0.975).alias("high"))
