@@ -267,8 +267,18 @@ def prefix(hashes: np.ndarray, least: float, tokens: np.ndarray, counts: np.ndar
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
-    """1,024 bits, each the parity of the hashes that fall on it: sets differ in at least as many members as these do in bits."""
-    return np.packbits(np.bincount(hashes & 1023, minlength=1024).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+    """1,024 bits or more, twice to four times the hashes, each the parity of the hashes that fall on it: sets differ in at least as many members as these do in bits.
+
+    With as few bits for long texts half of them would differ whatever the texts, which tells nothing.
+    """
+    many = 1 << max(10, (2 * len(hashes)).bit_length())
+    return np.packbits(np.bincount(hashes & (many - 1), minlength=many).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The bits in which parities differ; the longer one is folded, which gives what fewer bits would have."""
+    x, y = (x, y) if len(x) > len(y) else (y, x)
+    return int(np.bitwise_count((np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).view(np.uint64)).sum())
 
 
 def _meetings(ids: np.ndarray, sizes: np.ndarray, roots: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -343,9 +353,15 @@ def left_out(signs: DataFrame, stars: DataFrame, least: float) -> DataFrame:
     over = dealt.groupBy("token", "i", "j").applyInPandas(meet, "a long, b long")
     pairs = found.where("token IS NULL").select("a", "b").union(over).where("a <> b").distinct()
     end = lambda x: signs.select(F.col("doc_id").alias(f"of_{x}"), F.col("size").alias(f"size_{x}"), F.col("mark").alias(f"mark_{x}"))
-    both = pairs.join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b"))
-    differ = F.aggregate(F.zip_with("mark_a", "mark_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-    return both.where(differ <= (F.col("size_a") + F.col("size_b")) * F.lit((1 - least) / (1 + least)) + 1e-6).select("a", "b")
+    both = pairs.join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).select("a", "b", "size_a", "size_b", "mark_a", "mark_b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sizes = part.column(2).to_numpy() + part.column(3).to_numpy()
+            differ = np.array([apart(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(part.column(4), part.column(5), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(differ <= sizes * (1 - least) / (1 + least) + 1e-6))
+
+    return both.mapInArrow(near, "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: float = 0.8, rounds: int = 2) -> DataFrame:

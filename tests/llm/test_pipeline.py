@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,19 @@ def test_no_link_is_left_out(spark, monkeypatch, rounds, longest):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {r.id: r.group for r in simhash.groups(df, "id", "text", 5, 0.8, rounds).collect()}
     assert got == alike_groups(texts)
+
+
+def test_long_texts_are_told_apart_without_reading_them():
+    """Parities lose no likeness of 0.8 whatever the lengths, and tell long texts of likeness 0.7 from such."""
+    rng = np.random.default_rng(5)
+    bound = lambda x, y: (len(x) + len(y)) * 0.2 / 1.8 + 1e-6
+    hashes = lambda n: rng.integers(-(1 << 63), (1 << 63) - 1, n, dtype=np.int64)
+    for size in (3, 500, 520, 3000, 4100, 40_000):
+        for cut in (0.0, 0.02, 0.1, 0.19):
+            x = hashes(size)
+            y = x[: size - int(size * cut)]
+            assert simhash.apart(simhash.parities(x), simhash.parities(y)) == simhash.apart(simhash.parities(y), simhash.parities(x)) <= bound(x, y)
+    for size in (3000, 40_000):
+        x = hashes(size)
+        y = np.r_[x[: int(size * 0.82)], hashes(int(size * 0.18))]
+        assert simhash.apart(simhash.parities(x), simhash.parities(y)) > bound(x, y)
