@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -22,6 +22,8 @@ DISTANCE = 3
 BLOCK = 8192
 #: Texts that share a first shingle and meet in one comparison; longer lists go in pairs of blocks.
 LIST = 2048
+#: Shingles of the texts that one task compares, about.
+TASK = 250_000
 #: Texts from which the order of shingles is told, and frequent shingles kept of them.
 SAMPLE, FREQUENT = 8192, 1 << 16
 _CHUNK = 1 << 16
@@ -252,7 +254,10 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def hashed(text: str | None, words: int) -> np.ndarray:
     """A hash of each distinct shingle; of two with one hash both are there."""
-    grams = set(shingles(text, words))
+    return _hashes(set(shingles(text, words)))
+
+
+def _hashes(grams: set[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)).view(np.int64)
 
 
@@ -275,93 +280,185 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(hashes & (many - 1), minlength=many).astype(np.uint8) & 1, bitorder="little").view(np.int64)
 
 
-def apart(x: np.ndarray, y: np.ndarray) -> int:
-    """The bits in which parities differ; the longer one is folded, which gives what fewer bits would have."""
-    x, y = (x, y) if len(x) > len(y) else (y, x)
-    return int(np.bitwise_count((np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).view(np.uint64)).sum())
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bits in which parities differ from others, one or a row each; the longer ones are folded, which gives what fewer bits would have."""
+    x, y = (x, y) if x.shape[-1] > y.shape[-1] else (y, x)
+    folded = np.bitwise_xor.reduce(x.reshape(*x.shape[:-1], -1, y.shape[-1]), axis=-2)
+    return np.bitwise_count((folded ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
-def _meetings(ids: np.ndarray, sizes: np.ndarray, roots: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list that are not linked yet and whose sizes allow the likeness."""
-    out = []
-    for k in range(len(ids) - 1):
-        low, high = np.minimum(sizes[k], sizes[k + 1 :]), np.maximum(sizes[k], sizes[k + 1 :])
-        met = k + 1 + np.flatnonzero((roots[k + 1 :] != roots[k]) & (low >= least * high - 1e-9))
-        out.append((np.minimum(ids[k], ids[met]), np.maximum(ids[k], ids[met])))
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
-    return a, b
+def _sizes_fit(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sizes can be of likeness `least`."""
+    return np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9
+
+
+def _may_meet(sizes: np.ndarray, roots: np.ndarray, places: np.ndarray, least: float) -> np.ndarray:
+    """Which members of a list may have a link in it that is not known yet.
+
+    If the list's shingle is the first that two sets have in common, they share none before it, so no more than what follows it in either.
+    """
+    rest, out = sizes - places, np.zeros(len(sizes), bool)
+    step = max(1, (1 << 18) // len(sizes))
+    for at in range(0, len(sizes), step):
+        x, r = sizes[at : at + step, None], rest[at : at + step, None]
+        common = np.minimum(r, rest) >= (x + sizes) * least / (1 + least) - 1e-6
+        out[at : at + step] = (common & (roots[at : at + step, None] != roots) & _sizes_fit(x, sizes, least)).any(axis=1)
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows sorted by the first column as runs of one value each, in parts."""
+    key, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = batch.column(0).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist()
+        for s, e in zip(starts, [*starts[1:], len(at)], strict=True):
+            if parts and at[s] != key:
+                yield parts
+                parts = []
+            key = at[s]
+            parts.append(batch.slice(s, e - s))
+    if parts:
+        yield parts
 
 
 def _by_token(batches: Iterator[pa.RecordBatch], least: float, longest: int) -> Iterator[pa.RecordBatch]:
-    """Rows (token, id, size, root) sorted by token to pairs (a, b; token null), or the members of long lists as they are."""
-    key, parts, size = None, [], 0
-    names = ["token", "a", "b", "size", "root"]
+    """Rows (token, id, size, root, place) sorted by token to (list, id, root) of those that may meet; members of long lists all go on.
 
-    def row(token, a, b, sizes, roots):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (token, a, b, sizes, roots)], names)
+    A list is named by a hash of its members, so shingles that the same texts share make one list; two lists of one name do no harm.
+    """
+    key, parts, size, out = None, [], 0, []
 
     def done():
         if size < 2 or size > longest:
             return
-        ids, sizes, roots = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, sizes, roots, places = (np.concatenate(x) for x in zip(*parts, strict=True))
         if (roots != roots[0]).any():
-            a, b = _meetings(ids, sizes, roots, least)
-            if len(a):
-                yield row([None] * len(a), a, b, [None] * len(a), [None] * len(a))
+            met = _may_meet(sizes, roots, places, least)
+            if met.any():
+                name = np.uint64(xxh64_intdigest(np.sort(ids[met]).tobytes(), SEED)).astype(np.int64)
+                out.append((np.full(met.sum(), name), ids[met], roots[met]))
+
+    def told():
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["list", "id", "root"])
+            out.clear()
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        at, ids, sizes, roots = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        at, *columns = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         ends = np.r_[starts[1:], len(at)]
         alone = ends - starts < 2
         alone[0] = alone[-1] = False
         for s, e in zip(starts[~alone].tolist(), ends[~alone].tolist(), strict=True):
             if at[s] != key:
-                yield from done()
+                done()
                 key, parts, size = at[s], [], 0
-            parts.append((ids[s:e], sizes[s:e], roots[s:e]))
+            parts.append([x[s:e] for x in columns])
             size += e - s
             if size > longest:
-                for i, z, r in parts:
-                    yield row(np.full(len(i), key), i, i, z, r)
+                out.extend((np.full(len(i), key), i, r) for i, _, r, _ in parts)
                 parts = []
-    yield from done()
+        yield from told()
+    done()
+    yield from told()
 
 
-def left_out(signs: DataFrame, stars: DataFrame, least: float) -> DataFrame:
-    """(a, b): of (doc_id, size, mark, tokens) all pairs not linked by `stars` that may be of likeness `least`; none that is gets lost.
+def joined(sizes: np.ndarray, roots: np.ndarray, marks: list[np.ndarray], least: float, same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Pairs of roots, a spanning forest of those joined by members whose sizes and parities allow the likeness and, if given, of whom `same` is true.
 
-    Such pairs have one of their first shingles in common (prefix filter), and their parities differ in few bits.
-    Long lists go in pairs of blocks.
+    Members of one root are joined from the start, and none are compared once they are.
     """
-    rooted = signs.join(stars.select(F.col("node").alias("of"), "root"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "size", F.coalesce("root", "doc_id").alias("root"), "tokens")
-    lists = rooted.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("id"), F.col("size").cast("long").alias("size"), "root")
-    longest = LIST
-    found = cut(lists.repartition("token").sortWithinPartitions("token").mapInArrow(lambda batches: _by_token(batches, least, longest), "token long, a long, b long, size long, root long"))
-    members = found.where("token IS NOT NULL").select("token", F.col("a").alias("id"), "size", "root")
-    blocks = members.groupBy("token").agg(F.ceil(F.count("*") / F.lit(longest // 2)).cast("int").alias("blocks"), (F.min("root") < F.max("root")).alias("unlike")).where("unlike")
+    lengths = np.array([len(m) for m in marks])
+    stacks = {n: np.stack([m for m in marks if len(m) == n]) for n in set(lengths.tolist())}
+    row = np.zeros(len(marks), np.int64)
+    for n in stacks:
+        row[lengths == n] = np.arange((lengths == n).sum())
+    left, out = np.ones(len(marks), bool), []
+
+    def take(k: int) -> list[int]:
+        found = np.flatnonzero(left & (roots == roots[k]))
+        left[found] = False
+        return found.tolist()
+
+    while left.any():
+        tree, at = take(int(np.argmax(left))), 0
+        while at < len(tree) and left.any():
+            x, at = tree[at], at + 1
+            fit = np.flatnonzero(left & _sizes_fit(sizes, sizes[x], least))
+            for n in set(lengths[fit].tolist()):
+                some = fit[lengths[fit] == n]
+                differ = apart(stacks[n][row[some]], marks[x])
+                for y in some[differ <= (sizes[some] + sizes[x]) * (1 - least) / (1 + least) + 1e-6].tolist():
+                    if left[y] and (same is None or same(x, y)):
+                        out.append((int(roots[x]), int(roots[y])))
+                        tree += take(y)
+    return out
+
+
+def _dealt(members: DataFrame, key: str, longest: int, most: int) -> DataFrame:
+    """(task, id, root) of (key, id, root, size): a task for each key, for large ones a task for each pair of blocks of members.
+
+    Blocks are of half of `longest` or of `most` shingles; those over a sixteenth of `longest` go to some twelve blocks at least,
+    so that they take many tasks.
+    """
+    n = F.count("*")
+    need = F.greatest(F.ceil(n * 2 / F.lit(longest)), F.ceil(F.sum("size") / F.lit(most)))
+    many = F.when(n * 16 > longest, F.least(F.ceil(n * 32 / F.lit(longest)), F.lit(12))).otherwise(F.lit(1))
+    blocks = members.groupBy(key).agg(F.least(F.greatest(need, many), n).cast("int").alias("blocks"), (F.min("root") < F.max("root")).alias("unlike")).where("unlike").select(F.col(key).alias("of"), "blocks")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.join(blocks, "token").withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "size", "root")
+    dealt = members.join(blocks, F.col(key) == F.col("of")).withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return dealt.select(F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "id", "root")
 
-    def meet(pdf):
-        a, b = _meetings(*(pdf[c].to_numpy() for c in ("id", "size", "root")), least)
-        return type(pdf)({"a": a, "b": b})
 
-    over = dealt.groupBy("token", "i", "j").applyInPandas(meet, "a long, b long")
-    pairs = found.where("token IS NULL").select("a", "b").union(over).where("a <> b").distinct()
-    end = lambda x: signs.select(F.col("doc_id").alias(f"of_{x}"), F.col("size").alias(f"size_{x}"), F.col("mark").alias(f"mark_{x}"))
-    both = pairs.join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).select("a", "b", "size_a", "size_b", "mark_a", "mark_b")
+def _forests(rows: DataFrame, run: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) that `run` finds in the rows of each task."""
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sizes = part.column(2).to_numpy() + part.column(3).to_numpy()
-            differ = np.array([apart(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(part.column(4), part.column(5), strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(differ <= sizes * (1 - least) / (1 + least) + 1e-6))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _runs(batches):
+            if pairs := run(pa.Table.from_batches(parts)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(each, "a long, b long")
+
+
+def left_out(signs: DataFrame, texts: DataFrame, stars: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): pairs of roots that join all texts of likeness `least` which `stars` does not link; of (doc_id, size, mark, tokens) and (id, text).
+
+    Such texts have one of their first shingles in common (prefix filter), with enough after it, and their parities differ in few
+    bits. No pair of texts is a row: lists of texts that share a shingle are looked through where they meet, once for their
+    parities, which gives spanning forests, and once, for what these join, for the texts themselves.
+    """
+    rooted = signs.join(stars.select(F.col("node").alias("of"), "root"), F.col("doc_id") == F.col("of"), "left").select("doc_id", F.col("size").cast("long").alias("size"), F.coalesce("root", "doc_id").alias("root"), "tokens")
+    lists = rooted.select("doc_id", "size", "root", F.posexplode("tokens").alias("place", "token")).select("token", F.col("doc_id").alias("id"), "size", "root", F.col("place").cast("long").alias("place"))
+    longest = LIST
+    found = lists.repartition("token").sortWithinPartitions("token").mapInArrow(lambda batches: _by_token(batches, least, longest), "list long, id long, root long")
+    members = cut(found.distinct().join(signs.select(F.col("doc_id").alias("of"), F.col("size").cast("long").alias("size")), F.col("id") == F.col("of")).select("list", "id", "root", "size"))
+    marks = signs.select(F.col("doc_id").alias("of"), F.col("size").cast("long").alias("size"), "mark")
+    met = _dealt(members, "list", longest, TASK).join(marks, F.col("id") == F.col("of")).select("task", "root", "size", "mark")
+
+    def near(rows: pa.Table) -> list[tuple[int, int]]:
+        return joined(rows["size"].to_numpy(), rows["root"].to_numpy(), [x.values.to_numpy() for x in rows["mark"]], least)
+
+    classes = components(cut(_forests(met, near))).select(F.col("node").alias("of"), F.col("root").alias("class"))
+    ends = cut(members.select("id", "root", "size").distinct().join(classes, F.col("root") == F.col("of")).select("class", "id", "root", "size"))
+    read = _dealt(ends, "class", longest, TASK).join(texts.select(F.col("id").alias("of"), "text"), F.col("id") == F.col("of")).select("task", "root", "text")
+
+    def alike(rows: pa.Table) -> list[tuple[int, int]]:
+        said = [set(shingles(t, words)) for t in rows["text"].to_pylist()]
+        hashes = [_hashes(x) for x in said]
 
-    return both.mapInArrow(near, "a long, b long")
+        def same(x: int, y: int) -> bool:
+            common = len(said[x] & said[y])
+            return common / max(1, len(said[x]) + len(said[y]) - common) >= least
+
+        return joined(np.array([len(h) for h in hashes]), rows["root"].to_numpy(), [parities(h) for h in hashes], least, same)
+
+    return _forests(read, alike)
 
 
 def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: float = 0.8, rounds: int = 2) -> DataFrame:
@@ -369,9 +466,9 @@ def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: f
 
     Texts link whose likeness by distinct shingles of `words` words is `least` or more; no such link is lost.
     Most are found by fingerprints of a text's distinct words, one for each round: of each anchor's fingerprints a
-    spanning forest of pairs is looked at, and of texts of one fingerprint each with the first. Then all other pairs
-    that may link (left_out) are looked at, unless both ends are linked by then: few of two groups first, as one link
-    joins them. Likeness is told from the texts themselves. Texts without words aren't linked to others.
+    spanning forest of pairs is looked at, and of texts of one fingerprint each with the first. Then all other texts
+    that may link (left_out) are looked at where they meet, unless they are linked by then. Likeness is told from the
+    texts themselves. Texts without words aren't linked to others.
     """
     texts = bucketed(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id")
     tokens, counts = frequent(texts, words)
@@ -393,20 +490,6 @@ def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: f
             kept = [likeness(x, y, words) >= least for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    def unlinked(pairs: DataFrame, stars: DataFrame) -> DataFrame:
-        """Pairs whose ends are not linked yet, with their roots."""
-        root = lambda side: stars.select(F.col("node").alias(f"of_{side}"), F.col("root").alias(f"root_{side}"))
-        rooted = pairs.join(root("a"), F.col("a") == F.col("of_a"), "left").join(root("b"), F.col("b") == F.col("of_b"), "left")
-        ends = rooted.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
-        return ends.where("root_a <> root_b")
-
-    def looked_at(asked: DataFrame, stars: DataFrame | None) -> DataFrame:
-        read = asked.select("a", "b").join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
-        found = cut(read.mapInArrow(alike, "a long, b long"))
-        if stars is None:
-            return components(found)
-        return stars if found.isEmpty() else components(found.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-
     pairs = None
     for k in range(rounds):
         one = fps.select("doc_id", F.col("fps")[k].alias("fp")).where("fp <> 0")
@@ -416,12 +499,10 @@ def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: f
         near = links(first).join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         both = same.union(near)
         pairs = both if pairs is None else pairs.union(both)
-    stars = looked_at(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), None)
-    rest = cut(left_out(signs, stars, least))
-    for many in (4, 64, None):
-        asked = unlinked(rest, stars)
-        if many is not None:
-            among = Window.partitionBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).orderBy("a", "b")
-            asked = asked.withColumn("nth", F.row_number().over(among)).where(F.col("nth") <= many)
-        stars = looked_at(asked, stars)
+    asked = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    read = asked.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
+    stars = components(cut(read.mapInArrow(alike, "a long, b long")))
+    rest = cut(left_out(signs, texts, stars, words, least))
+    if not rest.isEmpty():
+        stars = components(rest.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     return fps.select(F.col("doc_id").alias("id")).join(stars, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))

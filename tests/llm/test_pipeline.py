@@ -123,3 +123,28 @@ def test_long_texts_are_told_apart_without_reading_them():
         x = hashes(size)
         y = np.r_[x[: int(size * 0.82)], hashes(int(size * 0.18))]
         assert simhash.apart(simhash.parities(x), simhash.parities(y)) > bound(x, y)
+
+
+def test_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Near copies that are unlike one another make no row for each pair, and those that one text joins are joined."""
+    rng = random.Random(7)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    texts = []
+    for many, whole in ((240, False), (40, True)):
+        base = words(60)
+        for k in range(many):
+            at = 5 + k % 50
+            texts.append(" ".join(base[:at] + words(1) + base[at + 1 :]))
+        texts += [" ".join(base)] * whole
+    made, cut = [], simhash.cut
+
+    def counted(df):
+        out = cut(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.group for r in simhash.groups(df, "id", "text").collect()}
+    assert got == alike_groups(texts)
+    assert max(made) < 20 * len(texts)
