@@ -490,19 +490,17 @@ def groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: f
             kept = [likeness(x, y, words) >= least for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    pairs = None
-    for k in range(rounds):
-        one = fps.select("doc_id", F.col("fps")[k].alias("fp")).where("fp <> 0")
-        first = cut(one.groupBy("fp").agg(F.min("doc_id").alias("first")))
-        same = one.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-        end = lambda side: first.select(F.col("fp").alias(f"of_{side}"), F.col("first").alias(f"id_{side}"))  # noqa: E731, B023
-        near = links(first).join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        both = same.union(near)
-        pairs = both if pairs is None else pairs.union(both)
+    # The rounds' fingerprints are searched together: a pair that meets across rounds costs a look at its texts, no more.
+    one = fps.select("doc_id", F.explode("fps").alias("fp")).where("fp <> 0")
+    first = cut(one.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    same = one.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    end = lambda side: first.select(F.col("fp").alias(f"of_{side}"), F.col("first").alias(f"id_{side}"))
+    near = links(first).join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).where("a <> b")
+    pairs = same.union(near)
     asked = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     read = asked.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
     stars = components(cut(read.mapInArrow(alike, "a long, b long")))
     rest = cut(left_out(signs, texts, stars, words, least))
-    if not rest.isEmpty():
+    if rest.take(1):
         stars = components(rest.union(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     return fps.select(F.col("doc_id").alias("id")).join(stars, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
