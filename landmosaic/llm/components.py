@@ -60,7 +60,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     A round is two shuffles, whatever the edges: large-star sends a node's greater neighbours to the least that it
     knows, small-star its lesser ones. Tasks contract what they hold before and after, so that copies of an edge and
     long lists of one node shrink before they are shuffled, and few rounds are needed. The edges are stars when a
-    round moves none. Loops and repeated edges do no harm; nulls are left out.
+    round moves none. Loops and repeated edges do no harm; nulls are left out. The edges that a node still has are
+    sorted in one task, which spills: the smallest node of a large component has one for each member.
     """
     now = _stars(edges.select(F.greatest(a, b).cast("long").alias("src"), F.least(a, b).cast("long").alias("dst"), F.lit(True).alias("moved"), (F.col(a) != F.col(b)).alias("told")).where("told").drop("told"))
     moved = bool(now.take(1))
